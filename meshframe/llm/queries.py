@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import chat, decontaminate, substring_dedup, suffix_dedup
+from meshframe.llm import chat, decontaminate, jaccard_join, packing, resample, sharding, substring_dedup, suffix_dedup
 from meshframe.llm.common import prepare, table
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target text: documents labelled as good; the part of them among labelled rows is the part to keep."""
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
+    return resample.resample(docs, "good", resample.keep_share(labels))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -29,6 +38,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, num=90, den=100)
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,9 +74,13 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_retrieval_packing": op5_retrieval_packing,
+    "op6_histogram_sort": op6_histogram_sort,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.OP2_SQL, "op8_chat_formatting": chat.OP8_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.OP2_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op8_chat_formatting": chat.OP8_SQL}
