@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import chat, decontaminate, jaccard_join, packing, resample, sharding, substring_dedup, suffix_dedup
+from meshframe.llm import chat, decontaminate, jaccard_join, packing, resample, sharding, substring_dedup, suffix_dedup, toxicity
 from meshframe.llm.common import prepare, table
 
 
@@ -32,6 +32,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_histogram_sort": op6_histogram_sort,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.OP2_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op8_chat_formatting": chat.OP8_SQL}
