@@ -50,7 +50,7 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """A function from texts to lists of ids."""
+    """A function from texts to arrays of ids."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, letters = spec["model"], byte_letters()
@@ -63,12 +63,12 @@ def encoder(path: str):
         special = {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
         bpe = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [bpe.encode_ordinary(t) for t in texts]
+        return lambda texts: [bpe.encode_to_numpy(t, disallowed_special=()) for t in texts]
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
-    return lambda texts: [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [np.array(x.ids, np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def tokenize(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
@@ -77,7 +77,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            ids = [np.array([*x, END_ID], np.uint32) for x in encode([t or "" for t in b.column(1).to_pylist()])]
+            ids = [np.append(x, np.uint32(END_ID)) for x in encode([t or "" for t in b.column(1).to_pylist()])]
             narrow = [x.astype(np.uint16) if int(x.max()) < 1 << 16 else x for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in narrow], pa.binary())], names=["doc_id", "n", "ids"])
 
