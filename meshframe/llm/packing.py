@@ -250,13 +250,15 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         name = got.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (name[i] is None, name[i] or 0, ids[i].tobytes()))
         ids, name = [ids[i] for i in order], [name[i] for i in order]
-        rows, base, at = [], int(key[0].as_py()) << 32, 0
+        rows, held, base, at = [], [], int(key[0].as_py()) << 32, 0
 
         def put(pieces: list[tuple[int, int, int]]) -> None:
             offset = 0
             for i, start, length in pieces:
                 piece = ids[i][start : start + length].astype("<u4")
-                rows.append((name[i], start, length, zlib.crc32(piece.tobytes()), len(ids[i]), base + at, offset, *([piece.tolist()] if with_ids else [])))
+                rows.append((name[i], start, length, zlib.crc32(piece.tobytes()), len(ids[i]), base + at, offset))
+                if with_ids:
+                    held.append(piece)
                 offset += length
 
         tails, cuts = [], []
@@ -272,9 +274,12 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             for pieces in fill(tails, df, n_docs, mean, window):
                 put([(cuts[t][0], cuts[t][1] + s, n) for t, s, n in pieces])
                 at += 1
-        fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
-        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        out = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        if with_ids:
+            edge = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(held).astype(np.int32))))
+        return pa.Table.from_arrays(out, names=names + ["ids"] * with_ids)
 
     salt = F.abs(F.xxhash64("doc_id", "n") % F.lit(1 << 30))
     return marked.select("doc_id", "ids", shard_of("topic", salt).alias("shard")).groupBy("shard").applyInArrow(run, schema)
