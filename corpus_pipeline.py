@@ -1,6 +1,81 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages over whole tables.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents:
+1. toxicity: documents that the classifier predicts to be toxic go;
+2. n-gram Jaccard join (five words, similarity 0.8): of each group of near copies the smallest doc_id stays;
+3. suffix-array dedup: bytes of passages of 100 bytes that start earlier go from the texts; a character cut in two goes;
+4. benchmark decontamination: documents with a benchmark passage go;
+5. packing: pieces of documents in sequences of 2048 tokens, with their ids.
+
+Rows without doc_id or text pass all stages as their operators define it: a null text counts as empty.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshframe.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
+from meshframe.llm.common import checkpoint_dir, prepare, table
+from meshframe.llm.queries import tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.score(docs.withColumn("__mf_text", F.col("text")), labels, text="__mf_text")
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    groups = jaccard_join.jaccard_join(docs.select("doc_id", "text"), n=5, num=4, den=5)
+    gone = groups.where("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
+    # the null-safe key lets rows without doc_id through unless their group has a smaller id
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+
+    @F.pandas_udf("string")
+    def decoded(raw):
+        return raw.map(lambda x: x.decode("utf-8", "ignore"))
+
+    out = suffix_dedup.suffix_dedup(docs).withColumn("text", decoded("kept"))
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack_sequences(docs.select("doc_id", "text"), tokenizer_path(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: A trained classifier and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written as Parquet and read again."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
