@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 GRAM = 5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Low bits of a fingerprint hold its position: a row of Spark cannot hold 2^28 words.
 _POS_BITS = 28
 _HIGH = -(1 << _POS_BITS)
@@ -30,7 +31,8 @@ def words(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(t) == F.char_length(t)
     lowered = F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, string.ascii_uppercase, string.ascii_lowercase))
-    return F.regexp_extract_all(lowered, F.lit(WORD), 0)
+    # splitting takes a fifth of the time of extracting the matches; empty strings stand only at the ends
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def _grams(w: Column, k: int) -> Column:
