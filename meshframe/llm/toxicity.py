@@ -28,12 +28,12 @@ WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 BUCKETS = 1 << 17
 PREFIXES = (3, 4, 5)
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 4000, 8000, 1 << 16
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 2500, 6000, 1 << 15
 #: Weight of the prior in the log-odds of a bucket.
 PRIOR = 6.0
 THRESHOLD = 0.7
 #: Rounds of choosing windows; in each, passes over them, but so many steps at least; windows a step; first step size.
-ROUNDS, EPOCHS, STEPS, BATCH, RATE = 3, 3, 150, 256, 0.02
+ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 3, 150, 256, 0.02
 
 #: Part of the clean windows that are trained as a single repeated word.
 REPEATED = 0.1
@@ -198,19 +198,22 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
     y = np.asarray(y, np.float64)
     if len(set(y.tolist())) < 2:
         return None
-    raw = [t.encode() for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    parts = [(i, *word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in T.slices(off)]
-    ids, row = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + p[0] for p in parts])
-    counts = np.bincount(row, minlength=len(y))
-    net = Network(log_odds(ids, row, y))
+    off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    ids_, counts = [], np.zeros(len(y), np.int64)
+    for i, j in T.slices(off):
+        part, row = word_ids(np.frombuffer("".join(texts[i:j]).encode(), np.uint8), off[i : j + 1] - off[i])
+        ids_.append(part)
+        counts[i:j] = np.bincount(row, minlength=j - i)
+    ids = np.concatenate(ids_)
+    del ids_
+    net = Network(log_odds(ids, np.repeat(np.arange(len(y), dtype=np.int32), counts), y))
     adam, r = Adam(net.w), np.random.default_rng(5)
     wrow, first, length = windows_of(counts)
     edge = np.searchsorted(wrow, np.arange(len(y)))
     per = np.bincount(wrow, minlength=len(y))
     # the first choice of windows: the highest sum of positive log-odds
-    odds = np.maximum(net.w["E"][ids][:, :, 0].sum(1), 0) if len(ids) else np.zeros(0)
+    first_number = np.ascontiguousarray(net.w["E"][:, 0])
+    odds = np.maximum(sum(first_number[ids[:, k]] for k in range(ids.shape[1])), 0)
     total = np.concatenate(([0], np.cumsum(odds)))
     rank = total[np.minimum(first + length, len(odds))] - total[np.minimum(first, len(odds))]
     top = np.lexsort((np.arange(len(wrow)), -rank, wrow))[edge]
