@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import chat, decontaminate, jaccard_join, packing, resample, sharding, substring_dedup, suffix_dedup, toxicity
+from meshframe.llm import chat, decontaminate, jaccard_join, media, packing, resample, sharding, substring_dedup, suffix_dedup, toxicity
 from meshframe.llm.common import prepare, table
 
 
@@ -15,9 +15,7 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target text: documents labelled as good; the part of them among labelled rows is the part to keep."""
     prepare(spark)
     labels = table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left")
-    return resample.resample(docs, "good", resample.keep_share(labels))
+    return resample.resample(table(spark, sf_dir, "documents"), labels.where("quality = 1"), resample.keep_share(labels))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +64,12 @@ def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplied tables hold no pictures: the media column is a picture of each row of embeddings."""
+    prepare(spark)
+    return media.image_copies(media.pictures(table(spark, sf_dir, "embeddings")))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_retrieval_packing": op5_retrieval_packing,
     "op6_histogram_sort": op6_histogram_sort,
+    "op7_image_descriptors": op7_image_descriptors,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,

@@ -116,9 +116,13 @@ def select_top(scored: DataFrame, k: int, key: str, tie: str) -> tuple[int, int]
     return bits, ~last
 
 
-def resample(docs: DataFrame, target: str, keep: float, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
-    """Rows with log_weight, sample_key and selected; `target` names a boolean column, `keep` is the part to take."""
-    ratio = log_ratio(gram_counts(docs, text, target))
+def resample(docs: DataFrame, targets: DataFrame, keep: float, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """doc_id, n_grams, log_weight, sample_key and selected; `targets` has the ids of target text, `keep` is the part to take."""
+    ids = targets.select(F.col(doc_id).alias("__mf_target")).distinct().withColumn("__mf_is", F.lit(True))
+    # only counting needs the targets beside the texts; scoring reads the texts where they are. Labels grow with the
+    # documents, so the join is a merge at every size, not a broadcast below some size
+    marked = docs.select(F.col(doc_id).alias("__mf_id"), F.col(text).alias("__mf_text")).join(ids.hint("merge"), F.col("__mf_id") == F.col("__mf_target"), "left")
+    ratio = log_ratio(gram_counts(marked, "__mf_text", "__mf_is"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

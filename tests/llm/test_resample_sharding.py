@@ -26,8 +26,8 @@ def test_features_follow_words_and_pairs():
 
 def test_resampling_prefers_target_like_text(docs_of):
     rows = [(i, "good calm words here " * 20, True if i % 2 else None) for i in range(60)] + [(100 + i, "*** spam ### junk " * 20, None) for i in range(40)]
-    rows += [(None, None, None), (1, "", None)]
-    got = R.resample(docs_of(rows, "doc_id long, text string, good boolean"), "good", 0.6).collect()
+    rows += [(None, None, None), (99, "", None)]
+    got = R.resample(docs_of(rows, "doc_id long, text string, good boolean"), docs_of([r for r in rows if r[2]], "doc_id long, text string, good boolean"), 0.6).collect()
     assert len(got) == len(rows) and sum(r["selected"] for r in got) == round(0.6 * len(rows))
     assert sum(r["selected"] for r in got if r["doc_id"] is not None and r["doc_id"] >= 100) == 0
     by_key = sorted(got, key=lambda r: (-r["sample_key"], r["doc_id"] if r["doc_id"] is not None else 1 << 63))
@@ -36,7 +36,7 @@ def test_resampling_prefers_target_like_text(docs_of):
 
 def test_weights_equal_a_plain_computation(docs_of):
     rows = [(1, "a b c a", True), (2, "b c d", None), (3, "a a", True)]
-    got = {r["doc_id"]: r["log_weight"] for r in R.resample(docs_of(rows, "doc_id long, text string, good boolean"), "good", 0.5).collect()}
+    got = {r["doc_id"]: r["log_weight"] for r in R.resample(docs_of(rows, "doc_id long, text string, good boolean"), docs_of([r for r in rows if r[2]], "doc_id long, text string, good boolean"), 0.5).collect()}
     grams = {d: brute_grams(t) for d, t, _ in rows}
     raw, target = sum(grams.values(), Counter()), grams[1] + grams[3]
     m = R.BUCKETS
@@ -46,8 +46,8 @@ def test_weights_equal_a_plain_computation(docs_of):
 
 
 def test_resampling_without_rows_or_target(docs_of):
-    assert R.resample(docs_of([], "doc_id long, text string, good boolean"), "good", 0.5).count() == 0
-    got = R.resample(docs_of([(1, "a", None)], "doc_id long, text string, good boolean"), "good", 1.0).first()
+    assert R.resample(docs_of([]), docs_of([]), 0.5).count() == 0
+    got = R.resample(docs_of([(1, "a")]), docs_of([]), 1.0).first()
     assert got["log_weight"] == 0.0 and got["selected"]
 
 
