@@ -400,7 +400,7 @@ def border_keys(spark, d):
 
 
 def _whole(spark, d, exact=True):
-    s = side_seeds(spark, d)
+    s = cut(nearest.side_seeds(corner_seeds(spark, d), size(spark, d)))
     return mesh.polygons_of_owner(nearest.voronoi_grid(pixels(spark, d), s, size(spark, d)), s, exact)
 
 

@@ -175,13 +175,15 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of JPEG and other files that Spark's image source decodes, turned upright by their tag."""
-    raw = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("image_id"), "content")
+    # the two sources write local paths with one slash and with three
+    number = lambda c: F.xxhash64(F.regexp_replace(c, "^file:/+", "/")).alias("image_id")
+    raw = spark.read.format("binaryFile").load(path).select(number("path"), "content")
 
     @F.pandas_udf("int")
     def tag(content: pd.Series) -> pd.Series:
         return content.map(lambda x: jpeg_orientation(bytes(x[: 1 << 16])))
 
-    image = spark.read.format("image").load(path).select(F.xxhash64("image.origin").alias("image_id"), "image.*")
+    image = spark.read.format("image").load(path).select(number("image.origin"), "image.*")
 
     def run(batches):
         for pdf in batches:
