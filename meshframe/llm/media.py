@@ -5,12 +5,12 @@
    patch's centre of mass; its descriptor is 128 comparisons of smoothed pixels at places turned by that direction.
 2. Hamming-table join: a descriptor is cut into six pieces; each pair of pieces is the key of one of fifteen tables, so
    descriptors that differ in at most four bits share a key. Images of a key are tied to its smallest image (a star, no
-   pairs); images tied by two corners or more are clustered.
-3. In a cluster, images meet in blocks of bounded size: nearest descriptors within MATCH_BITS vote for a similarity
-   transform; INLIERS corners that agree with one transform link two images.
+   pairs), if by TIED corners or more.
+3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
+   that agree with one transform link the images. Each image is first compared with those it is tied to. Where tied
+   images are not all linked after that, they meet in blocks of bounded size, and images of different groups are compared.
 
-Equal contents are one class with one representative; the result has, for each row, its group and its number of links
-to other contents. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
+Equal contents are one class with one representative; the result has each row's group. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
 copies of one another; other equal contents are one class, also without a corner); ties of strength go to the larger
 scale, then to the smaller y, x; repeated ids are one image whose contents all count; a null id sorts last; an empty table gives no rows; extra columns are left out.
 """
@@ -38,7 +38,9 @@ INLIERS = 8
 TOLERANCE = 2.5
 #: Corners by which an image must be tied to a hub to be compared with it.
 TIED = 2
-BLOCK = 64
+BLOCK = 256
+#: Descriptions that a task remembers to reuse them for equal contents.
+REMEMBERED = 4096
 _HEADER = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
 
 
@@ -160,42 +162,65 @@ def agree(pa_: np.ndarray, pb: np.ndarray) -> int:
     return best
 
 
-def linked(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Matrix of links between a few images."""
-    m = len(parts)
-    out = np.eye(m, dtype=bool)
-    owner = np.repeat(np.arange(m), [len(d) for d, _ in parts])
-    if not len(owner):
-        return out
-    d, p = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
-    found = []
-    for i in range(0, len(d), 256):
-        near = sum(np.bitwise_count(d[i : i + 256, None, k] ^ d[None, :, k]) for k in (0, 1)) <= MATCH_BITS
-        a, b = np.nonzero(near)
-        found.append((a + i, b))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    ahead = owner[a] < owner[b]
-    a, b = a[ahead], b[ahead]
-    key = owner[a] * m + owner[b]
-    order = np.argsort(key, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        if len(group) >= INLIERS and agree(p[a[group]], p[b[group]]) >= INLIERS:
-            u, v = owner[a[group[0]]], owner[b[group[0]]]
-            out[u, v] = out[v, u] = True
+def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
+    """Which of the other images link with one."""
+    d, p = one
+    if len(d) < INLIERS or not others:
+        return []
+    all_d = np.concatenate([x for x, _ in others])
+    owner = np.repeat(np.arange(len(others)), [len(x) for x, _ in others])
+    base = np.cumsum([0] + [len(x) for x, _ in others])
+    near = sum(np.bitwise_count(d[:, None, k] ^ all_d[None, :, k]).astype(np.int16) for k in (0, 1)) <= MATCH_BITS
+    count = np.bincount(owner, near.any(0), len(others))
+    out = []
+    for j in np.flatnonzero(count >= INLIERS).tolist():
+        a, b = np.nonzero(near[:, base[j] : base[j + 1]])
+        if agree(p[a], others[j][1][b]) >= INLIERS:
+            out.append(j)
+    return out
+
+
+def join_groups(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join images of different labels; images already joined are not compared again."""
+    top = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    names, size = np.unique(label, return_counts=True)
+    most = names[np.argmax(size)] if len(names) else None
+    out = []
+    # every pair of labels has a side that is not the largest
+    for i in np.flatnonzero(label != most).tolist():
+        mine = find(int(label[i]))
+        rest = [j for j in range(len(parts)) if find(int(label[j])) != mine]
+        for k in links(parts[i], [parts[j] for j in rest]):
+            j = rest[k]
+            if find(int(label[j])) != find(int(label[i])):
+                top[find(int(label[j]))] = find(int(label[i]))
+                out.append((i, j))
     return out
 
 
 def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "content") -> DataFrame:
-    """media_id, n_keypoints, n_links (to other contents), group_id (smallest id reachable by links) for each row."""
+    """media_id, n_keypoints, group_id (smallest id reachable by links) for each row."""
     spark = media.sparkSession
     buckets = prime_at_least(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}  # copies that follow one another are described once
         for b in batches:
             out = []
-            for raw in b.column(2).to_pylist():
-                d, p = features(decode(raw))
-                out.append((len(d), pack(d.reshape(-1), p.reshape(-1))))
+            for name, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if name not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    d, p = features(decode(raw))
+                    known[name] = len(d), pack(d.reshape(-1), p.reshape(-1))
+                out.append(known[name])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["id", "digest", "n", "features"])
 
     key = F.coalesce(F.col(media_id).cast("bigint"), F.lit(NULL_ID))
@@ -205,7 +230,6 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
     facts = cut(media.select(key.alias("id"), digest.alias("digest"), readable.alias("content")).mapInArrow(describe, "id long, digest string, n long, features binary"))
     classes = facts.where("left(digest, 1) <> '-'").groupBy("digest").agg(F.min("id").alias("rep"))
     own = facts.join(classes.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("id") == F.col("rep"))).where("n > 0").select("id", "digest", "features").dropDuplicates(["digest"])
-    own = cut(own)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,7 +241,9 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
                 corners.append(np.repeat(np.arange(len(k)), k.shape[1]))
             if keys:
                 k = np.concatenate(keys)
-                yield repeats.blobs(repeats.by_bucket((k % np.uint64(buckets)).astype(np.int64), k, np.concatenate(ids), np.concatenate(corners).astype(np.uint16)))
+                # within a bucket four bytes of a key tell keys apart; what is equal by chance is compared later
+                low = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                yield repeats.blobs(repeats.by_bucket(((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), low, np.concatenate(ids), np.concatenate(corners).astype(np.uint8)))
 
     def meet(got: pa.Table) -> pa.Table:
         """Corners with the smallest image that shares one of their keys, by bucket of the image."""
@@ -236,38 +262,56 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         return pa.Table.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
 
     ties = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "u long, v long")
-    clusters = components(ties)
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
-    members = clusters.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
+    ties = cut(ties)
+    shapes = own.select(F.col("id").alias("node"), "features")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    # an image goes to each hub that it is tied to, and a hub to itself
+    routed = ties.select(F.col("u").alias("node"), F.col("v").alias("hub")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("hub")).distinct())
+    parted = lambda got: [tuple(x.reshape(-1, n) for x, n in zip(unpack(r.as_py()), (2, 4), strict=True)) for r in got.column("features")]
+
+    def pairs(u: list, v: list) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def with_hub(got: pa.Table) -> pa.Table:
+        hub, ids, parts = got.column("hub").to_numpy(), got.column("node").to_numpy(), parted(got)
+        u, v = [], []
+        order = np.lexsort((ids, hub))
+        for g in np.split(order, np.flatnonzero(np.diff(hub[order])) + 1):
+            rest = [i for i in g if ids[i] != hub[i]]
+            for h in (i for i in g if ids[i] == hub[i]):
+                for k in links(parts[h], [parts[i] for i in rest]):
+                    u.append(ids[rest[k]])
+                    v.append(hub[h])
+        return pairs(u, v)
+
+    starred = cut(shapes.join(routed, "node").withColumn("place", place("hub")).groupBy("place").applyInArrow(with_hub, "u long, v long"))
+    groups = components(starred)
+    # clusters of tied images that are not one group yet
+    tied = components(ties).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    blocks = tied.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster", "k")
+    members = tied.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select(
-        "node", "root", "own",
-        F.when(F.col("k") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"),
+        "node", "cluster", "label",
+        F.when(F.col("k") == 1, place("cluster")).otherwise(F.col("cluster")).alias("place"),
         F.when(F.col("k") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("lo"), F.greatest("own", "other").alias("hi"),
     )
-    described = own.select(F.col("id").alias("node"), "features").join(spread, "node")
 
     def compare(got: pa.Table) -> pa.Table:
-        root, ids, block = (got.column(c).to_numpy() for c in ("root", "node", "own"))
-        lo, hi = got.column("lo")[0].as_py(), got.column("hi")[0].as_py()
-        parts = [tuple(x.reshape(-1, n) for x, n in zip(unpack(r.as_py()), (2, 4), strict=True)) for r in got.column("features")]
+        cluster, ids, label, parts = got.column("cluster").to_numpy(), got.column("node").to_numpy(), got.column("label").to_numpy(), parted(got)
         u, v = [], []
-        order = np.lexsort((ids, root))
-        for g in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            m = linked([parts[i] for i in g])
-            a, b = np.nonzero(m)
-            # two blocks: only links between them, those inside belong to the block's own task
-            keep = (ids[g][a] != ids[g][b]) & ((lo == hi) | (lo < 0) | (block[g][a] != block[g][b]))
-            u.append(ids[g][a[keep]])
-            v.append(ids[g][b[keep]])
-        return pa.Table.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
-
-    found = cut(described.groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long"))
-    degree = found.groupBy("u").agg(F.count("*").alias("n_links"))
-    groups = components(found.where("u > v"))
+        order = np.lexsort((ids, cluster))
+        for g in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            for i, j in join_groups([parts[k] for k in g], label[g]):
+                u.append(ids[g[i]])
+                v.append(ids[g[j]])
+        return pairs(u, v)
+
+    found = shapes.join(spread, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    final = components(starred.unionByName(found).where("u <> v"))
     rows = facts.select("id", "digest", "n").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = rows.join(degree.withColumnRenamed("u", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    out = rows.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     given = lambda c: F.when(c != NULL_ID, c)
-    return out.select(given(F.col("id")).alias("media_id"), F.col("n").alias("n_keypoints"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), given(F.coalesce("root", "rep")).alias("group_id"))
+    return out.select(given(F.col("id")).alias("media_id"), F.col("n").alias("n_keypoints"), given(F.coalesce("root", "rep")).alias("group_id"))
 
 
 def pictures(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
