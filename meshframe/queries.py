@@ -6,6 +6,7 @@ query is defined once as a DataFrame and, where SQL can say it, once as SQL for
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from meshframe.functions import expr
 from meshframe.functions.fixtures import CORNER_SQL, PIX_SQL, SEED_SQL, SIZE_SQL, corner_seeds, pixels, seeds, size
+from meshframe.functions.kernels import STEPS
 from meshframe.operators import mesh, nearest, optimize, raster, sampling, spans, stencil
 from meshframe.plans.loops import cut
 from meshframe.plans.pipeline import PLAIN, Params, reduce_images
@@ -241,7 +243,13 @@ def cell_quota(spark, d):
     return sampling.cell_quota(cell_counts(spark, d), POINTS, LEVELS, UNIFORM)
 
 
-@query()
+MIX_SQL = SEED_SQL + """, m0 AS (SELECT seed_id, cast(seed_id AS ubigint) AS x FROM seed),
+m1 AS (SELECT seed_id, cast(cast(xor(x, x >> 33) AS uhugeint) * 18397679294719823053 % 18446744073709551616 AS ubigint) AS x FROM m0),
+m2 AS (SELECT seed_id, cast(cast(xor(x, x >> 33) AS uhugeint) * 14181476777654086739 % 18446744073709551616 AS ubigint) AS x FROM m1),
+m3 AS (SELECT seed_id, xor(x, x >> 33) AS x FROM m2)"""
+
+
+@query(with_(MIX_SQL, "SELECT seed_id, cast(CASE WHEN x >= 9223372036854775808 THEN cast(x AS hugeint) - 18446744073709551616 ELSE x END AS bigint) AS mixed FROM m3"))
 def mix64(spark, d):
     return sampling.mix64(seeds(spark, d).select("seed_id"), "seed_id")
 
@@ -384,12 +392,18 @@ def empty_circle(spark, d):
     return mesh.empty_circles(s)
 
 
-@query()
+HULL_SQL = SEED_SQL + """, ext AS (SELECT DISTINCT p.x, p.y FROM seed AS p JOIN seed AS q ON p.seed_id <> q.seed_id WHERE NOT EXISTS (SELECT 1 FROM seed AS r WHERE
+  (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))),
+low AS (SELECT x AS fx, y AS fy FROM ext ORDER BY x, y LIMIT 1)"""
+HULL_OUT = with_(HULL_SQL, f"SELECT {I0}, CASE WHEN p.x = fx AND p.y = fy THEN 0 ELSE 1 + (SELECT count(*) FROM ext AS r WHERE (r.x - fx) * (p.y - fy) - (r.y - fy) * (p.x - fx) > 0) END AS pos, p.x, p.y FROM ext AS p, low")
+
+
+@query(HULL_OUT)
 def seed_hull(spark, d):
     return mesh.seed_hull(seeds(spark, d))
 
 
-@query()
+@query(HULL_OUT)
 def hull_two_phase(spark, d):
     return mesh.hull_two_phase(seeds(spark, d))
 
@@ -427,6 +441,19 @@ err AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE cast(s2 AS double) - (cast(sr AS
 COL_SQL = SUM_SQL + ", fst AS (SELECT poly_id, p.r, p.g, p.b FROM pv JOIN pix AS p ON p.y = pv.y AND p.x = pv.x WHERE pos = 0), col AS (SELECT s.poly_id, cast(CASE WHEN n > 0 THEN sr // nullif(n, 0) ELSE r END AS bigint) AS r, cast(CASE WHEN n > 0 THEN sg // nullif(n, 0) ELSE g END AS bigint) AS g, cast(CASE WHEN n > 0 THEN sb // nullif(n, 0) ELSE b END AS bigint) AS b FROM sums AS s JOIN fst ON fst.poly_id = s.poly_id)"
 
 
+def _again(tag: str, sizes: str = "size") -> str:
+    """The edges, spans and pixels of other polygons: pv becomes pv with a tag, and so on."""
+    text = PP_SQL.removeprefix(POLY_SQL)
+    text = re.sub(r"\b(pv|side|box|rw|ek|ends|cl|span|pp)\b", lambda m: m[0] + tag, text)
+    return re.sub(r"\bsize\b", sizes, text)
+
+
+def _again_sse(tag: str) -> str:
+    one = lambda c: f"cast(coalesce(sum({c}), 0) AS double)"
+    return _again(tag) + f""", err{tag} AS (SELECT o.poly_id, CASE WHEN count(p.r) = 0 THEN 0.0 ELSE {one("r * r + g * g + b * b")} - ({one("r")} * {one("r")} + {one("g")} * {one("g")} + {one("b")} * {one("b")}) / count(p.r) END AS sse
+  FROM (SELECT DISTINCT poly_id FROM pv{tag}) AS o LEFT JOIN pp{tag} AS t ON t.poly_id = o.poly_id LEFT JOIN pix AS p ON p.y = t.y AND p.x = t.x GROUP BY o.poly_id)"""
+
+
 def _spans(spark, d, polys=None):
     return spans.polygon_spans(polys if polys is not None else _polys(spark, d), size(spark, d))
 
@@ -542,14 +569,32 @@ def merge_candidates(spark, d):
     return optimize.merge_candidates(p, _sums(spark, d, p), 2.0)
 
 
-@query()
+FLIP_SQL = SUM_SQL + SHARE + """, pair AS (SELECT u, v, poly_a, poly_b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, c.seed_id AS cs, d.x AS dx, d.y AS dy, d.seed_id AS ds FROM sh JOIN pv AS a ON a.poly_id = poly_a AND a.seed_id = u JOIN pv AS b ON b.poly_id = poly_a AND b.seed_id = v
+  JOIN pv AS c ON c.poly_id = poly_a AND c.seed_id NOT IN (u, v) JOIN pv AS d ON d.poly_id = poly_b AND d.seed_id NOT IN (u, v)),
+quad AS (SELECT * FROM pair WHERE sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by_ - cy) - (dy - cy) * (bx - cx)) < 0 AND sign((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by_ - ay) * (dx - ax)) < 0),
+half AS (SELECT u, v, 0 AS half, cx AS px, cy AS py, dx AS qx, dy AS qy, ax AS rx, ay AS ry FROM quad UNION ALL SELECT u, v, 1, dx, dy, cx, cy, bx, by_ FROM quad),
+turned AS (SELECT *, (qx - px) * (ry - py) - (qy - py) * (rx - px) < 0 AS back FROM half),
+pvf AS (SELECT (u * 1000000 + v) * 2 + half AS poly_id, 3 AS n, cast(pos AS bigint) AS pos, cast(0 AS bigint) AS seed_id, CASE WHEN pos = 0 THEN px WHEN (pos = 1) <> back THEN qx ELSE rx END AS x, CASE WHEN pos = 0 THEN py WHEN (pos = 1) <> back THEN qy ELSE ry END AS y FROM turned, (VALUES (0), (1), (2)) AS t(pos))""" + _again_sse("f")
+
+
+@query(with_(FLIP_SQL, f"SELECT {I0}, u, v, poly_a, poly_b, round(ea.sse + eb.sse - f0.sse - f1.sse, 3) AS gain FROM quad JOIN err AS ea ON ea.poly_id = poly_a JOIN err AS eb ON eb.poly_id = poly_b JOIN errf AS f0 ON f0.poly_id = (u * 1000000 + v) * 2 JOIN errf AS f1 ON f1.poly_id = (u * 1000000 + v) * 2 + 1"))
 def flip_candidates(spark, d):
     p = _polys(spark, d)
     rows = spans.row_sums(pixels(spark, d))
     return optimize.flip_candidates(p, size(spark, d), rows, spans.with_sse(_sums(spark, d, p)))
 
 
-@query()
+MOVE_SQL = SUM_SQL + f""", steps AS (SELECT * FROM (VALUES {", ".join(str(s) for s in STEPS)}) AS t(dx, dy)),
+tries AS (SELECT pv.seed_id, pv.poly_id, pv.n, pv.pos, pv.x + dx AS tx, pv.y + dy AS ty FROM pv, steps, size WHERE NOT ((pv.x IN (0, w - 1)) AND (pv.y IN (0, h - 1))) AND NOT (pv.x IN (0, w - 1) AND dx <> 0) AND NOT (pv.y IN (0, h - 1) AND dy <> 0) AND pv.x + dx BETWEEN 0 AND w - 1 AND pv.y + dy BETWEEN 0 AND h - 1),
+ring AS (SELECT t.seed_id AS sid, t.tx, t.ty, t.poly_id, q.n, q.pos, q.x AS ox, q.y AS oy, CASE WHEN q.pos = t.pos THEN t.tx ELSE q.x END AS x, CASE WHEN q.pos = t.pos THEN t.ty ELSE q.y END AS y FROM tries AS t JOIN pv AS q ON q.poly_id = t.poly_id),
+bend AS (SELECT a.sid, a.tx, a.ty, a.poly_id, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS least, sum(a.x * b.y - b.x * a.y) - sum(a.ox * b.oy - b.ox * a.oy) AS grown FROM ring AS a JOIN ring AS b ON b.sid = a.sid AND b.tx = a.tx AND b.ty = a.ty AND b.poly_id = a.poly_id AND b.pos = (a.pos + 1) % a.n
+  JOIN ring AS c ON c.sid = a.sid AND c.tx = a.tx AND c.ty = a.ty AND c.poly_id = a.poly_id AND c.pos = (a.pos + 2) % a.n GROUP BY a.sid, a.tx, a.ty, a.poly_id),
+fit AS (SELECT sid, tx, ty FROM bend GROUP BY sid, tx, ty HAVING min(least) > 0 AND sum(grown) = 0 AND count(*) <= 16),
+alt AS (SELECT *, row_number() OVER (ORDER BY sid, tx, ty, poly_id) AS alt_id FROM (SELECT DISTINCT r.sid, r.tx, r.ty, r.poly_id FROM ring AS r JOIN fit ON fit.sid = r.sid AND fit.tx = r.tx AND fit.ty = r.ty) AS z),
+pvm AS (SELECT alt_id AS poly_id, n, pos, cast(0 AS bigint) AS seed_id, x, y FROM ring JOIN alt ON alt.sid = ring.sid AND alt.tx = ring.tx AND alt.ty = ring.ty AND alt.poly_id = ring.poly_id)""" + _again_sse("m")
+
+
+@query(with_(MOVE_SQL, f"SELECT {I0}, sid AS seed_id, tx, ty, round(sum(e.sse) - sum(m.sse), 3) AS gain FROM alt JOIN err AS e ON e.poly_id = alt.poly_id JOIN errm AS m ON m.poly_id = alt_id GROUP BY sid, tx, ty HAVING sum(e.sse) - sum(m.sse) > 1e-3"))
 def move_candidates(spark, d):
     p = _polys(spark, d)
     rows = cut(spans.row_sums(pixels(spark, d)))
@@ -615,7 +660,12 @@ def box_down(spark, d):
     return raster.box_down(pixels(spark, d), size(spark, d), 20, 40)
 
 
-@query()
+MAP = "cast(CASE WHEN {v} <= 0 THEN 0 WHEN {v} >= {n} - 1 THEN {to} - 1 ELSE least(greatest(round(({v} + 0.5) * {to} / {n} - 0.5), 0), {to} - 1) END AS bigint)"
+REN_SQL = COL_SQL + f""", frame AS (SELECT cast(192 AS bigint) AS w, h * 3 // 2 * 2 AS h FROM size), pvs AS (SELECT poly_id, n, pos, seed_id, {MAP.format(v="x", n="w", to="192")} AS x, {MAP.format(v="y", n="h", to="(h * 3 // 2 * 2)")} AS y FROM pv, size)""" + _again("s", "frame") + """,
+big AS (SELECT i AS y, k AS x FROM frame, unnest(range(0, h)) AS u(i), unnest(range(0, 192)) AS t(k)), tops AS (SELECT y, x, max(poly_id) AS poly_id FROM pps GROUP BY y, x)"""
+
+
+@query(with_(REN_SQL, f"SELECT {I0}, cast(b.y // 2 AS bigint) AS y, cast(b.x // 2 AS bigint) AS x, cast((sum(coalesce(c.r, 0)) + 2) // 4 AS bigint) AS r, cast((sum(coalesce(c.g, 0)) + 2) // 4 AS bigint) AS g, cast((sum(coalesce(c.b, 0)) + 2) // 4 AS bigint) AS b FROM big AS b LEFT JOIN tops AS t ON t.y = b.y AND t.x = b.x LEFT JOIN col AS c ON c.poly_id = t.poly_id GROUP BY b.y // 2, b.x // 2"))
 def render_scaled(spark, d):
     p = _polys(spark, d)
     h = size(spark, d).first()["h"]
