@@ -1,8 +1,9 @@
 """Lexical retrieval packing into sequences of a fixed number of tokens.
 
-1. Texts become token ids once (checkpointed, compressed); document frequencies of all tokens are counted over all rows.
+1. Texts become token ids once (checkpointed); document frequencies of all tokens are counted over all rows.
 2. A document goes to the index shard of its rarest shared token. Shards hold a bounded number of tokens: ranges of
-   tokens are cut by their counted sizes, and a token too large for one shard is spread over several by doc_id.
+   tokens are cut by their sizes (from a sample: only balance depends on it), and a token too large for one shard is
+   spread over several by a hash.
 3. A shard gives whole windows of long documents a sequence each. The tails stand in a BM25 inverted index; each seed
    asks it with its rarest tokens for neighbours not yet used, which fill the window in order of score. The neighbour
    that does not fit is cut, and its rest is the next seed; where no neighbour is left, the next unused tail follows.
@@ -27,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.llm.common import cut, pack, unpack
+from meshframe.llm import textops as T
+from meshframe.llm.common import cut
 
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 8 << 20
 QUERY_TOKENS = 12
+#: One document in so many tells how many tokens the topics hold.
+SAMPLE_EVERY = 8
 K1, B = 1.2, 0.75
 #: Pieces of text that byte-level BPE never merges across (a fixed value of this kind of tokenizer).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,7 +67,8 @@ def encoder(path: str):
         special = {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
         bpe = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [bpe.encode_to_numpy(t, disallowed_special=()) for t in texts]
+        # faster than the encoder's own arrays, for which it looks for special tokens
+        return lambda texts: [np.array(bpe.encode_ordinary(t), np.uint32) for t in texts]
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
@@ -71,19 +76,40 @@ def encoder(path: str):
     return lambda texts: [np.array(x.ids, np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=2)
+def id_type(path: str) -> str:
+    """The narrowest array type that holds all ids of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    last = max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", [])), END_ID])
+    return "<u2" if last < 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n and the ids (with the end id), packed."""
+    """doc_id, n and the ids (with the end id) as bytes of an array."""
+    kind = id_type(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
             ids = [np.append(x, np.uint32(END_ID)) for x in encode([t or "" for t in b.column(1).to_pylist()])]
-            narrow = [x.astype(np.uint16) if int(x.max()) < 1 << 16 else x for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x) for x in narrow], pa.binary())], names=["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def arrays(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
+    """The id arrays of a column, without copies."""
+    if isinstance(column, pa.ChunkedArray):
+        for chunk in column.chunks:
+            yield from arrays(chunk, kind)
+        return
+    buf, off = T.buffer(column)
+    flat, off = buf.view(kind), (off // np.dtype(kind).itemsize).tolist()
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        yield flat[a:b]
+
+
 class Present:
     """Distinct ids of one document after another, without sorting."""
 
@@ -99,14 +125,14 @@ class Present:
         return out
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
     """Documents that hold each id; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present, total = Present(), np.zeros(1 << 16, np.int64)
         for b in batches:
-            for blob in b.column(0):
-                some = present(unpack(blob.as_py())[0])
+            for ids in arrays(b.column(0), kind):
+                some = present(ids)
                 if int(some[-1]) >= len(total):
                     total = np.concatenate((total, np.zeros(int(some[-1]) * 2 - len(total), np.int64)))
                 total[some] += 1
@@ -120,7 +146,7 @@ def document_frequencies(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def topics(tokens: DataFrame, df: np.ndarray) -> DataFrame:
+def topics(tokens: DataFrame, df: np.ndarray, kind: str) -> DataFrame:
     """tokens with the rarest id that another document has too."""
     rank = np.where(df > 1, df, np.iinfo(np.int64).max)
 
@@ -128,29 +154,33 @@ def topics(tokens: DataFrame, df: np.ndarray) -> DataFrame:
         present = Present()
         for b in batches:
             out = []
-            for blob in b.column("ids"):
-                some = present(unpack(blob.as_py())[0])
+            for ids in arrays(b.column("ids"), kind):
+                some = present(ids)
                 out.append(int(some[np.argmin(rank[some])]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "n", "ids", "topic"])
 
     return tokens.mapInArrow(run, "doc_id long, n long, ids binary, topic long")
 
 
-def deal(sizes: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
-    """First shard and number of shards of each topic, from the topics' tokens."""
-    out, at, held = {}, 0, 0
+def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each topic, from the topics' tokens; a topic without a size joins the one before."""
+    first, parts = np.zeros(vocabulary, np.int64), np.ones(vocabulary, np.int64)
+    at, held, last = 0, 0, -1
     for topic, n in sorted(sizes.items()):
-        parts = -(-n // most)
-        if parts > 1:
+        first[last + 1 : topic] = at
+        own = -(-n // most)
+        if own > 1:
             at += held > 0
-            out[topic] = (at, parts)
-            at, held = at + parts, 0
+            first[topic], parts[topic] = at, own
+            at, held = at + own, 0
         else:
             if held + n > most:
                 at, held = at + 1, 0
-            out[topic] = (at, 1)
+            first[topic] = at
             held += n
-    return out
+        last = topic
+    first[last + 1 :] = at
+    return first, parts
 
 
 def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -226,14 +256,14 @@ def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, wind
 def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and their ids if asked for."""
     tokens = cut(tokenize(docs, path, doc_id, text))
+    kind = id_type(path)
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    df = document_frequencies(tokens)
-    marked = topics(tokens, df)
-    sizes = {r["topic"]: r["n"] for r in marked.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
-    places = deal(sizes, SHARD_TOKENS)
-    first, parts = np.zeros(len(df), np.int64), np.ones(len(df), np.int64)
-    for topic, (a, n) in places.items():
-        first[topic], parts[topic] = a, n
+    df = document_frequencies(tokens, kind)
+    marked = topics(tokens, df, kind)
+    # a sample of documents sets the ranges; only the balance of shards depends on it
+    sample = topics(tokens.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(SAMPLE_EVERY)) == 0), df, kind)
+    sizes = {r["topic"]: r["n"] * SAMPLE_EVERY for r in sample.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
+    first, parts = deal(sizes, SHARD_TOKENS, len(df))
     mean = total / n_docs if n_docs else 1.0
 
     @F.pandas_udf("int")
@@ -246,7 +276,7 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
-        ids = [unpack(x.as_py())[0] for x in got.column("ids")]
+        ids = list(arrays(got.column("ids"), kind))
         name = got.column("doc_id").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (name[i] is None, name[i] or 0, ids[i].tobytes()))
         ids, name = [ids[i] for i in order], [name[i] for i in order]
