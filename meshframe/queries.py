@@ -712,6 +712,19 @@ def stage_voronoi(spark, d):
     return voronoi_grid(spark, d).select("image_id", "y", "x", raster.id_colour(F.col("seed_id")).alias("c")).select("image_id", "y", "x", "c.r", "c.g", "c.b")
 
 
+@query()
+def stage_polygons(spark, d):
+    """The wireframe over black: triangles and quads in colours of their own."""
+    w = raster.wireframe(_polys(spark, d), size(spark, d))
+    p = pixels(spark, d).select("image_id", "y", "x", *(F.lit(0).cast("bigint").alias(c) for c in "rgb"))
+    return raster.overlay(raster.overlay(p, w.where("n = 3"), (0, 229, 255)), w.where("n = 4"), (255, 138, 0))
+
+
+@query()
+def hull_overlay(spark, d):
+    return raster.overlay(pixels(spark, d), raster.closed_lines(seed_hull(spark, d)), (255, 0, 0))
+
+
 @query()
 def pipeline_plain(spark, d):
     return mesh.poly_vertices(reduce_images(pixels(spark, d), Params(points=600, **PLAIN)))

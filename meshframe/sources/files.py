@@ -206,3 +206,42 @@ def svg_document(paths: list[str], w: int, h: int, W: int, H: int) -> str:
 
 def text_document(shapes: list[str], w: int, h: int) -> str:
     return f"P6\n{w} {h}\n255\n{len(shapes)}\n" + "".join(shapes)
+
+
+# Sinks ----------------------------------------------------------------------------------------------------------------
+
+WRITERS = {"png": encode_png, "ppm": encode_ppm}
+
+
+def kind_of(path: str) -> str:
+    """The kind of file that a name asks for; ValueError for one that cannot be written."""
+    kind = path.rpartition(".")[2].lower() if "." in path else ""
+    if kind not in {*WRITERS, "svg", "txt"}:
+        raise ValueError(f"cannot write {path}")
+    return kind
+
+
+def save_images(pixels: DataFrame, path: str) -> list[str]:
+    """Writes each image where the driver runs, one at a time; {} in the path stands for its id."""
+    kind, out = kind_of(path), []
+    for row in encode_images(pixels, kind).toLocalIterator():
+        name = path.replace("{}", str(row["image_id"]))
+        with open(name, "wb") as f:
+            f.write(bytes(row["content"]))
+        out.append(name)
+    return out
+
+
+def save_shapes(lines: DataFrame, sizes: DataFrame, path: str, scale: float = 1.0) -> list[str]:
+    """Writes the drawings (svg: rows of image_id, poly_id, path) or text forms (txt: shape) of images, in polygon order."""
+    kind, out = kind_of(path), []
+    column = {"svg": "path", "txt": "shape"}[kind]
+    for s in sizes.toLocalIterator():
+        w, h = s["w"], s["h"]
+        own = [r[0] for r in lines.where(F.col("image_id") == s["image_id"]).orderBy("poly_id").select(column).toLocalIterator()]
+        text = svg_document(own, w, h, max(1, round(w * scale)), max(1, round(h * scale))) if kind == "svg" else text_document(own, w, h)
+        name = path.replace("{}", str(s["image_id"]))
+        with open(name, "w", encoding="utf-8") as f:
+            f.write(text)
+        out.append(name)
+    return out

@@ -85,6 +85,26 @@ def test_photos_through_the_image_source(spark, tmp_path):
     assert got == {(y, x): tuple(int(c) for c in tiny()[y, x]) for y in range(5) for x in range(7)}
 
 
+def test_sinks(spark, tmp_path):
+    names = files.save_images(frame(spark, tiny(), 3), f"{tmp_path}/ö-{{}}.png")
+    assert names == [f"{tmp_path}/ö-3.png"] and (files.decode_png(open(names[0], "rb").read()) == tiny()).all()
+    sizes = spark.createDataFrame([(3, 7, 5)], "image_id long, w long, h long")
+    shapes = spark.createDataFrame([(3, 1, "<path b/>", "Qua\n"), (3, 0, "<path a/>", "Tri\n")], "image_id long, poly_id long, path string, shape string")
+    assert open(files.save_shapes(shapes, sizes, f"{tmp_path}/{{}}.svg", 2.0)[0]).read().splitlines()[2:4] == ["<path a/>", "<path b/>"]
+    assert open(files.save_shapes(shapes, sizes, f"{tmp_path}/{{}}.txt")[0]).read() == "P6\n7 5\n255\n2\nTri\nQua\n"
+    for bad in ("x", "x.heic"):
+        with pytest.raises(ValueError):
+            files.kind_of(bad)
+
+
+def test_closed_line_of_a_ring(spark):
+    from meshframe.operators import raster
+
+    ring = spark.createDataFrame([(0, 0, 0, 0), (0, 1, 4, 0), (0, 2, 4, 3), (0, 3, 0, 3)], "image_id long, pos long, x long, y long")
+    got = {(r["x"], r["y"]) for r in raster.closed_lines(ring).collect()}
+    assert got == {(x, y) for x in range(5) for y in range(4) if x in (0, 4) or y in (0, 3)}
+
+
 def test_documents():
     svg = files.svg_document(['<path d="M0 0l2 0 0 2z" color="#fff"/>'], 10, 8, 20, 16)
     assert 'viewBox="0 0 20 16"' in svg and 'stroke-width="1"' in svg and svg.count("<path") == 1
