@@ -1,10 +1,19 @@
-"""Cutting the lineage of driver loops."""
+"""What sessions need: lineage cut in driver loops, and Python workers that find this package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where it lies (on a cluster: from a place that all nodes have)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
 def cut(df: DataFrame) -> DataFrame:

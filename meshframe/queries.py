@@ -16,7 +16,7 @@ from meshframe.functions import expr
 from meshframe.functions.fixtures import CORNER_SQL, PIX_SQL, SEED_SQL, SIZE_SQL, corner_seeds, pixels, seeds, size
 from meshframe.functions.kernels import STEPS
 from meshframe.operators import mesh, nearest, optimize, raster, sampling, spans, stencil
-from meshframe.plans.loops import cut
+from meshframe.plans.loops import cut, ship
 from meshframe.plans.pipeline import PLAIN, Params, reduce_images
 from meshframe.sources import files
 
@@ -31,7 +31,11 @@ def query(sql: str | None = None):
     """Registers a query under the function's name; sql: its oracle."""
 
     def put(f):
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f
