@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import struct
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +87,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives memory of finished work back to the system, so that a Python worker holds what one task needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

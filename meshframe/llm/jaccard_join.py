@@ -8,10 +8,12 @@ their symmetric difference is at most (|A| + |B|)(den - num)/(den + num), so:
 So every link shares a signature. A few more parts than needed (slack) let signatures of nothing be left out: a set
 with few empty ones needs none of them, and only sets with many emit them.
 
-Signatures go as packed arrays to buckets; the holders of one are tied to its smallest holder (a star, no pairs), and
-components of these stars are clusters. Within a cluster, texts meet in blocks of bounded size (each block against each
-other), where intersections of all sets are counted exactly; the links' components are the result. Sets that equal one
-already seen in the same task send no signatures.
+Signatures go as packed arrays to buckets. A passage that many documents share makes unlike sets share small
+signatures, so the holders of one are compared by sketches first: counts of a set's elements in PARTS parts of the
+domain, whose differences add up to no more than the sets' symmetric difference. Pairs too far apart by that bound
+cannot link; components of the others, as stars, are clusters. Within a cluster, texts meet in blocks of bounded size
+(each block against each other), where intersections of all sets are counted exactly; the links' components are the
+result. Sets that equal one already seen in the same task send no signatures.
 
 Defined cases: null, empty or white texts have no shingle and no link; with fewer words than a shingle the whole text is
 one; rows of one doc_id are one document, linked when any of its rows is; a null doc_id sorts last and is one document;
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 
 from meshframe.llm import repeats
 from meshframe.llm import textops as T
-from meshframe.llm.common import NULL_ID, bucket_count, cut, pack, unpack
+from meshframe.llm.common import NULL_ID, bucket_count, cut, pack, release, unpack
 from meshframe.llm.graph import components
 
 RATIO = 1.5
 BLOCK = 256
+#: Parts of the domain whose counts are a set's sketch.
+PARTS = 256
 _FLUSH = 1 << 21
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -142,6 +146,59 @@ def same_sets(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sketches(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Elements of each of n sets by part of the domain, 255 at most: that only lowers differences."""
+    part = (T.mix(h ^ _ONE) >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(row * PARTS + part, minlength=n * PARTS).reshape(n, PARTS), 255).astype(np.uint8)
+
+
+def near(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes may link."""
+    apart = np.abs(a.astype(np.int16) - b).sum(-1, dtype=np.int64)
+    return apart * (den + num) <= (na + nb) * (den - num)
+
+
+def ties(group: np.ndarray, at: np.ndarray, doc: np.ndarray, size: np.ndarray, sketch: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the sets of each group whose sketches are near one another.
+
+    group, at: the sets (rows of doc, size, sketch) of each group; group ascends.
+    """
+    edge = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(group)]))
+    count = np.diff(edge)
+    us, vs = [], []
+    two = edge[:-1][count == 2]
+    for i in range(0, len(two), 4096):
+        a, b = at[two[i : i + 4096]], at[two[i : i + 4096] + 1]
+        ok = near(sketch[a], size[a], sketch[b], size[b], num, den)
+        us.append(doc[b][ok])
+        vs.append(doc[a][ok])
+    for a, m in zip(edge[:-1][count > 2].tolist(), count[count > 2].tolist(), strict=True):
+        x = at[a : a + m]
+        x = x[np.argsort(size[x], kind="stable")]
+        sizes = size[x]
+        open_ = np.ones(m, bool)
+        # fronts of near sets: each set is compared once with all that are still open and of a size that may link
+        for i in range(m):
+            if not open_[i]:
+                continue
+            open_[i], front = False, [i]
+            while front:
+                k = front.pop()
+                lo, hi = np.searchsorted(sizes, -(-sizes[k] * num // den)), np.searchsorted(sizes, sizes[k] * den // num, "right")
+                rest = lo + np.flatnonzero(open_[lo:hi])
+                for j in range(0, len(rest), 4096):
+                    part = rest[j : j + 4096]
+                    hit = part[near(sketch[x[part]], sizes[part], sketch[x[k]], sizes[k], num, den)]
+                    open_[hit] = False
+                    front += hit.tolist()
+                    us.append(doc[x[hit]])
+                    vs.append(np.full(len(hit), doc[x[i]]))
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u[u != v], v[u != v]
+
+
 def links(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
     """Matrix of links between a few sets, with exact intersections."""
     m = len(size)
@@ -183,7 +240,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     buckets = bucket_count(docs, text)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blobs by bucket: 0 signatures with their documents, 1 documents with their sizes, 2 known links."""
+        """Blobs by bucket: 0 signatures with their documents, 1 documents with sizes and sketches, 2 known links."""
         held: list[tuple] = []
         seen: dict[tuple, int] = {}
 
@@ -199,7 +256,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             for i, j in T.slices(off):
                 row, h = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 part, size = ids[i:j], np.bincount(row, minlength=j - i)
-                yield repeats.blobs((b, b"\1" + x) for b, x in repeats.by_bucket(part % buckets, part, size))
+                yield repeats.blobs((b, b"\1" + x) for b, x in repeats.by_bucket(part % buckets, part, size, sketches(row, h, j - i)))
                 fresh, twins = np.zeros(j - i, bool), []
                 for k, key in enumerate(map(tuple, same_sets(row, h, j - i).tolist())):
                     if size[k]:
@@ -222,11 +279,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             yield flush()
 
     def meet(got: pa.Table) -> pa.Table:
-        """Holders of a signature with its smallest holder, to the holder's bucket; sizes and known links pass."""
+        """Groups that share a signature (3: group, document), to the documents' buckets; other blobs pass."""
+        own = got.column("bucket")[0].as_py()
         out, sigs, ids = [], [], []
         for raw in (x.as_py() for x in got.column("blob")):
             if raw[0]:
-                out.append((got.column("bucket")[0].as_py(), raw))
+                out.append((own, raw))
             else:
                 s, d = unpack(raw[1:])
                 sigs.append(s)
@@ -235,30 +293,82 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             s, d = np.concatenate(sigs), np.concatenate(ids)
             order = np.lexsort((d, s))
             s, d = s[order], d[order]
-            first = np.maximum.accumulate(np.where(np.concatenate(([True], s[1:] != s[:-1])), np.arange(len(s)), 0))
-            u, v = d, d[first]
-            u, v = u[u != v], v[u != v]
-            if len(u):
-                u, v = np.unique(np.stack([u, v], 1), axis=0).T
-                out += [(b, b"\3" + x) for b, x in repeats.by_bucket(u % buckets, u, v)]
+            once = np.concatenate(([True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])))
+            s, d = s[once], d[once]
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            count = np.bincount(group)
+            # signatures with the same holders are one group
+            holders = np.zeros(len(first), np.uint64)
+            np.add.at(holders, group, T.mix(d.astype(np.uint64) + _ONE))
+            _, kept = np.unique(holders, return_index=True)
+            keep = np.zeros(len(first), bool)
+            keep[kept] = count[kept] > 1
+            keep = keep[group]
+            g, d = (group[keep] + (np.int64(own) << 32)), d[keep]
+            if len(g):
+                out += [(b, b"\3" + x) for b, x in repeats.by_bucket(d % buckets, g, d)]
         return pa.Table.from_batches([repeats.blobs(out)])
 
-    def gather(got: pa.Table) -> pa.Table:
+    def attach(got: pa.Table) -> pa.Table:
+        """Groups with their documents' sizes and sketches (4), to the groups' buckets; other blobs pass."""
+        own = got.column("bucket")[0].as_py()
+        out, facts_, groups = [], [], []
+        for raw in (x.as_py() for x in got.column("blob")):
+            if raw[0] == 3:
+                groups.append(np.stack(unpack(raw[1:]), 1))
+            else:
+                out.append((own, raw))
+                if raw[0] == 1:
+                    d, size, sketch = unpack(raw[1:])
+                    facts_.append((d, size, sketch.reshape(-1, PARTS)))
+        if groups and facts_:
+            g, d = np.concatenate(groups).T
+            cols = [np.concatenate(x) for x in zip(*facts_, strict=True)]
+            order = np.argsort(cols[0], kind="stable")
+            cols = [c[order] for c in cols]
+            # a document that has several rows stands in its groups with each of them
+            lo, hi = np.searchsorted(cols[0], d, "left"), np.searchsorted(cols[0], d, "right")
+            n = hi - lo
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            g = np.repeat(g, n)
+            order = np.argsort(g >> 32, kind="stable")
+            g, at = g[order], at[order]
+            for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g >> 32)) + 1) if len(g) else []:
+                # a document's sketch goes to a bucket once, whatever number of groups it has there
+                some, number = np.unique(at[part], return_inverse=True)
+                out.append((int(g[part[0]] >> 32), b"\4" + pack((g[part] & 0xFFFFFFFF).astype(np.uint32), number.astype(np.uint32), cols[0][some], cols[1][some], cols[2][some].reshape(-1))))
+        release()
+        return pa.Table.from_batches([repeats.blobs(out)])
+
+    def judge(got: pa.Table) -> pa.Table:
         rows = {1: [], 2: [], 3: []}
+        members = []
         for raw in (x.as_py() for x in got.column("blob")):
-            rows[raw[0]].append(np.stack([x.astype(np.int64) for x in unpack(raw[1:])], 1))
-        kinds, flat = [], []
+            cols = unpack(raw[1:])
+            if raw[0] == 4:
+                members.append((*cols[:4], cols[4].reshape(-1, PARTS)))
+            else:
+                rows[raw[0]].append(np.stack([x.astype(np.int64) for x in cols[:2]], 1))
+        if members:
+            base = np.cumsum([0] + [len(m[2]) for m in members])
+            at = np.concatenate([m[1].astype(np.int64) + b for m, b in zip(members, base[:-1], strict=True)])
+            g, d, size, sketch = (np.concatenate([m[k] for m in members]) for k in (0, 2, 3, 4))
+            del members
+            order = np.lexsort((d[at], g))
+            u, v = ties(g[order], at[order], d, size.astype(np.int64), sketch, num, den)
+            rows[3].append(np.unique(np.stack([u, v], 1), axis=0))
+        kinds, flat = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for kind, parts in rows.items():
-            if parts:
-                x = np.concatenate(parts)
-                x = np.unique(x, axis=0) if kind > 1 else x
+            for x in parts:
                 kinds.append(np.full(len(x), kind))
                 flat.append(x)
-        kind, x = (np.concatenate(kinds), np.concatenate(flat)) if kinds else (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
-        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["kind", "u", "v"])
+        kind, x = np.concatenate(kinds), np.concatenate(flat)
+        release()
+        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(x[:, 0], pa.int64()), pa.array(x[:, 1], pa.int64())], names=["kind", "u", "v"])
 
     blobs = docs.select(F.col(doc_id), F.col(text)).mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB)
-    facts = cut(blobs.groupBy("bucket").applyInArrow(gather, "kind long, u long, v long"))
+    facts = cut(blobs.groupBy("bucket").applyInArrow(attach, repeats.BLOB).groupBy("bucket").applyInArrow(judge, "kind long, u long, v long"))
     clusters = components(facts.where("kind = 3").select("u", "v"))
     blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     members = clusters.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
@@ -286,6 +396,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
             us.append(ids[a:b])
             vs.append(ids[a:b][top])
         u, v = np.concatenate(us), np.concatenate(vs)
+        release()
         return pa.Table.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
     found = texts.groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")

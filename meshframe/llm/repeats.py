@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm import textops as T
-from meshframe.llm.common import NULL_ID, pack, unpack
+from meshframe.llm.common import NULL_ID, pack, release, unpack
 
 #: Anchors that a map task gathers before it sends them out.
 _FLUSH = 1 << 20
@@ -58,12 +58,12 @@ def doc_ids(column: pa.Array) -> np.ndarray:
 
 
 def by_bucket(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """One packed blob for each bucket that has rows, rows in their order."""
+    """One packed blob for each bucket that has rows, rows in their order; an array of rows of numbers is flattened."""
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
     edges = np.flatnonzero(np.diff(sorted_)) + 1
     for part in np.split(order, edges) if len(order) else []:
-        yield int(bucket[part[0]]), pack(*(a[part] for a in arrays))
+        yield int(bucket[part[0]]), pack(*(a[part].reshape(-1) for a in arrays))
 
 
 def blobs(pairs) -> pa.RecordBatch:
@@ -149,7 +149,9 @@ def with_hits(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, make: Ca
         d, p, a, b, route = d[new], p[new], np.maximum.reduceat(a, new), np.minimum.reduceat(b, new), route[new]
         lo, hi = np.searchsorted(d, ids, "left"), np.searchsorted(d, ids, "right")
         rows = ((int(ids[i]), int(tie[i]), texts[i], p[lo[i] : hi[i]], a[lo[i] : hi[i]], b[lo[i] : hi[i]], route[lo[i] : hi[i]]) for i in range(len(ids)) if hi[i] > lo[i])
-        return pa.Table.from_batches([blobs(make(rows))])
+        out = pa.Table.from_batches([blobs(make(rows))])
+        release()
+        return out
 
     return docs.groupBy("__mf_bucket").cogroup(hits.groupBy("bucket")).applyInArrow(run, schema)
 
@@ -196,6 +198,7 @@ def remove(docs: DataFrame, flags: DataFrame, doc_id: str, text: str, units: Uni
             else:
                 kept.append(buf[~covered].tobytes())
         out = [table.column(c) for c in keep] + [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
+        release()
         return pa.Table.from_arrays(out, names=[*keep, *names])
 
     return docs.groupBy("__mf_bucket").cogroup(flags.groupBy("bucket")).applyInArrow(run, schema)

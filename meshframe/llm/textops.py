@@ -63,17 +63,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    up, down = _powers(size)
-    return up[: n + 1], down[: n + 1]
+    """Powers 0..n of the base and of its inverse; only the longest made so far are kept."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(1 << 16, n + 1 + (n >> 3))
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = np.cumprod(up), np.cumprod(down)
+    return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
 @lru_cache(maxsize=1)
