@@ -7,8 +7,8 @@
    descriptors that differ in at most four bits share a key. Images of a key are tied to its smallest image (a star, no
    pairs), if by TIED corners or more.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
-   that agree with one transform link the images. Each image is first compared with those it is tied to. Where tied
-   images are not all linked after that, they meet in blocks of bounded size, and images of different groups are compared.
+   that agree with one transform link the images. Each image is first compared with the hub that it shares most corners
+   with. Where tied images are not all linked after that, they meet in blocks of bounded size, and images of different groups are compared.
 
 Equal contents are one class with one representative; the result has each row's group. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
 copies of one another; other equal contents are one class, also without a corner); ties of strength go to the larger
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meshframe.llm import repeats
 from meshframe.llm.common import NULL_ID, cut, pack, prime_at_least, unpack
-from meshframe.llm.graph import components
+from meshframe.llm.graph import components, least_of
 
 KEYPOINTS = 40
 LEVELS, STEP = 3, 1.5
@@ -256,16 +256,24 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[:, 0] % buckets, *rows.T))])
 
     def count(got: pa.Table) -> pa.Table:
+        """For each image the hub that it shares most corners with (1), and one star for each component of ties (2)."""
         rows = np.unique(np.concatenate([np.stack(unpack(x.as_py()), 1) for x in got.column("blob")]), axis=0)
         pair, n = np.unique(rows[:, :2], axis=0, return_counts=True)
-        pair = pair[n >= TIED]
-        return pa.Table.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
-
-    ties = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "u long, v long")
-    ties = cut(ties)
+        pair, n = pair[n >= TIED], n[n >= TIED]
+        if not len(pair):
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=["kind", "u", "v"])
+        order = np.lexsort((pair[:, 1], -n, pair[:, 0]))
+        best = pair[order][np.concatenate(([True], np.diff(pair[order][:, 0]) != 0))]
+        u, v = least_of(*pair.T)
+        kind = np.repeat([1, 2], [len(best), len(u)])
+        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(np.concatenate((best[:, 0], u))), pa.array(np.concatenate((best[:, 1], v)))], names=["kind", "u", "v"])
+
+    found = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "kind long, u long, v long")
+    found = cut(found)
+    ties = found.where("kind = 1")
     shapes = own.select(F.col("id").alias("node"), "features")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    # an image goes to each hub that it is tied to, and a hub to itself
+    # an image goes to the hub that it shares most with, and a hub to itself
     routed = ties.select(F.col("u").alias("node"), F.col("v").alias("hub")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("hub")).distinct())
     parted = lambda got: [tuple(x.reshape(-1, n) for x, n in zip(unpack(r.as_py()), (2, 4), strict=True)) for r in got.column("features")]
 
@@ -287,7 +295,7 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
     starred = cut(shapes.join(routed, "node").withColumn("place", place("hub")).groupBy("place").applyInArrow(with_hub, "u long, v long"))
     groups = components(starred)
     # clusters of tied images that are not one group yet
-    tied = components(ties).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    tied = components(found.where("kind = 2").select("u", "v")).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     blocks = tied.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster", "k")
     members = tied.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select(
@@ -306,8 +314,8 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
                 v.append(ids[g[j]])
         return pairs(u, v)
 
-    found = shapes.join(spread, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
-    final = components(starred.unionByName(found).where("u <> v"))
+    more = shapes.join(spread, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    final = components(starred.unionByName(more).where("u <> v"))
     rows = facts.select("id", "digest", "n").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = rows.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     given = lambda c: F.when(c != NULL_ID, c)
