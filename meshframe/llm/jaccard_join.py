@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from meshframe.llm import repeats
 from meshframe.llm import textops as T
 from meshframe.llm.common import NULL_ID, bucket_count, cut, pack, release, unpack
-from meshframe.llm.graph import components
+from meshframe.llm.graph import components, least_of
 
 RATIO = 1.5
 BLOCK = 256
@@ -275,8 +275,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
                 held.append((sig[order], part[r[order]]))
                 if sum(len(x[0]) for x in held) >= _FLUSH:
                     yield flush()
+                    release()
         if held:
             yield flush()
+        release()
 
     def meet(got: pa.Table) -> pa.Table:
         """Groups that share a signature (3: group, document), to the documents' buckets; other blobs pass."""
@@ -342,34 +344,45 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         return pa.Table.from_batches([repeats.blobs(out)])
 
     def judge(got: pa.Table) -> pa.Table:
-        rows = {1: [], 2: [], 3: []}
-        members = []
+        """A star for each component of near holders in a bucket (5: document, hub), to the documents' buckets."""
+        own = got.column("bucket")[0].as_py()
+        out, members = [], []
         for raw in (x.as_py() for x in got.column("blob")):
-            cols = unpack(raw[1:])
             if raw[0] == 4:
+                cols = unpack(raw[1:])
                 members.append((*cols[:4], cols[4].reshape(-1, PARTS)))
             else:
-                rows[raw[0]].append(np.stack([x.astype(np.int64) for x in cols[:2]], 1))
+                out.append((own, raw))
         if members:
             base = np.cumsum([0] + [len(m[2]) for m in members])
             at = np.concatenate([m[1].astype(np.int64) + b for m, b in zip(members, base[:-1], strict=True)])
             g, d, size, sketch = (np.concatenate([m[k] for m in members]) for k in (0, 2, 3, 4))
             del members
             order = np.lexsort((d[at], g))
-            u, v = ties(g[order], at[order], d, size.astype(np.int64), sketch, num, den)
-            rows[3].append(np.unique(np.stack([u, v], 1), axis=0))
+            u, v = least_of(*ties(g[order], at[order], d, size.astype(np.int64), sketch, num, den))
+            out += [(b, b"\5" + x) for b, x in repeats.by_bucket(u % buckets, u, v)]
+        release()
+        return pa.Table.from_batches([repeats.blobs(out)])
+
+    def settle(got: pa.Table) -> pa.Table:
+        """Rows of what is known: 1 sizes, 2 equal sets, 5 stars, each once though many buckets have found it."""
+        rows = {1: [], 2: [], 5: []}
+        for raw in (x.as_py() for x in got.column("blob")):
+            rows[raw[0]].append(np.stack([x.astype(np.int64) for x in unpack(raw[1:])[:2]], 1))
         kinds, flat = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
         for kind, parts in rows.items():
-            for x in parts:
+            if parts:
+                x = np.concatenate(parts)
+                x = np.unique(x, axis=0) if kind == 5 else x
                 kinds.append(np.full(len(x), kind))
                 flat.append(x)
         kind, x = np.concatenate(kinds), np.concatenate(flat)
-        release()
         return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(x[:, 0], pa.int64()), pa.array(x[:, 1], pa.int64())], names=["kind", "u", "v"])
 
     blobs = docs.select(F.col(doc_id), F.col(text)).mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB)
-    facts = cut(blobs.groupBy("bucket").applyInArrow(attach, repeats.BLOB).groupBy("bucket").applyInArrow(judge, "kind long, u long, v long"))
-    clusters = components(facts.where("kind = 3").select("u", "v"))
+    stars = blobs.groupBy("bucket").applyInArrow(attach, repeats.BLOB).groupBy("bucket").applyInArrow(judge, repeats.BLOB)
+    facts = cut(stars.groupBy("bucket").applyInArrow(settle, "kind long, u long, v long"))
+    clusters = components(facts.where("kind = 5").select("u", "v"))
     blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     members = clusters.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).select(

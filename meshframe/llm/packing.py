@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm import textops as T
-from meshframe.llm.common import cut
+from meshframe.llm.common import cut, release
 
 WINDOW = 2048
 END_ID = 1
-SHARD_TOKENS = 8 << 20
+SHARD_TOKENS = 4 << 20
 QUERY_TOKENS = 12
 #: One document in so many tells how many tokens the topics hold.
 SAMPLE_EVERY = 8
@@ -94,6 +94,7 @@ def tokenize(docs: DataFrame, path: str, doc_id: str, text: str) -> DataFrame:
         for b in batches:
             ids = [np.append(x, np.uint32(END_ID)) for x in encode([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "n", "ids"])
+            release()
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -186,16 +187,19 @@ def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray,
 def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as (tail, start, length); all are full but the last."""
     present = Present()
-    terms = [present(t) for t in tails]
+    terms = [present(t).astype(np.int32) for t in tails]
     count = [np.bincount(t, minlength=1)[u] for t, u in zip(tails, terms, strict=True)]
-    tok = np.concatenate(terms)
-    doc = np.repeat(np.arange(len(tails)), [len(u) for u in terms])
-    tf = np.concatenate(count).astype(np.float64)
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    length = np.array([len(t) for t in tails], np.float64)
-    weight = (idf[tok] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))).astype(np.float32)
-    order = np.argsort(tok, kind="stable")
+    tok = np.concatenate(terms).astype(np.int32)
+    doc = np.repeat(np.arange(len(tails), dtype=np.int32), [len(u) for u in terms])
+    tf = np.concatenate(count).astype(np.float32)
+    del count
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+    norm = (K1 * (1 - B + B * np.array([len(t) for t in tails]) / mean)).astype(np.float32)
+    weight = idf[tok] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+    del tf
+    order = np.argsort(tok, kind="stable").astype(np.int32)
     tok, doc, weight = tok[order], doc[order], weight[order]
+    del order
     edge = np.searchsorted(tok, np.arange(len(df) + 1))
     held = np.diff(edge)
     used = np.zeros(len(tails), bool)
@@ -309,6 +313,7 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         if with_ids:
             edge = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int32)
             out.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate(held).astype(np.int32))))
+        release()
         return pa.Table.from_arrays(out, names=names + ["ids"] * with_ids)
 
     salt = F.abs(F.xxhash64("doc_id", "n") % F.lit(1 << 30))

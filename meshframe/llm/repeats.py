@@ -95,8 +95,10 @@ def anchor_hits(docs: DataFrame, doc_id: str, text: str, units: Units, buckets:
                 held.append((h, ids[i:j][r], p, a, b))
                 if sum(len(x[0]) for x in held) >= _FLUSH:
                     yield flush()
+                    release()
         if held:
             yield flush()
+        release()
 
     def meet(got: pa.Table) -> pa.Table:
         h, d, p, a, b = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in got.column("blob")), strict=True))
@@ -109,6 +111,8 @@ def anchor_hits(docs: DataFrame, doc_id: str, text: str, units: Units, buckets:
         many = (d[first] != d[last] if across else last > first)[group]
         route = (d[first] % buckets).astype(np.uint32)[group]
         order, d, route = order[many], d[many], route[many]
+        del h, group
+        release()
         return pa.Table.from_batches([blobs(by_bucket(d % buckets, d, p[order], a[order], b[order], route))])
 
     sent = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(send, BLOB)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from meshframe.llm import repeats
 from meshframe.llm import textops as T
-from meshframe.llm.common import bucket_count, pack, runs_of, unpack
+from meshframe.llm.common import bucket_count, pack, release, runs_of, unpack
 
 WINDOW = 13
 GRAM = 6
@@ -154,6 +154,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if rows:
             flagged.append(np.array(rows, np.int64))
         d, t, lo, hi = np.concatenate(flagged).T if flagged else np.zeros((4, 0), np.int64)
+        del auto
+        release()
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(d % buckets, d, t.astype(np.uint32), lo.astype(np.uint32), hi.astype(np.uint32)))])
 
     sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB)

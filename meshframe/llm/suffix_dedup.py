@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from meshframe.llm import repeats
 from meshframe.llm import textops as T
-from meshframe.llm.common import bucket_count, pack, unpack
+from meshframe.llm.common import bucket_count, pack, release, unpack
 
 WINDOW = 100
 GRAM = 40
@@ -208,6 +208,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 d, t, at, c = unpack(x[1:])
                 cols = [np.concatenate(y) for y in zip(cols, (d, t, at, at + c - 1), strict=True)]
         d, t, lo, hi = cols
+        release()
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(d % buckets, d, t.astype(np.uint32), lo.astype(np.uint32), hi.astype(np.uint32)))])
 
     sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB)

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm import textops as T
+from meshframe.llm.common import release
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -269,6 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for i, j in T.slices(off):
             ids, row = word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             out[i:j] = model.scores(ids, np.bincount(row, minlength=j - i))[0]
+        release()
         return pd.Series(out)
 
     held = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
