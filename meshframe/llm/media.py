@@ -4,11 +4,13 @@
    largest of their surroundings, the KEYPOINTS strongest of an image describe it. A corner's direction is that of its
    patch's centre of mass; its descriptor is 128 comparisons of smoothed pixels at places turned by that direction.
 2. Hamming-table join: a descriptor is cut into six pieces; each pair of pieces is the key of one of fifteen tables, so
-   descriptors that differ in at most four bits share a key. Images of a key are tied to its smallest image (a star, no
-   pairs), if by TIED corners or more.
+   descriptors that differ in at most four bits share a key. All images that share a key are compared, or joined by other
+   links already: images of a key are tied to its smallest image (a star); up to FEW of them are paired with one another
+   too, more of them make a cluster.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
    that agree with one transform link the images. Each image is first compared with the hub that it shares most corners
-   with. Where tied images are not all linked after that, they meet in blocks of bounded size, and images of different groups are compared.
+   with, if by TIED corners or more. Pairs that are in different groups after that are compared. Where the images of a
+   cluster are not one group, they meet in blocks of bounded size, and images of different groups are compared.
 
 Equal contents are one class with one representative; the result has each row's group. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
 copies of one another; other equal contents are one class, also without a corner); ties of strength go to the larger
@@ -36,8 +38,10 @@ PIECES = 6
 MATCH_BITS = 16
 INLIERS = 8
 TOLERANCE = 2.5
-#: Corners by which an image must be tied to a hub to be compared with it.
+#: Corners by which an image must be tied to a hub to be compared with it first.
 TIED = 2
+#: Images of a key that are paired with one another; more of them are compared in blocks.
+FEW = 8
 BLOCK = 256
 #: Descriptions that a task remembers to reuse them for equal contents.
 REMEMBERED = 4096
@@ -241,32 +245,45 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
                 corners.append(np.repeat(np.arange(len(k)), k.shape[1]))
             if keys:
                 k = np.concatenate(keys)
-                # within a bucket four bytes of a key tell keys apart; what is equal by chance is compared later
-                low = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield repeats.blobs(repeats.by_bucket(((k >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), low, np.concatenate(ids), np.concatenate(corners).astype(np.uint8)))
+                # within a bucket five bytes of a key tell keys apart; what is equal by chance is compared later
+                low, more = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(56)).astype(np.uint8)
+                yield repeats.blobs(repeats.by_bucket(((k >> np.uint64(32) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64), low, more, np.concatenate(ids), np.concatenate(corners).astype(np.uint8)))
 
     def meet(got: pa.Table) -> pa.Table:
-        """Corners with the smallest image that shares one of their keys, by bucket of the image."""
-        k, d, c = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in got.column("blob")), strict=True))
+        """Corners with the smallest image of a key (from few, 0, or many images, 1) and pairs of the others (2), by bucket of the image."""
+        low, more, d, c = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in got.column("blob")), strict=True))
+        k = more.astype(np.uint64) << np.uint64(32) | low
         order = np.lexsort((d, k))
         k, d, c = k[order], d[order], c[order]
-        hub = d[np.maximum.accumulate(np.where(np.concatenate(([True], k[1:] != k[:-1])), np.arange(len(k)), 0))]
+        first = np.concatenate(([True], k[1:] != k[:-1]))
+        at = np.cumsum(first) - 1  # key of each row
+        once = np.flatnonzero(first | np.concatenate(([True], d[1:] != d[:-1])))  # images of each key
+        images = np.bincount(at[once])
+        hub = d[np.flatnonzero(first)[at]]
         tied = hub != d
-        rows = np.unique(np.stack([d[tied], hub[tied], c[tied].astype(np.int64)], 1), axis=0)
+        rows = [np.stack([d[tied], hub[tied], c[tied].astype(np.int64), (images[at[tied]] > FEW).astype(np.int64)], 1)]
+        start = np.cumsum(images) - images
+        for n in range(3, FEW + 1):
+            of = d[once][start[images == n][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n - 1, 1)
+            u, v = of[:, 1 + j].reshape(-1), of[:, 1 + i].reshape(-1)
+            rows.append(np.stack([u, v, np.zeros_like(u), np.full_like(u, 2)], 1))
+        rows = np.unique(np.concatenate(rows), axis=0)
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[:, 0] % buckets, *rows.T))])
 
     def count(got: pa.Table) -> pa.Table:
-        """For each image the hub that it shares most corners with (1), and one star for each component of ties (2)."""
+        """For each image the hub that it shares most corners with (1), one star for each component of clusters (2), other pairs (3)."""
         rows = np.unique(np.concatenate([np.stack(unpack(x.as_py()), 1) for x in got.column("blob")]), axis=0)
-        pair, n = np.unique(rows[:, :2], axis=0, return_counts=True)
+        star = np.unique(rows[rows[:, 3] < 2, :3], axis=0)
+        pair, n = np.unique(star[:, :2], axis=0, return_counts=True)
         pair, n = pair[n >= TIED], n[n >= TIED]
-        if not len(pair):
-            return pa.Table.from_arrays([pa.array([], pa.int64())] * 3, names=["kind", "u", "v"])
         order = np.lexsort((pair[:, 1], -n, pair[:, 0]))
-        best = pair[order][np.concatenate(([True], np.diff(pair[order][:, 0]) != 0))]
-        u, v = least_of(*pair.T)
-        kind = np.repeat([1, 2], [len(best), len(u)])
-        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(np.concatenate((best[:, 0], u))), pa.array(np.concatenate((best[:, 1], v)))], names=["kind", "u", "v"])
+        best = pair[order][np.concatenate(([True], np.diff(pair[order][:, 0]) != 0))] if len(pair) else pair
+        many = np.stack(least_of(*rows[rows[:, 3] == 1, :2].T), 1)
+        few = np.unique(rows[rows[:, 3] != 1, :2], axis=0)
+        kind = np.repeat([1, 2, 3], [len(best), len(many), len(few)])
+        u, v = np.concatenate((best, many, few)).T
+        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])
 
     found = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "kind long, u long, v long")
     found = cut(found)
@@ -294,6 +311,19 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
 
     starred = cut(shapes.join(routed, "node").withColumn("place", place("hub")).groupBy("place").applyInArrow(with_hub, "u long, v long"))
     groups = components(starred)
+
+    def with_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = (pa.Table.from_batches([b]).select([c]).rename_columns(["features"]) for c in ("fu", "fv"))
+            keep = [k for k, (x, y) in enumerate(zip(*(parted(x) for x in sides), strict=True)) if links(x, [y])]
+            yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+
+    # pairs that are not in one group yet
+    label = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    side = lambda c: shapes.select(F.col("node").alias(c), F.col("features").alias("f" + c))
+    open_ = found.where("kind = 3").select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
+    starred = cut(starred.unionByName(open_.join(side("u"), "u").join(side("v"), "v").select("u", "v", "fu", "fv").mapInArrow(with_other, "u long, v long")))
+    groups = components(starred)
     # clusters of tied images that are not one group yet
     tied = components(found.where("kind = 2").select("u", "v")).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     blocks = tied.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster", "k")

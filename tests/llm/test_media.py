@@ -74,3 +74,30 @@ def test_groups_are_joined_without_comparing_their_insides(monkeypatch):
     parts = [M.features(texture(1)), M.features(texture(2)), M.features(texture(1)[8:, 8:]), M.features(texture(3))]
     assert M.join_groups(parts, np.array([0, 1, 2, 3])) in ([(0, 2)], [(2, 0)])
     assert M.join_groups(parts, np.array([0, 1, 0, 3])) == []
+
+
+def described(rows):
+    """A picture whose rows are corners: a descriptor of 16 bytes and a place."""
+    return M.encode(np.concatenate([rows, np.arange(len(rows))[:, None] * 7 % 256, np.arange(len(rows))[:, None] * 11 % 256], 1))
+
+
+@pytest.mark.parametrize("holders", [1, 12])
+def test_copies_meet_though_smaller_images_head_each_of_their_keys(spark, monkeypatch, holders):
+    def features(grey):
+        if grey is None:
+            return np.zeros((0, 2), np.uint64), np.zeros((0, 4), np.float32)
+        n = len(grey)
+        return np.ascontiguousarray(grey[:, :16].astype(np.uint8)).view(np.uint64), np.concatenate([grey[:, 16:18], np.ones((n, 1)), np.zeros((n, 1))], 1).astype(np.float32)
+
+    monkeypatch.setattr(M, "features", features)
+    r = np.random.default_rng(3)
+    shared = r.integers(0, 256, (10, 16))
+    rows = []
+    for i in range(10 * holders):
+        mine = r.integers(0, 256, (10, 16))
+        mine[0] = shared[i % 10]
+        rows.append((i, described(mine)))
+    for i in (1000, 1001):
+        rows.append((i, described(np.concatenate([shared, r.integers(0, 256, (2, 16))]))))
+    got = {x["media_id"]: x["group_id"] for x in M.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()}
+    assert got == {**{i: i for i in range(10 * holders)}, 1000: 1000, 1001: 1000}
