@@ -1,14 +1,14 @@
 """Copies among images by local descriptors: found when cropped, rescaled, turned or changed in brightness.
 
 1. A media column (PGM or PPM bytes) is decoded once; on a pyramid of scales, Harris corners are kept where they are the
-   largest of their surroundings, the KEYPOINTS strongest of an image describe it. A corner's direction is that of its
+   largest of their surroundings, and all of them describe it. A corner's direction is that of its
    patch's centre of mass; its descriptor is 128 comparisons of smoothed pixels at places turned by that direction.
 2. Hamming-table join: a descriptor is cut into six pieces; each pair of pieces is the key of one of fifteen tables, so
    descriptors that differ in at most four bits share a key. All images that share a key are compared, or joined by other
    links already: images of a key are tied to its smallest image (a star); up to FEW of them are paired with one another
    too, more of them make a cluster.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
-   that agree with one transform link the images. Each image is first compared with the hub that it shares most corners
+   that agree with one transform link the images, if many corners would not agree as often by chance. Each image is first compared with the hub that it shares most corners
    with, if by TIED corners or more. Pairs that are in different groups after that are compared. Where the images of a
    cluster are not one group, they meet in blocks of bounded size, and images of different groups are compared.
 
@@ -31,18 +31,23 @@ from meshframe.llm import repeats
 from meshframe.llm.common import NULL_ID, cut, pack, prime_at_least, unpack
 from meshframe.llm.graph import components, least_of
 
-KEYPOINTS = 40
 LEVELS, STEP = 3, 1.5
 RADIUS = 9
 PIECES = 6
 MATCH_BITS = 16
 INLIERS = 8
 TOLERANCE = 2.5
+#: Links expected of unrelated images, by the number of matches that agree by chance.
+CHANCE = 1e-6
 #: Corners by which an image must be tied to a hub to be compared with it first.
 TIED = 2
 #: Images of a key that are paired with one another; more of them are compared in blocks.
 FEW = 8
 BLOCK = 256
+#: Corners, and cells of a table of corners by corners, that a step of a comparison holds.
+STEP_CORNERS, STEP_CELLS = 4096, 1 << 22
+#: Keys that a map task gathers before it sends them out, and keys that a bucket should hold.
+FLUSH_KEYS, BUCKET_KEYS = 1 << 20, 1 << 21
 #: Descriptions that a task remembers to reuse them for equal contents.
 REMEMBERED = 4096
 _HEADER = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
@@ -119,22 +124,29 @@ def features(grey: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
                     near = strong[RADIUS + 1 + dy : h - RADIUS - 1 + dy, RADIUS + 1 + dx : w - RADIUS - 1 + dx]
                     peak &= (inner > near) | ((inner == near) & (dy + dx * 0.5 > 0))
         y, x = np.nonzero(peak & (inner > 1e-3))
-        smooth = box(a, 1) / 9
-        found += [(-inner[i, j] / 1.0, level, i + RADIUS + 1, j + RADIUS + 1, smooth, scale) for i, j in zip(y, x, strict=True)]
+        found.append((-inner[y, x], np.full(len(y), level), y + RADIUS + 1, x + RADIUS + 1, *describe_corners(box(a, 1) / 9, y + RADIUS + 1, x + RADIUS + 1, scale)))
     if not found:
         return none
-    found.sort(key=lambda f: f[:4])
-    bits, places = [], []
-    for _, _, y, x, smooth, scale in found[:KEYPOINTS]:
-        disc = smooth[y + DISC[:, 0], x + DISC[:, 1]]
-        angle = np.arctan2((disc * DISC[:, 0]).sum(), (disc * DISC[:, 1]).sum())
-        c, s = np.cos(angle), np.sin(angle)
-        px = np.rint(PATTERN[..., 0] * c - PATTERN[..., 1] * s).astype(int) + x
-        py = np.rint(PATTERN[..., 0] * s + PATTERN[..., 1] * c).astype(int) + y
+    strength, level, y, x, bits, places = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.lexsort((x, y, level, strength))
+    return bits[order], places[order]
+
+
+def describe_corners(smooth: np.ndarray, y: np.ndarray, x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Descriptors and places of the corners of one scale."""
+    bits, places = np.zeros((len(y), 2), np.uint64), np.zeros((len(y), 4), np.float32)
+    for at in range(0, len(y), STEP_CORNERS):
+        part = slice(at, at + STEP_CORNERS)
+        cy, cx = y[part, None], x[part, None]
+        disc = smooth[cy + DISC[:, 0], cx + DISC[:, 1]]
+        angle = np.arctan2((disc * DISC[:, 0]).sum(1), (disc * DISC[:, 1]).sum(1))
+        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+        px = np.rint(PATTERN[..., 0] * c - PATTERN[..., 1] * s).astype(int) + cx[..., None]
+        py = np.rint(PATTERN[..., 0] * s + PATTERN[..., 1] * c).astype(int) + cy[..., None]
         v = smooth[py, px]
-        bits.append(v[:, 0] < v[:, 1])
-        places.append(((x + 0.5) * scale, (y + 0.5) * scale, scale, angle))
-    return np.packbits(np.array(bits), 1).view(np.uint64), np.array(places, np.float32)
+        bits[part] = np.packbits(v[..., 0] < v[..., 1], 1).view(np.uint64)
+        places[part] = np.stack([(x[part] + 0.5) * scale, (y[part] + 0.5) * scale, np.full(len(angle), scale), angle], 1)
+    return bits, places
 
 
 def table_keys(d: np.ndarray) -> np.ndarray:
@@ -149,38 +161,64 @@ def table_keys(d: np.ndarray) -> np.ndarray:
     return np.stack([mix((pieces[i] << np.uint64(32) | pieces[j]) + np.uint64(0x9E3779B97F4A7C15 * (t + 1) % (1 << 64))) for t, (i, j) in enumerate(pairs)], 1)
 
 
-def agree(pa_: np.ndarray, pb: np.ndarray) -> int:
-    """The most matches that one similarity transform explains, counted by distinct corners on both sides."""
+def agree(pa_: np.ndarray, pb: np.ndarray, enough: int | None = None) -> int:
+    """The most matches that one similarity transform explains, counted by distinct corners on both sides; the search stops at enough."""
     ratio = pb[:, 2] / pa_[:, 2]
     turn = pb[:, 3] - pa_[:, 3]
     c, s = np.cos(turn) * ratio, np.sin(turn) * ratio
     x, y = pa_[:, 0], pa_[:, 1]
     tx, ty = pb[:, 0] - (c * x - s * y), pb[:, 1] - (s * x + c * y)
-    dx = c[:, None] * x - s[:, None] * y + tx[:, None] - pb[:, 0]
-    dy = s[:, None] * x + c[:, None] * y + ty[:, None] - pb[:, 1]
-    fit = dx * dx + dy * dy <= (TOLERANCE * np.maximum(1, np.maximum(pb[:, 2], pa_[:, 2] * ratio[:, None]))) ** 2
-    best = 0
-    for row in np.unique(fit[fit.sum(1) >= INLIERS], axis=0) if (fit.sum(1) >= INLIERS).any() else []:
-        sides = (np.unique(np.rint(p[row, :2]), axis=0) for p in (pa_, pb))
-        best = max(best, min(len(u) for u in sides))
+    best, step = 0, max(1, STEP_CELLS // max(1, len(x)))
+    room = float(np.prod(np.ptp(pb[:, :2], axis=0).astype(np.float64) + 2 * TOLERANCE)) if len(x) else 1.0
+    for at in range(0, len(x), step):
+        k = slice(at, at + step)
+        dx = c[k, None] * x - s[k, None] * y + tx[k, None] - pb[:, 0]
+        dy = s[k, None] * x + c[k, None] * y + ty[k, None] - pb[:, 1]
+        reach = (TOLERANCE * np.maximum(1, np.maximum(pb[:, 2], pa_[:, 2] * ratio[k, None]))) ** 2
+        fit = dx * dx + dy * dy <= reach
+        count, by_chance = fit.sum(1), np.pi * reach.sum(1, dtype=np.float64) / room
+        for i in np.argsort(-count, kind="stable").tolist():
+            if count[i] < max(INLIERS, best + 1):
+                break
+            sides = (np.unique(np.rint(p[fit[i], :2]), axis=0) for p in (pa_, pb))
+            n, mean = min(len(u) for u in sides), by_chance[i]
+            # Chernoff's bound of a Poisson tail, over all transforms tried
+            if n > mean and np.log(len(x)) + n - mean + n * np.log(mean / n) <= np.log(CHANCE):
+                best = max(best, n)
+            if enough is not None and best >= enough:
+                return best
     return best
 
 
+def close(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of corners within MATCH_BITS of one another."""
+    step = max(1, STEP_CELLS // max(1, len(e)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(d), step):
+        i, j = np.nonzero(sum(np.bitwise_count(d[at : at + step, None, k] ^ e[None, :, k]).astype(np.int16) for k in (0, 1)) <= MATCH_BITS)
+        a.append(i + at)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
     """Which of the other images link with one."""
     d, p = one
     if len(d) < INLIERS or not others:
         return []
-    all_d = np.concatenate([x for x, _ in others])
-    owner = np.repeat(np.arange(len(others)), [len(x) for x, _ in others])
     base = np.cumsum([0] + [len(x) for x, _ in others])
-    near = sum(np.bitwise_count(d[:, None, k] ^ all_d[None, :, k]).astype(np.int16) for k in (0, 1)) <= MATCH_BITS
-    count = np.bincount(owner, near.any(0), len(others))
-    out = []
-    for j in np.flatnonzero(count >= INLIERS).tolist():
-        a, b = np.nonzero(near[:, base[j] : base[j + 1]])
-        if agree(p[a], others[j][1][b]) >= INLIERS:
-            out.append(j)
+    out, at = [], 0
+    while at < len(others):
+        end = max(at + 1, int(np.searchsorted(base, base[at] + STEP_CORNERS, "right")) - 1)
+        a, b = close(d, np.concatenate([x for x, _ in others[at:end]]))
+        b += base[at]
+        owner = np.searchsorted(base, b, "right") - 1
+        count = np.bincount(np.searchsorted(base, np.unique(b), "right") - 1, minlength=end)
+        for j in np.flatnonzero(count >= INLIERS).tolist():
+            mine = owner == j
+            if agree(p[a[mine]], others[j][1][b[mine] - base[j]], INLIERS) >= INLIERS:
+                out.append(j)
+        at = end
     return out
 
 
@@ -212,7 +250,6 @@ def join_groups(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -
 def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "content") -> DataFrame:
     """media_id, n_keypoints, group_id (smallest id reachable by links) for each row."""
     spark = media.sparkSession
-    buckets = prime_at_least(int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}  # copies that follow one another are described once
@@ -232,22 +269,32 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
     # null and empty contents are no copies of one another
     digest = F.when(F.octet_length(readable) > 0, F.sha2(readable, 256)).otherwise(F.concat(F.lit("-"), key.cast("string")))
     facts = cut(media.select(key.alias("id"), digest.alias("digest"), readable.alias("content")).mapInArrow(describe, "id long, digest string, n long, features binary"))
+    corners = facts.dropDuplicates(["digest"]).agg(F.sum("n")).first()[0] or 0
+    tables = PIECES * (PIECES - 1) // 2
+    buckets = prime_at_least(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-corners * tables // BUCKET_KEYS)))
     classes = facts.where("left(digest, 1) <> '-'").groupBy("digest").agg(F.min("id").alias("rep"))
     own = facts.join(classes.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("id") == F.col("rep"))).where("n > 0").select("id", "digest", "features").dropDuplicates(["digest"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            k, ids, corners = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            # within a bucket five bytes of a key tell keys apart; what is equal by chance is compared later
+            low, more = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(56)).astype(np.uint8)
+            return repeats.blobs(repeats.by_bucket(((k >> np.uint64(32) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64), low, more, ids, corners))
+
         for b in batches:
-            keys, ids, corners = [], [], []
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = table_keys(unpack(raw)[0].reshape(-1, 2))
-                keys.append(k.reshape(-1))
-                ids.append(np.full(k.size, i, np.int64))
-                corners.append(np.repeat(np.arange(len(k)), k.shape[1]))
-            if keys:
-                k = np.concatenate(keys)
-                # within a bucket five bytes of a key tell keys apart; what is equal by chance is compared later
-                low, more = (k & np.uint64(0xFFFFFFFF)).astype(np.uint32), (k >> np.uint64(56)).astype(np.uint8)
-                yield repeats.blobs(repeats.by_bucket(((k >> np.uint64(32) & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64), low, more, np.concatenate(ids), np.concatenate(corners).astype(np.uint8)))
+                d = unpack(raw)[0].reshape(-1, 2)
+                for at in range(0, len(d), STEP_CORNERS):
+                    k = table_keys(d[at : at + STEP_CORNERS])
+                    held.append((k.reshape(-1), np.full(k.size, i, np.int64), np.repeat(np.arange(at, at + len(k), dtype=np.uint32), k.shape[1])))
+                    if sum(len(x[0]) for x in held) >= FLUSH_KEYS:
+                        yield flush()
+        if held:
+            yield flush()
 
     def meet(got: pa.Table) -> pa.Table:
         """Corners with the smallest image of a key (from few, 0, or many images, 1) and pairs of the others (2), by bucket of the image."""

@@ -101,3 +101,11 @@ def test_copies_meet_though_smaller_images_head_each_of_their_keys(spark, monkey
         rows.append((i, described(np.concatenate([shared, r.integers(0, 256, (2, 16))]))))
     got = {x["media_id"]: x["group_id"] for x in M.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()}
     assert got == {**{i: i for i in range(10 * holders)}, 1000: 1000, 1001: 1000}
+
+
+def test_a_copy_of_a_weakly_textured_area_is_found():
+    strong, weak = texture(31, 200, 200), texture(32, 200, 200) * 0.3 + 80
+    whole = M.features(M.decode(M.encode(np.concatenate([strong, weak], 1))))
+    part = M.features(M.decode(M.encode(weak[40:160, 40:160])))
+    assert M.links(part, [whole]) == [0] and M.links(whole, [part]) == [0]
+    assert M.links(part, [M.features(strong), M.features(texture(33, 200, 200))]) == []
