@@ -135,10 +135,11 @@ def _ordered(docs: pa.Table, doc_id: str, text: str) -> tuple[pa.Table, np.ndarr
     return docs.take(pa.array(order, pa.int64())), ids, tie, texts
 
 
-def with_hits(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, make: Callable, schema: str) -> DataFrame:
+def with_hits(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, make: Callable, schema: str, by_route: bool = False) -> DataFrame:
     """make(id, tie, text bytes, positions, units before first and last window, routes) for documents with hits.
 
     make is called as a generator over an iterator of those tuples, in document order, and yields (bucket, blob).
+    by_route: a place comes with each of its routes, as rows of one id may have different anchors there.
     """
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -146,10 +147,10 @@ def with_hits(docs: DataFrame, hits: DataFrame, doc_id: str, text: str, make: Ca
             return pa.Table.from_batches([blobs([])])
         _, ids, tie, texts = _ordered(left, doc_id, text)
         d, p, a, b, route = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in right.column("blob")), strict=True))
-        order = np.lexsort((p, d))
+        order = np.lexsort((route, p, d) if by_route else (p, d))
         d, p, a, b, route = d[order], p[order], a[order], b[order], route[order]
         # rows of one id may name a place twice: once is enough, with all windows that either names
-        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]))))
+        new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (by_route & (route[1:] != route[:-1])))))
         d, p, a, b, route = d[new], p[new], np.maximum.reduceat(a, new), np.minimum.reduceat(b, new), route[new]
         lo, hi = np.searchsorted(d, ids, "left"), np.searchsorted(d, ids, "right")
         rows = ((int(ids[i]), int(tie[i]), texts[i], p[lo[i] : hi[i]], a[lo[i] : hi[i]], b[lo[i] : hi[i]], route[lo[i] : hi[i]]) for i in range(len(ids)) if hi[i] > lo[i])

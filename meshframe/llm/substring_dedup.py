@@ -158,6 +158,6 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         release()
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(d % buckets, d, t.astype(np.uint32), lo.astype(np.uint32), hi.astype(np.uint32)))])
 
-    sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB)
+    sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB, by_route=True)
     flags = sent.groupBy("bucket").applyInArrow(meet, repeats.BLOB)
     return repeats.remove(docs, flags, doc_id, text, units, "n_words,n_removed,n_spans,kept")

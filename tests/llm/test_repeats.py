@@ -111,3 +111,11 @@ def test_digest_of_removed_passage(docs_of):
     passage = " ".join(f"p{i}" for i in range(60))
     out = {r["doc_id"]: r for r in substring_dedup(docs_of([(1, passage), (2, "start " + passage + " end")])).withColumn("h", F.sha2("kept", 256)).collect()}
     assert out[2]["n_removed"] == 60 and out[2]["h"] == hashlib.sha256(b"start end").hexdigest()
+
+
+def test_rows_of_one_id_meet_all_holders_of_their_words(docs_of):
+    r = random.Random(7)
+    passages = [" ".join(f"p{i}x{r.randint(0, 999)}" for _ in range(30)) for i in range(25)]
+    rows = list(enumerate(passages)) + [(d, p + " " + " ".join(f"n{i}x{r.randint(0, 999)}" for _ in range(20))) for d in (None, 99) for i, p in enumerate(passages)]
+    got = substring_dedup(docs_of(rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(((x[0], x[1], x[2], bytes(x[3])) for x in got), key=repr) == brute_words(rows)
