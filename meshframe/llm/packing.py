@@ -2,8 +2,8 @@
 
 1. Texts become token ids once (checkpointed); document frequencies of all tokens are counted over all rows.
 2. A document goes to the index shard of its rarest shared token. Shards hold a bounded number of tokens: ranges of
-   tokens are cut by their sizes (from a sample: only balance depends on it), and a token too large for one shard is
-   spread over several by a hash.
+   tokens are cut by their sizes, counted over all rows, and a token too large for one shard is spread over several by a
+   hash.
 3. A shard gives whole windows of long documents a sequence each. The tails stand in a BM25 inverted index; each seed
    asks it with its rarest tokens for neighbours not yet used, which fill the window in order of score. The neighbour
    that does not fit is cut, and its rest is the next seed; where no neighbour is left, the next unused tail follows.
@@ -35,8 +35,6 @@ WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4 << 20
 QUERY_TOKENS = 12
-#: One document in so many tells how many tokens the topics hold.
-SAMPLE_EVERY = 8
 K1, B = 1.2, 0.75
 #: Pieces of text that byte-level BPE never merges across (a fixed value of this kind of tokenizer).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -163,6 +161,11 @@ def topics(tokens: DataFrame, df: np.ndarray, kind: str) -> DataFrame:
     return tokens.mapInArrow(run, "doc_id long, n long, ids binary, topic long")
 
 
+def topic_sizes(marked: DataFrame) -> dict[int, int]:
+    """Tokens of each topic, over all rows."""
+    return {r["topic"]: r["n"] for r in marked.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
+
+
 def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """First shard and number of shards of each topic, from the topics' tokens; a topic without a size joins the one before."""
     first, parts = np.zeros(vocabulary, np.int64), np.ones(vocabulary, np.int64)
@@ -264,9 +267,7 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens, kind)
     marked = topics(tokens, df, kind)
-    # a sample of documents sets the ranges; only the balance of shards depends on it
-    sample = topics(tokens.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(SAMPLE_EVERY)) == 0), df, kind)
-    sizes = {r["topic"]: r["n"] * SAMPLE_EVERY for r in sample.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
+    sizes = topic_sizes(marked)
     first, parts = deal(sizes, SHARD_TOKENS, len(df))
     mean = total / n_docs if n_docs else 1.0
 

@@ -79,3 +79,12 @@ def test_empty_table_and_ids(docs_of):
     assert packing.pack_sequences(docs_of([]), PATH).count() == 0
     row = packing.pack_sequences(docs_of([(None, "a b")]), PATH, with_ids=True).first()
     assert row["ids"] == [*own_ids(["a b"])[0], 1] and row["doc_id"] is None
+
+
+def test_sizes_of_topics_count_every_row(docs_of, monkeypatch):
+    rows = [(i, f"word{i % 7} " * (i + 1)) for i in range(40)] + [(None, "long " * 3000)] * 2
+    sizes = []
+    deal = packing.deal
+    monkeypatch.setattr(packing, "deal", lambda s, *a: sizes.append(s) or deal(s, *a))
+    packing.pack_sequences(docs_of(rows), PATH)
+    assert sum(sizes[0].values()) == sum(len(x) + 1 for x in own_ids([t for _, t in rows]))
