@@ -5,7 +5,7 @@
    tokens are cut by their sizes, counted over all rows, and a token too large for one shard is spread over several by a
    hash.
 3. A shard gives whole windows of long documents a sequence each. The tails stand in a BM25 inverted index; each seed
-   asks it with its rarest tokens for neighbours not yet used, which fill the window in order of score. The neighbour
+   asks it with all of its tokens for neighbours not yet used, which fill the window in order of score. The neighbour
    that does not fit is cut, and its rest is the next seed; where no neighbour is left, the next unused tail follows.
    So only the last sequence of a shard is padded.
 
@@ -34,7 +34,6 @@ from meshframe.llm.common import cut, release
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 4 << 20
-QUERY_TOKENS = 12
 K1, B = 1.2, 0.75
 #: Pieces of text that byte-level BPE never merges across (a fixed value of this kind of tokenizer).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,19 +208,17 @@ def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, wind
     score = np.zeros(len(tails), np.float32)
 
     def neighbours(i: int) -> Iterator[int]:
-        """Unused tails that share rare tokens with tail i, best first."""
+        """Unused tails that share tokens with tail i, best first."""
         u = terms[i]
         u = u[held[u] > 1]
-        u = u[np.argsort(df[u], kind="stable")[:QUERY_TOKENS]]
+        u = u[np.argsort(df[u], kind="stable")]
         hit = [doc[edge[t] : edge[t + 1]] for t in u.tolist()]
         if hit:
             for d, t in zip(hit, u.tolist(), strict=True):
                 score[d] += weight[edge[t] : edge[t + 1]]
-            found = np.unique(np.concatenate(hit))
-            found = found[~used[found]]
+            found = np.flatnonzero((score > 0) & ~used)
             found = found[np.argsort(-score[found], kind="stable")].tolist()
-            for d in hit:
-                score[d] = 0
+            score[:] = 0
             yield from found
 
     nxt = 0

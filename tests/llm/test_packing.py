@@ -88,3 +88,11 @@ def test_sizes_of_topics_count_every_row(docs_of, monkeypatch):
     monkeypatch.setattr(packing, "deal", lambda s, *a: sizes.append(s) or deal(s, *a))
     packing.pack_sequences(docs_of(rows), PATH)
     assert sum(sizes[0].values()) == sum(len(x) + 1 for x in own_ids([t for _, t in rows]))
+
+
+def test_a_seed_asks_with_all_of_its_tokens():
+    rare = list(range(100, 112))
+    tails = [np.array(x, np.uint16) for x in (rare + [50] * 8, rare + [60] * 8, [70] * 20, [50] * 20)]
+    df = np.zeros(200, np.int64)
+    df[rare], df[50], df[[60, 70]] = 2, 3, 1
+    assert [[p[0] for p in s] for s in packing.fill(tails, df, 4, 20.0, 60)] == [[0, 1, 3], [2]]
