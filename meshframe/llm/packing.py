@@ -3,14 +3,15 @@
 1. Texts become token ids once (checkpointed); document frequencies of all tokens are counted over all rows.
 2. A document goes to the index shard of its rarest shared token. Shards hold a bounded number of tokens: ranges of
    tokens are cut by their sizes, counted over all rows, and a token too large for one shard is spread over several by a
-   hash.
+   hash of the row's number.
 3. A shard gives whole windows of long documents a sequence each. The tails stand in a BM25 inverted index; each seed
    asks it with all of its tokens for neighbours not yet used, which fill the window in order of score. The neighbour
    that does not fit is cut, and its rest is the next seed; where no neighbour is left, the next unused tail follows.
    So only the last sequence of a shard is padded.
 
-Ids are those of the tokenizer file (byte-level BPE). They are made by a faster BPE from the same file's vocabulary,
-after a check that its merges stand in id order; other files use the tokenizers library itself.
+Ids are those that the tokenizers library gives for the tokenizer file without special tokens added. They are made by a
+faster BPE from the same file's vocabulary, after a check that it is byte-level with the usual split and that its merges
+stand in id order; other files, and texts that hold one of the file's added tokens, go through the library itself.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed as often as they occur; an empty table
 gives no rows; extra columns are left out.
@@ -57,20 +58,26 @@ def encoder(path: str):
     model, letters = spec["model"], byte_letters()
     merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
     vocab = model["vocab"]
-    in_order = spec.get("pre_tokenizer", {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space", False) and not spec.get("normalizer") and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-    if in_order:
-        import tiktoken
-
-        special = {x["content"] for x in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
-        bpe = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
-        # faster than the encoder's own arrays, for which it looks for special tokens
-        return lambda texts: [np.array(bpe.encode_ordinary(t), np.uint32) for t in texts]
+    pre = spec.get("pre_tokenizer") or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False) and not spec.get("normalizer")
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return lambda texts: [np.array(x.ids, np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
+    slow = lambda texts: [np.array(x.ids, np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
+    if not byte_level or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return slow
+    import tiktoken
+
+    added = [x["content"] for x in spec.get("added_tokens", [])]
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in added}
+    bpe = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        # added tokens inside a text are ids of their own: those few texts are for the library
+        # encode_ordinary is faster than the encoder's own arrays, for which it looks for special tokens
+        return [slow([t])[0] if any(x in t for x in added) else np.array(bpe.encode_ordinary(t), np.uint32) for t in texts]
+
+    return encode
 
 
 @lru_cache(maxsize=2)
@@ -155,9 +162,9 @@ def topics(tokens: DataFrame, df: np.ndarray, kind: str) -> DataFrame:
             for ids in arrays(b.column("ids"), kind):
                 some = present(ids)
                 out.append(int(some[np.argmin(rank[some])]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "n", "ids", "topic"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "n", "ids", "row", "topic"])
 
-    return tokens.mapInArrow(run, "doc_id long, n long, ids binary, topic long")
+    return tokens.mapInArrow(run, "doc_id long, n long, ids binary, row long, topic long")
 
 
 def topic_sizes(marked: DataFrame) -> dict[int, int]:
@@ -186,53 +193,100 @@ def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray,
     return first, parts
 
 
+class Index:
+    """A BM25 inverted index over classes of equal tails; used tails leave it, and it shrinks with them."""
+
+    def __init__(self, tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float) -> None:
+        classes: dict[bytes, int] = {}
+        self.of = np.array([classes.setdefault(t.tobytes(), len(classes)) for t in tails], np.int32)
+        # tails of each class in order, and the next of them that is not used
+        self.members = np.argsort(self.of, kind="stable")
+        self.end = np.cumsum(np.bincount(self.of, minlength=len(classes)))
+        self.at = self.end - np.bincount(self.of, minlength=len(classes))
+        self.used = np.zeros(len(tails), bool)
+        one = [tails[i] for i in self.members[self.at].tolist()]
+        lens = np.array([len(t) for t in one], np.int64)
+        # the tokens of all classes and how often each has them, in one sort; the end id stands in all tails and finds nothing
+        key = np.concatenate(one).astype(np.int64)
+        key = (np.repeat(np.arange(len(one)), lens) << 32 | key)[key != END_ID]
+        key, tf = np.unique(key, return_counts=True)
+        tok, doc = (key & 0xFFFFFFFF).astype(np.int32), (key >> 32).astype(np.int32)
+        cuts = np.searchsorted(doc, np.arange(len(one) + 1)).tolist()
+        self.terms = [tok[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        del key
+        tf = tf.astype(np.float32)
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = (K1 * (1 - B + B * lens / mean)).astype(np.float32)
+        weight = idf[tok] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        order = np.argsort(tok, kind="stable").astype(np.int32)
+        self.doc, self.weight = doc[order], weight[order]
+        self.edge = np.searchsorted(tok[order], np.arange(len(df) + 1))
+        self.df = df
+        self.open, self.shut = len(one), 0
+
+    def left(self, k: int) -> bool:
+        """Whether class k has an unused tail; its pointer then stands on it."""
+        at, end = int(self.at[k]), int(self.end[k])
+        while at < end and self.used[self.members[at]]:
+            at += 1
+        self.at[k] = at
+        return at < end
+
+    def take(self, i: int) -> None:
+        self.used[i] = True
+        if not self.left(int(self.of[i])):
+            self.shut += 1
+            if 2 * self.shut >= self.open:
+                # postings of classes without unused tails go: over all, each posting moves a bounded number of times
+                keep = (self.at < self.end)[self.doc]
+                self.edge = np.concatenate(([0], np.cumsum(keep)))[self.edge]
+                self.doc, self.weight = self.doc[keep], self.weight[keep]
+                self.open, self.shut = self.open - self.shut, 0
+
+    def neighbours(self, i: int, most: int) -> Iterator[int]:
+        """Unused tails that share tokens with tail i, best first; the first `most` of them at least."""
+        k = int(self.of[i])
+        u = self.terms[k]
+        u = u[np.argsort(self.df[u], kind="stable")]
+        spans = [(a, b) for a, b in zip(self.edge[u].tolist(), self.edge[u + 1].tolist(), strict=True) if b > a]
+        if not spans:
+            return
+        doc = np.concatenate([self.doc[a:b] for a, b in spans])
+        weight = np.concatenate([self.weight[a:b] for a, b in spans])
+        if 8 * len(doc) < len(self.terms):
+            found, where = np.unique(doc, return_inverse=True)
+            score = np.bincount(where, weight)
+        else:
+            score = np.bincount(doc, weight, len(self.terms))
+            found = np.flatnonzero(np.bincount(doc, minlength=len(self.terms)))
+            score = score[found]
+        alive = self.at[found] < self.end[found]
+        found, score = found[alive], score[alive]
+        if len(found) > most:
+            # each class gives a tail at least, so the best `most` classes are enough
+            least = -np.partition(-score, most - 1)[most - 1]
+            above = score >= least
+            found, score = found[above], score[above]
+        for c in found[np.argsort(-score, kind="stable")].tolist():
+            while self.left(c):
+                yield int(self.members[self.at[c]])
+
+
 def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as (tail, start, length); all are full but the last."""
-    present = Present()
-    terms = [present(t).astype(np.int32) for t in tails]
-    count = [np.bincount(t, minlength=1)[u] for t, u in zip(tails, terms, strict=True)]
-    tok = np.concatenate(terms).astype(np.int32)
-    doc = np.repeat(np.arange(len(tails), dtype=np.int32), [len(u) for u in terms])
-    tf = np.concatenate(count).astype(np.float32)
-    del count
-    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-    norm = (K1 * (1 - B + B * np.array([len(t) for t in tails]) / mean)).astype(np.float32)
-    weight = idf[tok] * tf * np.float32(K1 + 1) / (tf + norm[doc])
-    del tf
-    order = np.argsort(tok, kind="stable").astype(np.int32)
-    tok, doc, weight = tok[order], doc[order], weight[order]
-    del order
-    edge = np.searchsorted(tok, np.arange(len(df) + 1))
-    held = np.diff(edge)
-    used = np.zeros(len(tails), bool)
-    score = np.zeros(len(tails), np.float32)
-
-    def neighbours(i: int) -> Iterator[int]:
-        """Unused tails that share tokens with tail i, best first."""
-        u = terms[i]
-        u = u[held[u] > 1]
-        u = u[np.argsort(df[u], kind="stable")]
-        hit = [doc[edge[t] : edge[t + 1]] for t in u.tolist()]
-        if hit:
-            for d, t in zip(hit, u.tolist(), strict=True):
-                score[d] += weight[edge[t] : edge[t + 1]]
-            found = np.flatnonzero((score > 0) & ~used)
-            found = found[np.argsort(-score[found], kind="stable")].tolist()
-            score[:] = 0
-            yield from found
-
+    index = Index(tails, df, n_docs, mean)
     nxt = 0
     now: list[tuple[int, int, int]] = []
     room = window
     rest: tuple[int, int] | None = None
     while True:
         if rest is None:
-            while nxt < len(tails) and used[nxt]:
+            while nxt < len(tails) and index.used[nxt]:
                 nxt += 1
             if nxt == len(tails):
                 break
             rest = (nxt, 0)
-            used[nxt] = True
+            index.take(nxt)
         seed, at = rest
         rest = None
         take = min(room, len(tails[seed]) - at)
@@ -241,8 +295,8 @@ def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, wind
         if take < len(tails[seed]) - at:
             rest = (seed, at + take)
         elif room:
-            for d in neighbours(seed):
-                used[d] = True
+            for d in index.neighbours(seed, room):
+                index.take(d)
                 take = min(room, len(tails[d]))
                 now.append((d, 0, take))
                 room -= take
@@ -259,7 +313,8 @@ def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, wind
 
 def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and their ids if asked for."""
-    tokens = cut(tokenize(docs, path, doc_id, text))
+    # the number of a row stands in the checkpoint, so that it is the same whenever it is read
+    tokens = cut(tokenize(docs, path, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
     kind = id_type(path)
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens, kind)
@@ -314,5 +369,5 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         release()
         return pa.Table.from_arrays(out, names=names + ["ids"] * with_ids)
 
-    salt = F.abs(F.xxhash64("doc_id", "n") % F.lit(1 << 30))
+    salt = F.abs(F.xxhash64("row") % F.lit(1 << 30))  # repeated rows spread like all others
     return marked.select("doc_id", "ids", shard_of("topic", salt).alias("shard")).groupBy("shard").applyInArrow(run, schema)

@@ -22,7 +22,6 @@ def own_ids(values):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(values, add_special_tokens=False)]
 
 
@@ -75,6 +74,55 @@ def test_neighbours_are_lexical():
     assert [sorted(p[0] for p in s) for s in out] == [[0, 2], [1, 3]]
 
 
+def test_added_tokens_inside_texts_are_ids_of_their_own():
+    values = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "no token"]
+    got = [x.tolist() for x in packing.encoder(PATH)(values)]
+    assert got == own_ids(values) and 50256 in got[0] and 50256 not in got[3]
+
+
+def test_index_gives_the_order_of_plain_bm25():
+    r = np.random.default_rng(3)
+    for equal in (False, True):
+        tails = [np.array(r.integers(0, 12 if equal else 400, r.integers(1, 4 if equal else 30)), np.uint16) for _ in range(300)]
+        df = np.zeros(400, np.int64)
+        for t in tails:
+            df[np.unique(t)] += 1
+        mean = float(np.mean([len(t) for t in tails]))
+        index = packing.Index(tails, df, len(tails), mean)
+        for i in range(0, 200, 3):
+            index.take(i)
+        for seed in (0, 57, 299):
+            index.used[seed] or index.take(seed)
+            plain = []
+            for j, t in enumerate(tails):
+                both = np.setdiff1d(np.intersect1d(t, tails[seed]), [packing.END_ID])
+                if len(both) and not index.used[j]:
+                    tf = np.array([(t == x).sum() for x in both])
+                    idf = np.log(1 + (len(tails) - df[both] + 0.5) / (df[both] + 0.5))
+                    score = (idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(t) / mean))).sum()
+                    plain.append((-score, j))
+            got = []
+            for j in index.neighbours(seed, 40):
+                index.take(j)
+                got.append(j)
+            scores = {j: s for s, j in plain}
+            want = sorted(plain)[: len(got)]
+            assert len(got) >= min(40, len(plain)) and len(set(got)) == len(got)
+            np.testing.assert_allclose([scores[j] for j in got], [s for s, _ in want], rtol=1e-5)
+
+
+def test_many_short_tails_fill_in_linear_time():
+    import time
+
+    r = np.random.default_rng(4)
+    for tails in (list(r.integers(2, 50000, (100_000, 2)).astype(np.uint16)), [np.array([7, 1], np.uint16)] * 100_000):
+        df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=50257)
+        began = time.perf_counter()
+        got = list(packing.fill(tails, df, len(tails), 2.0, 2048))
+        assert sum(len(x) for x in got) >= len(tails) and time.perf_counter() - began < 20
+        assert sorted({p[0] for x in got for p in x}) == list(range(len(tails)))
+
+
 def test_empty_table_and_ids(docs_of):
     assert packing.pack_sequences(docs_of([]), PATH).count() == 0
     row = packing.pack_sequences(docs_of([(None, "a b")]), PATH, with_ids=True).first()
