@@ -3,14 +3,15 @@
 A word goes if a window of 13 words covers it whose word sequence also starts in a document with a smaller doc_id.
 An automaton over all text, held against all documents, would cost the square of the corpus. So anchors (see repeats)
 first find the stretches of text that can repeat across documents; a stretch goes to the shard of the first document
-that holds its anchor, and there every holder meets. A shard reads its stretches in document order: the matching
-statistics of each against the automaton of the earlier ones flag windows, and what is new extends the automaton. Each
-state keeps the first document that reached it, so a window's first document is known without a second pass. Equal
-stretches of one bucket travel once.
+that holds its anchor, and there every holder meets. Equal stretches of a document bucket are one class, sent once. A
+shard reads its classes in document order: the matching statistics of each against the automaton of the earlier ones
+flag windows, and what is new extends the automaton. Each state keeps the first document that reached it, so a window's
+first document is known without a second pass. Long stretches are cut into overlapping ones, so that what repeats
+within a document is sent once; later places of the same document get the statistics of the first.
 
 Defined cases: null is an empty text; under 13 words nothing goes; repeats inside one document stay; rows of one doc_id
-don't remove each other's words; a null doc_id sorts last; an empty table gives no rows; columns named like results are
-replaced.
+don't remove each other's words, nor do rows without doc_id; a null doc_id sorts last; an empty table gives no rows;
+columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from meshframe.llm.common import bucket_count, pack, release, runs_of, unpack
 
 WINDOW = 13
 GRAM = 6
+#: Windows of a stretch that is sent as one.
+STRETCH = 4096
 
 
 class Automaton:
@@ -94,70 +97,81 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Documents with n_words, n_removed, n_spans and kept (the remaining words with single spaces, as bytes)."""
     units = repeats.Units(window, gram, True)
     buckets = bucket_count(docs, text)
-    docs = repeats.bucketed(docs, doc_id, buckets)
+    docs = repeats.bucketed(docs, doc_id, text, buckets)
     hits = repeats.anchor_hits(docs, doc_id, text, units, buckets, True)
 
-    def make(rows):
-        """Stretches of a document by shard; of those equal to one of an earlier document here only the place is sent."""
-        seen: dict[tuple, int] = {}
+    def make(found):
+        """Stretches by shard: 0 with their words, 1 places of a class of an earlier document, 2 of one of the same document."""
+        seen: dict[tuple, tuple] = {}
         out: dict[int, tuple] = {}
-        for d, tie, raw, p, a, b, route in rows:
-            buf = np.frombuffer(raw, np.uint8)
-            start, end, _ = T.words(buf, np.array([0, len(buf)]), T.SPACED)
-            lo, hi = p.astype(np.int64) - a, p.astype(np.int64) - b + window
-            lo, hi = np.maximum(lo, 0), np.minimum(hi, len(start))  # places named for another row of this id may lie outside
-            fit = hi - lo >= window
-            lo, hi, route = lo[fit], hi[fit], route[fit]
-            for shard in np.unique(route).tolist():
-                x = np.flatnonzero(route == shard)
-                x = x[np.argsort(lo[x], kind="stable")]
-                reach = np.maximum.accumulate(hi[x])
-                new = np.concatenate(([True], lo[x][1:] >= reach[:-1] - window + 2))
-                at = np.flatnonzero(new)
-                for s, e in zip(lo[x][at].tolist(), reach[np.concatenate((at[1:], [len(x)])) - 1].tolist(), strict=True):
-                    piece = raw[start[s] : end[e - 1]]
-                    whole, twins = out.setdefault(shard, ([], []))
-                    if seen.setdefault((shard, piece), d) < d:
-                        twins.append((d, tie, s, e))
+        for piece, ids, ties, route in found:
+            order = np.lexsort((piece.first, route, piece.row))
+            row, shard, lo, hi = piece.row[order], route[order], piece.first[order], piece.last[order] + window
+            part = np.cumsum(np.concatenate(([True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1]))))
+            far = len(piece.start) + window  # sets the stretches of different rows and shards apart
+            reach = np.maximum.accumulate(hi + part * far)
+            # stretches that share a window are one
+            at = np.flatnonzero(np.concatenate(([True], (lo + part * far)[1:] >= reach[:-1] - window + 2)))
+            until = (reach - part * far)[np.append(at[1:], len(lo)) - 1]
+            raw = piece.buf.tobytes()
+            begin, stop = piece.start, piece.end
+            for r, k, s, e in zip(row[at].tolist(), shard[at].tolist(), lo[at].tolist(), until.tolist(), strict=True):
+                d, tie, shift = int(ids[r]), int(ties[r]), piece.before - int(piece.base[r])
+                whole, twins, same = out.setdefault(k, ([], [], []))
+                for i in range(s, e - window + 1, STRETCH):
+                    j = min(i + STRETCH + window - 1, e)
+                    words = raw[begin[i] : stop[j - 1]]
+                    d0, t0, s0 = seen.setdefault((k, words), (d, tie, i + shift))
+                    if d0 < d:
+                        twins.append((d, tie, i + shift, j + shift))
+                    elif (t0, s0) == (tie, i + shift):
+                        whole.append((d, tie, i + shift, j + shift, words))
                     else:
-                        whole.append((d, tie, s, e, piece))
-        for shard, (whole, twins) in out.items():
+                        same.append((d, tie, i + shift, t0, s0))
+        for shard, (whole, twins, same) in out.items():
             cols = [np.array([x[k] for x in whole], np.int64) for k in range(4)]
             yield shard, b"\0" + pack(*cols, np.array([len(x[4]) for x in whole], np.int64), np.frombuffer(b"".join(x[4] for x in whole), np.uint8))
             if twins:
                 yield shard, b"\1" + pack(*(np.array([x[k] for x in twins], np.int64) for k in range(4)))
+            if same:
+                yield shard, b"\2" + pack(*(np.array([x[k] for x in same], np.int64) for k in range(5)))
 
     def meet(got: pa.Table) -> pa.Table:
-        pieces, flagged = [], []
+        pieces, flagged, same = [], [], []
         for blob in (x.as_py() for x in got.column("blob")):
             if blob[0] == 1:
+                # all windows of the class stand in the automaton with its first document, which is an earlier one
                 d, t, s, e = unpack(blob[1:])
                 flagged.append(np.stack([d, t, s, e - window], 1))
-                continue
-            d, t, s, e, n, flat = unpack(blob[1:])
-            flat, at = flat.tobytes(), 0
-            for row in zip(d.tolist(), t.tolist(), s.tolist(), n.tolist(), strict=True):
-                pieces.append((*row[:3], flat[at : at + row[3]]))
-                at += row[3]
+            elif blob[0] == 2:
+                same += zip(*(x.tolist() for x in unpack(blob[1:])), strict=True)
+            else:
+                d, t, s, e, n, flat = unpack(blob[1:])
+                flat, at = flat.tobytes(), 0
+                for row in zip(d.tolist(), t.tolist(), s.tolist(), n.tolist(), strict=True):
+                    pieces.append((*row[:3], flat[at : at + row[3]]))
+                    at += row[3]
         pieces.sort(key=lambda x: x[:3])
-        auto, number, seen, rows = Automaton(), {}, {}, []
+        auto, number, rows = Automaton(), {}, []
+        asked = {(d, t0, s0) for d, _, _, t0, s0 in same}
+        stays: dict[tuple, list] = {}
         for d, t, s, piece in pieces:
             w = [number.setdefault(x, len(number)) for x in piece.split()]
-            if seen.setdefault(piece, d) < d:
-                rows.append((d, t, s, s + len(w) - window))
-                continue
             found = np.array(auto.firsts(w, window), np.int64)
-            for i, j in zip(*(x.tolist() for x in runs_of((found >= 0) & (found < d))), strict=True):
-                rows.append((d, t, s + i, s + j - 1))
+            earlier = list(zip(*(x.tolist() for x in runs_of((found >= 0) & (found < d))), strict=True))
+            rows += [(d, t, s + i, s + j - 1) for i, j in earlier]
+            if (d, t, s) in asked:
+                stays[d, t, s] = earlier
             for i, j in zip(*(x.tolist() for x in runs_of(found < 0)), strict=True):
                 auto.add(w[i : j + window - 1], d)
+        rows += [(d, t, s + i, s + j - 1) for d, t, s, t0, s0 in same for i, j in stays[d, t0, s0]]
         if rows:
             flagged.append(np.array(rows, np.int64))
         d, t, lo, hi = np.concatenate(flagged).T if flagged else np.zeros((4, 0), np.int64)
         del auto
         release()
-        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(d % buckets, d, t.astype(np.uint32), lo.astype(np.uint32), hi.astype(np.uint32)))])
+        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(repeats.home(d, t, buckets), d, t, lo.astype(np.uint32), hi.astype(np.uint32)))])
 
-    sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB, by_route=True)
-    flags = sent.groupBy("bucket").applyInArrow(meet, repeats.BLOB)
-    return repeats.remove(docs, flags, doc_id, text, units, "n_words,n_removed,n_spans,kept")
+    sent = repeats.with_hits(docs, hits, doc_id, text, units, buckets, make)
+    flags = repeats.dealt(sent, buckets).applyInArrow(meet, repeats.BLOB)
+    return repeats.remove(docs, flags, doc_id, text, units, buckets, "n_words,n_removed,n_spans,kept")

@@ -2,14 +2,15 @@
 
 Every byte that a 100-byte window covers which also starts earlier (smaller doc_id, or earlier in the document) goes.
 Suffixes are sparse: they start at the anchors of windows (see repeats), and only at anchors that repeat anywhere. Each
-document bucket sorts its suffixes, drops those whose whole surrounding equals one it has seen (their windows are
-repeats already), front-codes the sorted run (length shared with the one before, rest) and sends one piece to each key
-range. A range merges its runs with a loser tree that carries the prefix known to be shared with the last winner and
-starts comparing behind it. Suffixes that share their anchor come out side by side; there the windows are compared.
+document bucket drops those whose whole surrounding equals one it has seen (their windows are repeats already, so of a
+run of one character or line one surrounding stays), sorts the rest, front-codes the sorted run (length shared with the
+one before, rest) and sends one piece to each key range. A range merges its runs with a loser tree that carries the
+prefix known to be shared with the last winner and starts comparing behind it. Suffixes that share their anchor come out
+side by side; there the windows are compared.
 
 Defined cases: null is an empty text and keeps its null in the input column; texts under 100 bytes lose nothing; of
-repeated rows all but one lose everything that is long enough; a null doc_id sorts last; an empty table gives no rows;
-columns named like results are replaced.
+repeated rows all but one lose everything that is long enough; a null doc_id sorts last, such rows by a checksum of
+their text; an empty table gives no rows; columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -121,11 +122,11 @@ def splitters(docs: DataFrame, doc_id: str, text: str, units: repeats.Units, buc
     def some(batches):
         for batch in batches:
             buf, off = T.buffer(batch.column(0))
-            for i, j in T.slices(off):
-                part, o = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                _, r, p, _, _ = units.anchors(part, o)
-                raw = part.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[x : x + _KEY] for x in (o[r] + p)[::8].tolist()], pa.binary())], names=["k"])
+            for piece in units.pieces(buf, off):
+                raw = piece.buf.tobytes()
+                # what repeats within a text has one place in the order
+                keys = {raw[x : x + _KEY]: None for x in piece.at[::8].tolist()}
+                yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.binary())], names=["k"])
 
     picked = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(_SAMPLE_EVERY)) == 0).select(text)
     keys = sorted(r[0] for r in picked.mapInArrow(some, "k binary").limit(_SAMPLE_MOST).toLocalIterator())
@@ -137,31 +138,34 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     units = repeats.Units(window, gram, False)
     buckets = bucket_count(docs, text)
     bounds = splitters(docs, doc_id, text, units, buckets)
-    docs = repeats.bucketed(docs, doc_id, buckets)
+    docs = repeats.bucketed(docs, doc_id, text, buckets)
     hits = repeats.anchor_hits(docs, doc_id, text, units, buckets, False)
 
-    def make(rows):
+    def make(found):
         runs: dict[int, list] = {}
-        for d, tie, raw, p, a, b, _ in rows:
-            for at, back, less in zip(p.tolist(), a.tolist(), b.tolist(), strict=True):
-                # places named for another row of this id may lie outside this text
-                first, last = max(at - back, 0), min(at - less, len(raw) - window)
-                if first <= last:
-                    suffix = raw[at : last + window]
-                    runs.setdefault(bisect.bisect_right(bounds, suffix[:_KEY]), []).append((suffix, raw[first:at], d, tie, first, last - first + 1))
+        seen: set[int] = set()
+        for piece, ids, ties, _ in found:
+            raw = piece.buf.tobytes()
+            key, one, group = np.unique(units.spans_hash(piece), return_index=True, return_inverse=True)
+            fresh = np.zeros(len(piece.at), bool)
+            fresh[[i for k, i in zip(key.tolist(), one.tolist(), strict=True) if k not in seen]] = True
+            seen.update(key.tolist())
+            first = piece.place(piece.first, piece.row)
+            for i in np.flatnonzero(fresh).tolist():
+                at, a, b, r = int(piece.at[i]), int(piece.first[i]), int(piece.last[i]), int(piece.row[i])
+                suffix = raw[at : b + window]
+                runs.setdefault(bisect.bisect_right(bounds, suffix[:_KEY]), []).append((suffix, raw[a:at], int(ids[r]), int(ties[r]), int(first[i]), b - a + 1))
+            # surroundings met before in this bucket: their windows are flagged, as ranges of neighbours
+            x = np.flatnonzero(~fresh)
+            x = x[np.lexsort((first[x], piece.row[x]))]
+            r, lo, hi = piece.row[x], first[x], first[x] + (piece.last - piece.first)[x]
+            new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (lo[1:] != hi[:-1] + 1)))) if len(x) else x
+            end = np.append(new[1:], len(x)) - 1
+            if len(new):
+                yield from ((int(k), b"\1" + blob) for k, blob in repeats.by_bucket(repeats.home(ids[r[new]], ties[r[new]], buckets), ids[r[new]], ties[r[new]], lo[new], hi[end]))
         for bucket, run in runs.items():
             run.sort()
-            # kind 0: met for the first time here; its later twins (kind 1) only pass through to be flagged
-            kept, twins, last = [], [], None
-            for x in run:
-                if last is not None and x[:2] == last[:2]:
-                    twins.append(x)
-                else:
-                    kept.append(x)
-                    last = x
-            yield bucket, b"\0" + encode(kept)
-            if twins:
-                yield bucket, b"\1" + pack(*(np.array([x[k] for x in twins], np.int64) for k in (2, 3, 4, 5)))
+            yield bucket, b"\0" + encode(run)
 
     def meet(got: pa.Table) -> pa.Table:
         raw = [x.as_py() for x in got.column("blob")]
@@ -202,15 +206,11 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
             group.append(item[1:])
         if len(group) > 1:
             compare(group)
-        cols = [np.array(x, np.int64) for x in (docs_, ties, lows, highs)]
-        for x in raw:
-            if x[0] == 1:
-                d, t, at, c = unpack(x[1:])
-                cols = [np.concatenate(y) for y in zip(cols, (d, t, at, at + c - 1), strict=True)]
-        d, t, lo, hi = cols
+        flagged = [np.array(x, np.int64) for x in (docs_, ties, lows, highs)]
+        d, t, lo, hi = (np.concatenate(x) for x in zip(flagged, *(unpack(x[1:]) for x in raw if x[0] == 1), strict=True))
         release()
-        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(d % buckets, d, t.astype(np.uint32), lo.astype(np.uint32), hi.astype(np.uint32)))])
+        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(repeats.home(d, t, buckets), d, t, lo.astype(np.uint32), hi.astype(np.uint32)))])
 
-    sent = repeats.with_hits(docs, hits, doc_id, text, make, repeats.BLOB)
-    flags = sent.groupBy("bucket").applyInArrow(meet, repeats.BLOB)
-    return repeats.remove(docs, flags, doc_id, text, units, "n_bytes,n_removed,n_spans,kept")
+    sent = repeats.with_hits(docs, hits, doc_id, text, units, buckets, make)
+    flags = repeats.dealt(sent, buckets).applyInArrow(meet, repeats.BLOB)
+    return repeats.remove(docs, flags, doc_id, text, units, buckets, "n_bytes,n_removed,n_spans,kept")

@@ -1,9 +1,12 @@
 import hashlib
 import random
+import zlib
 import re
 
+import numpy as np
 import pytest
 
+from meshframe.llm.repeats import Units
 from meshframe.llm.substring_dedup import Automaton, substring_dedup
 from meshframe.llm.suffix_dedup import decode, encode, merge, suffix_dedup
 from pyspark.sql import functions as F
@@ -119,3 +122,47 @@ def test_rows_of_one_id_meet_all_holders_of_their_words(docs_of):
     rows = list(enumerate(passages)) + [(d, p + " " + " ".join(f"n{i}x{r.randint(0, 999)}" for _ in range(20))) for d in (None, 99) for i, p in enumerate(passages)]
     got = substring_dedup(docs_of(rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted(((x[0], x[1], x[2], bytes(x[3])) for x in got), key=repr) == brute_words(rows)
+
+
+@pytest.mark.parametrize("by_word", [False, True])
+def test_pieces_of_a_long_text_hold_each_window_once(by_word):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["aa", "b", "cé", "d" * 30, "ee\n"], k=r.randint(0, 400))).encode() for _ in range(6)] + [b"", b"x" * 900, b" " * 500 + b"y z " * 200]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    units = Units(13, 6, True) if by_word else Units(100, 40, False)
+
+    def windows(limit):
+        out = []
+        for p in units.pieces(buf, off, limit):
+            first, last, at = p.place(p.first, p.row), p.place(p.last, p.row), p.place(p.at, p.row)
+            for row, a, b, c, h in zip(p.row, first, last, at, p.hash):
+                out += [(int(row) + p.first_row, s, int(c), int(h)) for s in range(int(a), int(b) + 1)]
+        assert len(set(out)) == len(out)
+        return sorted(out)
+
+    assert windows(150) == windows(10**9)
+
+
+def test_very_long_repetitive_texts(docs_of):
+    rows = [(1, "a" * 3_000_000), (2, "ha " * 900_000), (3, "ha " * 700_000 + "end"), (None, "a" * 2_500_000)]
+    got = {r["doc_id"]: r for r in suffix_dedup(docs_of(rows)).collect()}
+    assert [got[d]["n_removed"] for d in (1, 2, 3, None)] == [2_999_999, 2_699_997, 2_100_000, 2_500_000]
+    assert [bytes(got[d]["kept"]) for d in (1, 2, 3, None)] == [b"a", b"ha ", b"end", b""]
+    got = {r["doc_id"]: r for r in substring_dedup(docs_of(rows)).collect()}
+    assert [got[d]["n_removed"] for d in (1, 2, 3, None)] == [0, 0, 700_000, 0]
+    assert bytes(got[3]["kept"]) == b"end" and got[2]["n_words"] == 900_000
+
+
+def test_many_rows_without_id(docs_of):
+    r = random.Random(11)
+    passages = [" ".join(f"p{i}x{r.randint(0, 99)}" for _ in range(40)) for i in range(12)]
+    rows = [(None, r.choice(passages) + " " + " ".join(f"u{r.randint(0, 999)}" for _ in range(r.randint(0, 40)))) for _ in range(90)] + [(i, passages[i]) for i in range(6)] + [(None, None), (None, ""), (None, passages[1])] * 2
+    got = substring_dedup(docs_of(rows).repartition(4)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(((x[0], x[1], x[2], bytes(x[3])) for x in got), key=repr) == brute_words(rows)
+    raw = lambda t: (t or "").encode()
+    ordered = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, zlib.crc32(raw(x[1])) if x[0] is None else 0, raw(x[1])))
+    numbered = [(i, t) for i, (_, t) in enumerate(ordered)]
+    want = [(ordered[i][0], *rest) for i, *rest in brute_bytes(numbered)]
+    got = suffix_dedup(docs_of(rows).repartition(4)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+    assert sorted(((x[0], x[1], x[2], x[3], bytes(x[4])) for x in got), key=repr) == sorted(want, key=repr)
