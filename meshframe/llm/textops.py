@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 
 #: Bytes of text that a kernel works on at once; a longer text is a slice of its own.
 SLICE = 1 << 20
+#: Longer words are hashed one by one.
+LONG_WORD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -123,7 +126,18 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 
 
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans_hash(prefix(byte_values()[buf]), start, end)
+    """Hashes of words; the working memory does not grow with the text, nor with a word."""
+    out = np.zeros(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + SLICE, "right")))
+        if end[b - 1] - start[a] <= 2 * SLICE:
+            lo = start[a]
+            out[a:b] = spans_hash(prefix(byte_values()[buf[lo : end[b - 1]]]), start[a:b] - lo, end[a:b] - lo)
+        a = b
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_min(keys: np.ndarray, w: int) -> np.ndarray:
