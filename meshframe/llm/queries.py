@@ -95,4 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontaminate.OP2_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL, "op8_chat_formatting": chat.OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": decontaminate.OP2_SQL, "op3_suffix_dedup": suffix_dedup.OP3_SQL, "op4_jaccard_join": jaccard_join.OP4_SQL,
+    "op8_chat_formatting": chat.OP8_SQL, "op10_substring_dedup": substring_dedup.OP10_SQL,
+}

@@ -175,3 +175,16 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sent = repeats.with_hits(docs, hits, doc_id, text, units, buckets, make)
     flags = repeats.dealt(sent, buckets).applyInArrow(meet, repeats.BLOB)
     return repeats.remove(docs, flags, doc_id, text, units, buckets, "n_words,n_removed,n_spans,kept")
+
+
+#: First documents of all windows: for small tables.
+OP10_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13) AS x),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS f FROM win) AS x WHERE f < doc_id),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+wd AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM dw),
+kept AS (SELECT wd.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM wd ANTI JOIN cov ON wd.doc_id = cov.doc_id AND wd.p = cov.p GROUP BY wd.doc_id)
+SELECT dw.doc_id, cast(len(w) AS bigint) AS n_words, cast(len(w) - coalesce(n, 0) AS bigint) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM dw LEFT JOIN kept ON dw.doc_id = kept.doc_id
+"""

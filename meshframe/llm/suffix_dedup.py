@@ -214,3 +214,20 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     sent = repeats.with_hits(docs, hits, doc_id, text, units, buckets, make)
     flags = repeats.dealt(sent, buckets).applyInArrow(meet, repeats.BLOB)
     return repeats.remove(docs, flags, doc_id, text, units, buckets, "n_bytes,n_removed,n_spans,kept")
+
+
+#: All windows, as hexadecimal digits, sorted by content: for small tables. Texts are cut into blocks only to read windows fast.
+OP3_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+block AS (SELECT doc_id, b, substr(h, 2000 * b + 1, 2198) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2000 + 1)) AS b FROM t) AS x),
+win AS (SELECT doc_id, 1000 * b + i AS i, substr(h, 2 * i + 1, 200) AS g FROM (SELECT doc_id, b, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM block WHERE len(h) >= 200) AS x),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) AS x WHERE k > 1),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM hit) AS x),
+span AS (SELECT doc_id, r, min(i) AS s, max(i) + 100 AS e FROM run GROUP BY doc_id, r),
+gone AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n FROM span GROUP BY doc_id),
+edge AS (SELECT doc_id, e AS a, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS z FROM (SELECT doc_id, s, e FROM span UNION ALL SELECT doc_id, -1, 0 FROM t) AS x),
+kept AS (SELECT t.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, len(h) // 2) - a)), '' ORDER BY a) AS k FROM t JOIN edge ON t.doc_id = edge.doc_id GROUP BY t.doc_id)
+SELECT t.doc_id, cast(len(h) // 2 AS bigint) AS n_bytes, cast(coalesce(n, 0) AS bigint) AS n_removed, cast(coalesce(n_spans, 0) AS bigint) AS n_spans,
+  sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
