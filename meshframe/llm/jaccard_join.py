@@ -11,13 +11,16 @@ with few empty ones needs none of them, and only sets with many emit them.
 Signatures go as packed arrays to buckets. A passage that many documents share makes unlike sets share small
 signatures, so the holders of one are compared by sketches first: counts of a set's elements in PARTS parts of the
 domain, whose differences add up to no more than the sets' symmetric difference. Pairs too far apart by that bound
-cannot link; components of the others, as stars, are clusters. Within a cluster, texts meet in blocks of bounded size
-(each block against each other), where intersections of all sets are counted exactly; the links' components are the
-result. Sets that equal one already seen in the same task send no signatures.
+cannot link; components of the others, as stars, are clusters. A cluster's texts meet in blocks of bounded size, each
+block with the cluster's hub, and intersections are counted exactly there. In clusters of several blocks, those that are
+not in the largest group after that are compared with all others, block by block, so copies that lie near their hub cost
+in proportion to their number. The links' components are the result. Sets that equal one already seen in the same task
+send no signatures.
 
 Defined cases: null, empty or white texts have no shingle and no link; with fewer words than a shingle the whole text is
-one; rows of one doc_id are one document, linked when any of its rows is; a null doc_id sorts last and is one document;
-an empty table gives no rows; columns named like results are replaced.
+one; rows of one doc_id are one document, linked when any of its rows is; rows without doc_id are documents by their
+text, after all others, and a component of such rows alone has a null component_id; an empty table gives no rows;
+columns named like results are replaced. Ids are less than 2^62.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.llm import repeats
 from meshframe.llm import textops as T
-from meshframe.llm.common import NULL_ID, bucket_count, cut, pack, release, unpack
+from meshframe.llm.common import bucket_count, cut, pack, release, unpack
 from meshframe.llm.graph import components, least_of
 
 RATIO = 1.5
@@ -43,6 +46,15 @@ _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Rows without doc_id are nodes from here on.
+NAMELESS = 1 << 62
+
+
+def node_of(doc_id: str, text: str) -> Column:
+    """The number of a row's document: its id, or a hash of its text where it has none."""
+    return F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+
+
 def shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of the distinct shingles, by row and hash."""
     start, end, row = T.words(buf, off, T.SPACED)
@@ -236,8 +248,15 @@ def roots(linked: np.ndarray) -> np.ndarray:
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: components of links at a similarity of num/den on n-word shingles."""
+    given = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    out = node_components(docs.select(node_of(doc_id, text).alias("node"), F.col(text).alias("text")), n, num, den)
+    return out.select(given("node").alias("doc_id"), "n_shingles", given("root").alias("component_id"))
+
+
+def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """node, n_shingles and root (the smallest node reached) for each row of rows (node, text)."""
     families = Families(num, den)
-    buckets = bucket_count(docs, text)
+    buckets = bucket_count(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blobs by bucket: 0 signatures with their documents, 1 documents with sizes and sketches, 2 known links."""
@@ -379,20 +398,20 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         kind, x = np.concatenate(kinds), np.concatenate(flat)
         return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(x[:, 0], pa.int64()), pa.array(x[:, 1], pa.int64())], names=["kind", "u", "v"])
 
-    blobs = docs.select(F.col(doc_id), F.col(text)).mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB)
-    stars = blobs.groupBy("bucket").applyInArrow(attach, repeats.BLOB).groupBy("bucket").applyInArrow(judge, repeats.BLOB)
-    facts = cut(stars.groupBy("bucket").applyInArrow(settle, "kind long, u long, v long"))
+    blobs = rows.mapInArrow(send, repeats.BLOB)
+    for step in (meet, attach, judge):
+        blobs = repeats.dealt(blobs, buckets).applyInArrow(step, repeats.BLOB)
+    facts = cut(repeats.dealt(blobs, buckets).applyInArrow(settle, "kind long, u long, v long"))
     clusters = components(facts.where("kind = 5").select("u", "v"))
-    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    blocks = cut(clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n")))
     members = clusters.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).select(
+    hubs = blocks.where("n > 1").select(F.col("root").alias("node"), "root", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("own"))
+    small = F.col("n") == 1
+    met = members.where("n = 1 OR node <> root").unionByName(hubs).select(
         "node", "root",
-        # small clusters share tasks; a large one has a task for each pair of blocks
-        F.when(F.col("n") == 1, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"),
-        F.when(F.col("n") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("lo"), F.greatest("own", "other").alias("hi"),
+        # small clusters share tasks
+        F.when(small, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"), F.when(small, F.lit(-1)).otherwise(F.col("own")).alias("lo"), F.lit(0).cast("bigint").alias("hi"),
     )
-    node = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_ID))
-    texts = docs.select(node.alias("node"), F.col(text).alias("text")).join(met, "node")
 
     def compare(got: pa.Table) -> pa.Table:
         root = got.column("root").to_numpy()
@@ -412,11 +431,25 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         release()
         return pa.Table.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
-    found = texts.groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    compared = lambda met: rows.join(met, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    found = cut(compared(met))
+    if not blocks.where("n > 1").isEmpty():
+        # what is not in the largest group of its cluster yet meets all other members
+        large = members.where("n > 1").select("node", "root", "n", "own")
+        groups = components(found.join(large.select(F.col("node").alias("u")), "u", "left_semi")).withColumnRenamed("root", "label")
+        named = cut(large.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        size = named.groupBy("root", "label").agg(F.count("*").alias("k"))
+        most = size.groupBy("root").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("of")).select("root", F.col("m.label").alias("main"), (F.col("of") - F.col("m.k")).alias("odd")).where("odd > 0")
+        split = named.join(most, "root").withColumn("parts", F.ceil(F.col("odd") / BLOCK))
+        # an odd member goes to its own part against each block of members, every member to its block against each part
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        odd = split.where("label <> main").select("node", "root", F.pmod(F.xxhash64("node", "root"), F.col("parts")).alias("lo"), each("n").alias("hi"))
+        rest = split.select("node", "root", each("parts").alias("lo"), F.col("own").alias("hi"))
+        again = odd.unionByName(rest).distinct().withColumn("place", F.col("root"))
+        found = found.unionByName(compared(again))
     final = components(found.unionByName(facts.where("kind = 2").select("u", "v")))
     sizes = facts.where("kind = 1").select(F.col("u").alias("node"), F.col("v").alias("n_shingles"))
-    given = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return sizes.join(final, "node", "left").select(given("node").alias("doc_id"), "n_shingles", F.when(F.coalesce("root", "node") != NULL_ID, F.coalesce("root", "node")).alias("component_id"))
+    return sizes.join(final, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
 #: Links of all pairs that share a shingle, then components: for small tables.

@@ -97,3 +97,34 @@ def test_empty_table_and_components(docs_of, spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_odd_members_of_a_large_cluster(docs_of, monkeypatch):
+    """A chain and groups that do not link with the hub of their cluster, over several blocks."""
+    monkeypatch.setattr(J, "BLOCK", 5)
+    r = random.Random(10)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(40):  # each a small step from the one before
+        base[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(base)))
+    for k in (3, 4, 5, 6):
+        for _ in range(12):
+            w = rows[0][1].split()
+            for j in range(0, 120, 120 // k):
+                w[j] = f"y{k}{j}"
+            w[r.randrange(120)] = f"z{r.randrange(99)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(None, rows[3][1] + " more"), (None, rows[3][1] + " words"), (None, "alone here"), (None, None)]
+    for num, den in ((90, 100), (4, 5)):
+        got = J.jaccard_join(docs_of(rows).repartition(3), n=3, num=num, den=den).collect()
+        named = [(d if d is not None else 1 << 62 | i, t) for i, (d, t) in enumerate(rows)]
+        strip = lambda x: None if x is None or x >= 1 << 62 else x
+        want = sorted(((strip(d), n, strip(c)) for d, n, c in brute(named, 3, num, den)), key=repr)
+        assert sorted((tuple(x) for x in got), key=repr) == want
+
+
+def test_extra_columns_of_clashing_names_and_a_long_text(docs_of):
+    rows = [(1, "a b c d", 5, "x"), (2, "a b c d", 6, "y"), (3, " ".join(f"w{i}" for i in range(300_000)), 7, "z")]
+    got = J.jaccard_join(docs_of(rows, "doc_id long, text string, node long, root string"), n=3, num=90, den=100).collect()
+    assert sorted(tuple(x) for x in got) == [(1, 2, 1), (2, 2, 1), (3, 299_998, 3)]

@@ -62,3 +62,28 @@ def test_each_stage_does_its_part(spark, folder):
 def test_run_gives_the_pieces(spark, folder):
     got = corpus_pipeline.run(spark, folder[0])
     assert got.count() > 300 and "ids" in got.columns and toxicity.THRESHOLD == 0.7
+
+
+def test_null_ids_repeated_ids_and_clashing_columns(spark, folder, tmp_path):
+    path, rows, _ = folder
+    base = next(r[1] for r in rows if r[0] == 1000)
+    more = [(None, base, "a", 0.5, 7), (None, "quite another text of its own words", "b", 0.25, 8), (None, None, "c", 0.0, 9), (1000, base, "d", 1.0, 10), (2000, "a short text that stays", "e", None, None)]
+    docs = spark.createDataFrame([(*r[:2], "x", 0.0, 1) for r in rows if r[0] >= 1000] + more, "doc_id long, text string, items string, score double, node long")
+    expected = {"toxicity": 14, "n-gram Jaccard join": 11, "suffix-array dedup": 11, "benchmark decontamination": 10}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, path)
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/clash{k}")
+        docs = spark.read.parquet(f"{tmp_path}/clash{k}")
+        assert docs.count() == expected[name]
+        if k:
+            assert {r["items"]: (r["score"], r["node"]) for r in docs.where("items <> 'x'").collect()} == {"b": (0.25, 8), "c": (0.0, 9), "d": (1.0, 10), "e": (None, None)}
+
+
+def test_empty_documents(spark, folder, tmp_path):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        assert docs.count() == 0
+        docs = docs if "ids" in docs.columns else docs.limit(0)
