@@ -7,7 +7,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 4. benchmark decontamination: documents with a benchmark passage go;
 5. packing: pieces of documents in sequences of 2048 tokens, with their ids.
 
-Rows without doc_id or text pass all stages as their operators define it: a null text counts as empty.
+Rows without doc_id or text pass all stages as their operators define it: a null text counts as empty, and rows without
+doc_id are told apart by their texts. Further columns pass all stages, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,19 +23,28 @@ from meshframe.llm.common import checkpoint_dir, prepare, table
 from meshframe.llm.queries import tokenizer_path
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """documents with names for the further columns that no operator gives to a result."""
+    return docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"__mf_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return out.select(*(F.col(c if c in ("doc_id", "text") else f"__mf_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = toxicity.score(docs.withColumn("__mf_text", F.col("text")), labels, text="__mf_text")
-    return scored.where("predicted = 0").select(*docs.columns)
+    return _back(toxicity.score(_apart(docs), labels).where("predicted = 0"), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    groups = jaccard_join.jaccard_join(docs.select("doc_id", "text"), n=5, num=4, den=5)
-    gone = groups.where("component_id <> doc_id OR (doc_id IS NULL AND component_id IS NOT NULL)").select("doc_id").distinct()
-    # the null-safe key lets rows without doc_id through unless their group has a smaller id
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+    # rows without doc_id are documents by their text, so a copy among them takes no other of them along
+    named = _apart(docs).withColumn("node", jaccard_join.node_of("doc_id", "text"))
+    gone = jaccard_join.node_components(named.select("node", "text"), n=5, num=4, den=5).where("root <> node").select("node").distinct()
+    return _back(named.join(gone, "node", "left_anti"), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +54,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def decoded(raw):
         return raw.map(lambda x: x.decode("utf-8", "ignore"))
 
-    out = suffix_dedup.suffix_dedup(docs).withColumn("text", decoded("kept"))
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    out = _back(suffix_dedup.suffix_dedup(_apart(docs)).withColumn("text", decoded("kept")), docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(*docs.columns)
+    return _back(decontaminate.decontaminate(_apart(docs), table(spark, sf_dir, "benchmark")).where("NOT contaminated"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +81,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written as Parquet and read again."""
+    """All stages over documents; what a stage returns is written as Parquet and read again, and goes once the next stage is written."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
