@@ -33,9 +33,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; only where that is unset (tests), a local one."""
+    """The cluster's shared folder from spark.checkpoint.dir; a folder of this machine only where Spark runs on it alone."""
     shared = spark.conf.get("spark.checkpoint.dir", "")
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not hasattr(checkpoint_dir, "own"):
             checkpoint_dir.own = tempfile.mkdtemp(prefix="meshframe-checkpoints-")
         shared = checkpoint_dir.own
