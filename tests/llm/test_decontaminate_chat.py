@@ -50,6 +50,24 @@ def test_equals_brute_force(docs_of, spark):
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
 
 
+def test_repetitive_items_and_documents(docs_of, spark):
+    """Repeats inside items and documents meet once each, not in all pairs of places."""
+    r = random.Random(12)
+    items = [(1, "w1 " * 4000), (2, "a b c " * 1500), (3, "0 0 0 0 0 0 7 " * 200 + "end"), (4, " ".join(r.choices("xy", k=300))), (4, "p q r s t u v w x y z")]
+    docs = [(1, "w1 " * 30_000), (2, "c a b " * 9000 + "w1"), (3, "0 0 0 0 0 0 7 " * 2000), (4, " ".join(r.choices("xy", k=2000))), (None, "w1 " * 30), (None, "q r s t u v w x y z stop"), (5, "0 0 0 0 0 0 0 0 0 0 0")]
+    got = decontaminate(docs_of(docs), spark.createDataFrame(items, "item_id long, text string"))
+    rows = got.select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated").collect()
+    assert sorted((tuple(x) for x in rows), key=repr) == brute(docs, items)
+
+
+def test_many_rows_without_id_and_a_long_text(docs_of, spark):
+    r = random.Random(13)
+    item = " ".join(f"i{k}" for k in range(30))
+    docs = [(None, " ".join(r.choices(["u", "v"], k=20)) + (" " + item if k % 3 == 0 else "")) for k in range(300)] + [(9, " ".join(f"n{k % 5000}" for k in range(200_000)) + " " + item)]
+    got = decontaminate(docs_of(docs), spark.createDataFrame([(1, item)], "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items", "contaminated").collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(docs, [(1, item)])
+
+
 def test_empty_tables_and_clashing_columns(docs_of, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     row = decontaminate(docs_of([(1, "a b", "x", 9)], "doc_id long, text string, n_hit string, item_id int"), none).first()
