@@ -75,7 +75,7 @@ def empty_circles(points: DataFrame) -> DataFrame:
 
     points: image_id, group_id, seed_id, x, y, a few for each group (groups for exact repair have twelve at most).
     """
-    p = points.groupBy("image_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("seed_id", "x", "y"))).alias("p")).where(F.size("p").between(3, 12))
+    p = points.groupBy("image_id", "group_id").agg(F.array_sort(F.collect_list(F.struct("seed_id", "x", "y"))).alias("p")).where(F.size("p") >= 3)
     i = p.select("image_id", "group_id", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 3)).alias("i"))
     j = i.withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.size("p") - 2)))
     k = j.withColumn("k", F.explode(F.sequence(F.col("j") + 1, F.size("p") - 1)))
@@ -112,8 +112,8 @@ def _hulls(points: DataFrame, schema: str, keys: list[str]) -> DataFrame:
 
 def border_keys(owner: DataFrame, seeds: DataFrame) -> DataFrame:
     """Triangles of seeds whose circle's centre lies outside the image; only border rows and columns travel."""
-    w = Window.partitionBy("image_id")
-    edge = owner.withColumns({"mx": F.max("x").over(w), "my": F.max("y").over(w)}).where("x = 0 OR y = 0 OR x = mx OR y = my").select("image_id", "y", "x", "seed_id")
+    ends = owner.groupBy("image_id").agg(F.max("x").alias("mx"), F.max("y").alias("my"))
+    edge = owner.join(ends, "image_id").where("x = 0 OR y = 0 OR x = mx OR y = my").select("image_id", "y", "x", "seed_id")
 
     def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.functions import expr, kernels
 
 _SHIFT = 1 << 32
-#: Seeds up to this count are broadcast; beyond it the brute join lets Spark choose, and the grid join is the way.
-BROADCAST_SEEDS = 1_000_000
+#: Rows of pixels that a task of the row pass works on at once.
+BAND = 32
+#: No seed yet: greater than any key, with room to add to it.
+_NONE = 1 << 62
 
 
 def _key(px: Column, py: Column, sx: Column, sy: Column, sid: Column) -> Column:
@@ -23,12 +26,12 @@ def _owned(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def voronoi_brute(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """image_id, y, x, seed_id, d2 by comparing every pixel with every seed of its image."""
-    s = seeds.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "seed_id")
-    if seeds.count() <= BROADCAST_SEEDS:
-        s = F.broadcast(s)
-    pairs = pixels.select("image_id", "y", "x").join(s, "image_id")
-    best = pairs.groupBy("image_id", "y", "x").agg(F.min(_key(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), F.col("seed_id"))).alias("k"))
+    """image_id, y, x, seed_id, d2 by comparing every pixel with every seed of its image, a task for each row of pixels: for comparison."""
+    s = seeds.groupBy("image_id").agg(F.collect_list(F.struct("x", "y", "seed_id")).alias("s"))
+    rows = pixels.groupBy("image_id", "y").agg(F.collect_list("x").alias("xs")).join(s, "image_id")
+    best = rows.select("image_id", "y", "s", F.explode("xs").alias("x")).select(
+        "image_id", "y", "x", F.array_min(F.transform("s", lambda c: _key(F.col("x"), F.col("y"), c["x"], c["y"], c["seed_id"]))).alias("k")
+    )
     return _owned(best, "image_id", "y", "x")
 
 
@@ -37,60 +40,78 @@ def seed_bins(seeds: DataFrame, sizes: DataFrame) -> DataFrame:
     n = seeds.groupBy("image_id").agg(F.count("*").alias("n"))
     side = F.least(F.greatest(F.round(F.sqrt(2.0 * F.col("w") * F.col("h") / F.col("n"))), F.lit(4)), F.lit(64)).cast("bigint")
     g = sizes.join(n, "image_id").select("image_id", side.alias("g"))
-    return seeds.join(F.broadcast(g), "image_id").withColumns({"bx": expr.int_div(F.col("x"), F.col("g")), "by": expr.int_div(F.col("y"), F.col("g"))})
+    return seeds.join(g, "image_id").withColumns({"bx": expr.int_div(F.col("x"), F.col("g")), "by": expr.int_div(F.col("y"), F.col("g"))})
 
 
 def nearest_ring(pixels: DataFrame, seeds: DataFrame, sizes: DataFrame) -> DataFrame:
     """The same rows by bins in growing rings: a pixel is settled once no farther ring can hold a nearer seed.
 
-    Each round equi-joins the open pixels with the bins of rings up to r; r doubles, so rounds grow with the logarithm
-    of the largest empty distance.
+    Each round equi-joins the open pixels with the bins up to RINGS around theirs; then bins double their side, so a round
+    costs the same number of bins for each open pixel and rounds grow with the logarithm of the largest empty distance.
+    What is open and what is settled is cut, so no round repeats another. For whole images voronoi_grid is the way.
     """
-    binned = seed_bins(seeds, sizes).select("image_id", "bx", "by", "g", "seed_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    g = binned.select("image_id", "g").distinct()
-    span = sizes.agg(F.max(F.greatest("w", "h"))).first()[0] or 1
-    open_ = pixels.select("image_id", "y", "x").join(F.broadcast(g), "image_id").withColumns({"px": expr.int_div(F.col("x"), F.col("g")), "py": expr.int_div(F.col("y"), F.col("g"))})
-    done, r = None, 1
+    from meshframe.plans.loops import cut
+
+    binned = seed_bins(seeds, sizes).select("image_id", "g", "seed_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    g = sizes.join(binned.select("image_id", "g").distinct(), "image_id").select("image_id", "g", F.greatest("w", "h").alias("span"))
+    open_ = cut(pixels.select("image_id", "y", "x").distinct().join(g, "image_id"))
+    done, times = None, 1
+    around = F.explode(F.sequence(F.lit(-RINGS), F.lit(RINGS)))
     while True:
-        around = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-        probe = open_.withColumn("ox", around).withColumn("oy", around).withColumns({"bx": F.col("px") + F.col("ox"), "by": F.col("py") + F.col("oy")})
-        met = probe.join(binned.drop("g"), ["image_id", "bx", "by"])
-        best = met.groupBy("image_id", "y", "x", "g").agg(F.min(_key(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), F.col("seed_id"))).alias("k"))
-        # seeds outside rings up to r are farther than r bins less the place in the own bin
-        sure = best.where((F.shiftright("k", 32) < (r * F.col("g") + 1) * (r * F.col("g") + 1)) | F.lit(r * 4 > 2 * span))
+        side = F.col("g") * times
+        bins = binned.select("image_id", expr.int_div(F.col("sx"), side).alias("bx"), expr.int_div(F.col("sy"), side).alias("by"), "sx", "sy", "seed_id")
+        probe = open_.withColumn("ox", around).withColumn("oy", around).withColumns({"bx": expr.int_div(F.col("x"), side) + F.col("ox"), "by": expr.int_div(F.col("y"), side) + F.col("oy")})
+        met = probe.join(bins, ["image_id", "bx", "by"])
+        best = met.groupBy("image_id", "y", "x", "g", "span").agg(F.min(_key(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), F.col("seed_id"))).alias("k"))
+        # seeds outside these rings are farther than so many bins less the place in the own bin
+        reach = F.col("g") * (times * RINGS) + 1
+        sure = cut(best.where((F.shiftright("k", 32) < reach * reach) | (reach > F.col("span"))))
         now = _owned(sure, "image_id", "y", "x")
         done = now if done is None else done.unionByName(now)
-        open_ = open_.join(sure.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
-        if r * 4 > 2 * span or open_.isEmpty():
+        # where the rings have covered the image, pixels without a seed have none
+        open_ = cut(open_.where(reach <= F.col("span")).join(sure.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti"))
+        if open_.isEmpty():
             return done
-        r *= 2
+        times *= 2
 
 
-TILE = 8
+RINGS = 2
 
 
-def voronoi_grid(pixels: DataFrame, seeds: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The same rows by tiles: seeds that can own a pixel of a tile are those not much farther from its centre than the nearest.
+def voronoi_grid(pixels: DataFrame, seeds: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """The same rows for whole images, by columns and then by rows: a distance transform in two exchanges.
 
-    A pixel is at most r from its tile's centre, so its owner is at most d0 + 2r from the centre, d0 being the centre's
-    own nearest distance. Only tile centres meet all seeds of their bins' rings; pixels meet their tile's candidates.
+    Down each column a window finds the nearest seed of that column; along each row the owner of a pixel is among the
+    columns' nearest ones, as the least of (dx^2 + dy^2, seed_id). pixels: all pixels of each image; sizes, as
+    nearest_ring takes them, are not needed.
     """
-    r = (TILE - 1) / 2**0.5
-    tiles = sizes.select("image_id", "w", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), expr.int_div(F.col("h") - 1, F.lit(TILE)))).alias("ty")).withColumn("tx", F.explode(F.sequence(F.lit(0).cast("bigint"), expr.int_div(F.col("w") - 1, F.lit(TILE)))))
-    centres = tiles.select("image_id", "ty", "tx", (F.col("tx") * TILE + TILE // 2).alias("cx"), (F.col("ty") * TILE + TILE // 2).alias("cy"))
-    s = seeds.select("image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "seed_id")
-    near = nearest_ring(centres.select("image_id", F.col("cy").alias("y"), F.col("cx").alias("x")), seeds, sizes.select("image_id", (F.col("w") + TILE).alias("w"), (F.col("h") + TILE).alias("h")))
-    reach = centres.join(near.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), (F.sqrt("d2") + (2 * r + 2)).alias("reach")), ["image_id", "cy", "cx"])
-    # bins of a fixed side; a centre looks into all bins that its reach touches
-    side = 16
-    lo = lambda c: F.floor((F.col(c) - F.col("reach")) / side)
-    hi = lambda c: F.floor((F.col(c) + F.col("reach")) / side)
-    probe = reach.withColumn("bx", F.explode(F.sequence(lo("cx"), hi("cx")))).withColumn("by", F.explode(F.sequence(lo("cy"), hi("cy"))))
-    bins = s.withColumns({"bx": F.floor(F.col("sx") / side), "by": F.floor(F.col("sy") / side)})
-    candidates = probe.join(bins, ["image_id", "bx", "by"]).where(expr.dist2(F.col("cx"), F.col("cy"), F.col("sx"), F.col("sy")) <= F.col("reach") * F.col("reach")).select("image_id", "ty", "tx", "sx", "sy", "seed_id")
-    tiled = pixels.select("image_id", "y", "x", expr.int_div(F.col("y"), F.lit(TILE)).alias("ty"), expr.int_div(F.col("x"), F.lit(TILE)).alias("tx"))
-    best = tiled.join(candidates, ["image_id", "ty", "tx"]).groupBy("image_id", "y", "x").agg(F.min(_key(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"), F.col("seed_id"))).alias("k"))
-    return _owned(best, "image_id", "y", "x")
+    places = seeds.groupBy("image_id", "x", "y").agg(F.min("seed_id").alias("seed_id"))
+    both = pixels.select("image_id", "x", "y", F.lit(None).cast("struct<y:bigint,s:bigint>").alias("at")).unionByName(
+        places.select("image_id", "x", "y", F.struct(F.col("y").cast("bigint").alias("y"), F.col("seed_id").cast("bigint").alias("s")).alias("at"))
+    )
+    column = Window.partitionBy("image_id", "x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumns({"up": F.last("at", ignorenulls=True).over(column.orderBy("y")), "down": F.last("at", ignorenulls=True).over(column.orderBy(F.desc("y")))}).where("at IS NULL")
+    key = lambda c: (F.col(c)["y"] - F.col("y")) * (F.col(c)["y"] - F.col("y")) * _SHIFT + F.col(c)["s"]
+    keyed = seen.select("image_id", "y", "x", F.least(key("up"), key("down")).alias("k"), expr.int_div(F.col("y"), F.lit(BAND)).alias("band"))
+
+    def run(keys: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
+        y, x = got.column("y").to_numpy(), got.column("x").to_numpy()
+        own = np.full((BAND, int(x.max()) + 1), _NONE, np.int64)
+        own[y % BAND, x] = got.column("k").fill_null(_NONE).to_numpy()
+        best = own.copy()
+        for dx in range(1, own.shape[1]):
+            # no column so far away holds a nearer seed, nor one as near
+            if dx * dx > best.max() >> 32:
+                break
+            more = dx * dx << 32
+            np.minimum(best[:, dx:], own[:, :-dx] + more, out=best[:, dx:])
+            np.minimum(best[:, :-dx], own[:, dx:] + more, out=best[:, :-dx])
+        k = best[y % BAND, x]
+        some = k < _NONE
+        image = np.full(int(some.sum()), keys[0].as_py(), np.int64)
+        return pa.Table.from_arrays([pa.array(image), pa.array(y[some]), pa.array(x[some]), pa.array(k[some] & (_SHIFT - 1)), pa.array(k[some] >> 32)], names=["image_id", "y", "x", "seed_id", "d2"])
+
+    return keyed.groupBy("image_id", "band").applyInArrow(run, "image_id long, y long, x long, seed_id long, d2 long")
 
 
 def voronoi_jfa(sizes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -110,8 +131,6 @@ def voronoi_jfa(sizes: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def side_seeds(seeds: DataFrame, sizes: DataFrame) -> DataFrame:
     """Seeds followed by the projections of border pixels' owners to their side, each place once, in border order."""
-    from pyspark.sql import Window
-
     x = sizes.select("image_id", "w", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w") - 1)).alias("i"))
     y = sizes.select("image_id", "w", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("h") - 1)).alias("i"))
     zero = F.lit(0).cast("bigint")
@@ -119,11 +138,12 @@ def side_seeds(seeds: DataFrame, sizes: DataFrame) -> DataFrame:
     i = F.col("i")
     border = flat(x, i, zero, 2 * i, True).unionByName(flat(x, i, F.col("h") - 1, 2 * i + 1, True))
     border = border.unionByName(flat(y, zero, i, 2 * F.col("w") + 2 * i, False)).unionByName(flat(y, F.col("w") - 1, i, 2 * F.col("w") + 2 * i + 1, False))
-    owners = nearest_ring(border.select("image_id", "y", "x").distinct(), seeds, sizes).join(seeds.select("image_id", "seed_id", F.col("x").alias("sx"), F.col("y").alias("sy")), ["image_id", "seed_id"])
+    every = y.select("image_id", "w", F.col("i").alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("w") - 1)).alias("x"))
+    owners = voronoi_grid(every, seeds).join(seeds.select("image_id", "seed_id", F.col("x").alias("sx"), F.col("y").alias("sy")), ["image_id", "seed_id"])
     put = border.join(owners.select("image_id", "y", "x", "sx", "sy"), ["image_id", "y", "x"]).select(
         "image_id", F.when(F.col("across"), F.col("sx")).otherwise(F.col("x")).alias("x"), F.when(F.col("across"), F.col("y")).otherwise(F.col("sy")).alias("y"), "turn"
     )
     fresh = put.groupBy("image_id", "x", "y").agg(F.min("turn").alias("turn")).join(seeds, ["image_id", "x", "y"], "left_anti")
     n = seeds.groupBy("image_id").agg(F.count("*").alias("n"))
     w = Window.partitionBy("image_id").orderBy("turn")
-    return seeds.select("image_id", "seed_id", "x", "y").unionByName(fresh.join(F.broadcast(n), "image_id").select("image_id", (F.col("n") + F.row_number().over(w) - 1).alias("seed_id"), "x", "y"))
+    return seeds.select("image_id", "seed_id", "x", "y").unionByName(fresh.join(n, "image_id").select("image_id", (F.col("n") + F.row_number().over(w) - 1).alias("seed_id"), "x", "y"))

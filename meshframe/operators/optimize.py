@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.functions import expr, kernels
@@ -12,8 +12,9 @@ from meshframe.operators import mesh, spans
 
 
 def worst_polygons(errors: DataFrame, k: int) -> DataFrame:
-    """The k polygons of greatest error, ties by number: a top-k, not a sort."""
-    return errors.select("image_id", "poly_id", "sse").orderBy(F.desc("sse"), "image_id", "poly_id").limit(k)
+    """The k polygons of greatest error of each image, ties by number: each task keeps k of an image before the exchange."""
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("sse"), "poly_id"))
+    return errors.select("image_id", "poly_id", "sse").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def split_points(polys: DataFrame, sums: DataFrame, pixels_of: DataFrame, pixels: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def merge_candidates(polys: DataFrame, sums: DataFrame, rel: float) -> DataFrame
     s = spans.with_sse(sums)
     limit = s.groupBy("image_id").agg((rel * F.sum("sse") / F.count("*")).alias("most"))
     side = lambda t: s.where("n > 0").select("image_id", F.col("poly_id").alias(f"poly_{t}"), *(F.col(c).cast("double").alias(c + t) for c in ("n", "sr", "sg", "sb")))
-    p = shared_edges(polys).join(side("a"), ["image_id", "poly_a"]).join(side("b"), ["image_id", "poly_b"]).join(F.broadcast(limit), "image_id")
+    p = shared_edges(polys).join(side("a"), ["image_id", "poly_a"]).join(side("b"), ["image_id", "poly_b"]).join(limit, "image_id")
     gap = lambda c: F.col(c + "a") / F.col("na") - F.col(c + "b") / F.col("nb")
     cost = F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * (gap("sr") * gap("sr") + gap("sg") * gap("sg") + gap("sb") * gap("sb"))
     return p.withColumn("cost", cost).where("cost <= most").select("image_id", "poly_a", "poly_b", F.round("cost", 6).alias("cost"))
@@ -79,7 +80,7 @@ def merge_candidates(polys: DataFrame, sums: DataFrame, rel: float) -> DataFrame
 def move_candidates(polys: DataFrame, sizes: DataFrame, rows: DataFrame, errors: DataFrame) -> DataFrame:
     """Single steps of a vertex that lower the error of its polygons while they stay convex over the same ground."""
     pv = mesh.poly_vertices(polys)
-    star = pv.join(polys.select("image_id", "poly_id", "verts"), ["image_id", "poly_id"]).join(errors.select("image_id", "poly_id", "sse"), ["image_id", "poly_id"]).join(F.broadcast(sizes), "image_id")
+    star = pv.join(polys.select("image_id", "poly_id", "verts"), ["image_id", "poly_id"]).join(errors.select("image_id", "poly_id", "sse"), ["image_id", "poly_id"]).join(sizes, "image_id")
     step = F.explode(F.array(*(F.struct(F.lit(dx).cast("bigint").alias("dx"), F.lit(dy).cast("bigint").alias("dy")) for dx, dy in kernels.STEPS)))
     on_x, on_y = (F.col("x") == 0) | (F.col("x") == F.col("w") - 1), (F.col("y") == 0) | (F.col("y") == F.col("h") - 1)
     tries = star.where(~(on_x & on_y)).withColumn("st", step).where(~(on_x & (F.col("st.dx") != 0)) & ~(on_y & (F.col("st.dy") != 0)))

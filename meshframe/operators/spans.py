@@ -26,7 +26,7 @@ def polygon_spans(polys: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     zero = F.lit(0).cast("bigint")
     xs, ys = F.transform("verts", lambda v: v["x"]), F.transform("verts", lambda v: v["y"])
-    box = polys.join(F.broadcast(sizes), "image_id").select(
+    box = polys.join(sizes, "image_id").select(
         "image_id", "poly_id", "verts", "w", "h", F.greatest(F.array_min(xs), zero).alias("x0"), F.least(F.array_max(xs) + 1, F.col("w")).alias("x1"),
         F.greatest(F.array_min(ys), zero).alias("y0"), F.least(F.array_max(ys) + 1, F.col("h")).alias("y1"),
     ).where("y0 < y1")

@@ -83,7 +83,7 @@ def auto_thresholds(ridges: DataFrame) -> DataFrame:
 
 
 def classify_auto(ridges: DataFrame) -> DataFrame:
-    t = ridges.join(F.broadcast(auto_thresholds(ridges)), "image_id")
+    t = ridges.join(auto_thresholds(ridges), "image_id")
     return t.select("image_id", "y", "x", F.when(F.col("v") >= F.col("high2"), 2).when(F.col("v") >= F.col("low2"), 1).otherwise(0).cast("bigint").alias("cls"))
 
 

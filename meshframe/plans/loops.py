@@ -17,8 +17,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows by checkpoint() into the folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """The same rows by checkpoint() into the folder of spark.checkpoint.dir; one of this machine only where Spark runs on it alone."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="meshframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="meshframe-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshframe.functions import expr
-from meshframe.functions.fixtures import CORNER_SQL, PIX_SQL, SEED_SQL, SIZE_SQL, corner_seeds, pixels, seeds, size
+from meshframe.functions.fixtures import CORNER_SQL, IMAGES, PIX_SQL, SEED_SQL, SIZE_SQL, corner_seeds, pixels, seeds, size
 from meshframe.functions.kernels import STEPS
 from meshframe.operators import mesh, nearest, optimize, raster, sampling, spans, stencil
 from meshframe.plans.loops import cut, ship
@@ -44,7 +44,9 @@ def query(sql: str | None = None):
 
 
 def with_(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\n{select}"
+    """The query for each picture, one after another."""
+    one = f"WITH {ctes}\n{select}"
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({one.replace('@IMG@', str(k))}) AS t{k}" for k in range(IMAGES)) if "@IMG@" in one else one
 
 
 # Expressions and stencils ---------------------------------------------------------------------------------------------
@@ -65,7 +67,7 @@ nms AS (SELECT s.y, s.x, cast(CASE WHEN s.x > 0 AND s.y > 0 AND s.x < mx AND s.y
 CLS_SQL = NMS_SQL + f", cls AS (SELECT y, x, cast(CASE WHEN v >= {HIGH * HIGH} THEN 2 WHEN v >= {LOW * LOW} THEN 1 ELSE 0 END AS bigint) AS cls FROM nms)"
 MASK_SQL = CLS_SQL + """, reach AS (SELECT y, x FROM cls WHERE cls = 2 UNION SELECT c.y, c.x FROM reach AS r, cls AS c WHERE c.cls = 1 AND c.y BETWEEN r.y - 1 AND r.y + 1 AND c.x BETWEEN r.x - 1 AND r.x + 1),
 mask AS (SELECT c.y, c.x, cast(CASE WHEN r.x IS NULL THEN 0 ELSE 255 END AS bigint) AS mask FROM cls AS c LEFT JOIN reach AS r ON c.y = r.y AND c.x = r.x)"""
-I0 = "cast(0 AS bigint) AS image_id"
+I0 = "cast(@IMG@ AS bigint) AS image_id"
 
 
 @query(with_(LUMA_SQL, f"SELECT {I0}, y, x, luma FROM l"))
@@ -119,7 +121,7 @@ def canny_float(spark, d):
   CASE WHEN e IN (3, 4) THEN h - 1 - y WHEN e IN (5, 6) THEN x WHEN e IN (7, 8) THEN w - 1 - x ELSE y END AS y2 FROM pix, size, unnest(range(0, 10)) AS t(e)) AS o"""))
 def orient_remap(spark, d):
     """All tags at once: the image id is the tag."""
-    p = pixels(spark, d).join(F.broadcast(size(spark, d)), "image_id").withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("image_id", F.col("image_id").cast("bigint"))
+    p = pixels(spark, d).join(size(spark, d), "image_id").withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("image_id", F.col("image_id").cast("bigint"))
     return stencil.orient(p, F.col("image_id"), F.col("w"), F.col("h")).withColumnRenamed("image_id", "exif")
 
 
@@ -203,12 +205,15 @@ def scan_png(spark, d):
     return _files(spark, d, "png")
 
 
-@query(with_(PIX_SQL, f"SELECT label // 1 AS image_id, count(*) AS n FROM (SELECT cast(b // 25 AS bigint) AS label FROM pix) AS t GROUP BY label"))
+LABEL_SQL = PIX_SQL.replace("vec_id // 10 AS", "rank - 1 AS").replace("FROM embeddings,", "FROM (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings) AS e,").replace("WHERE vec_id % 10 =", "WHERE label =")
+
+
+@query(with_(LABEL_SQL, f"SELECT {I0}, y, x, r, g, b FROM pix"))
 def encode_png(spark, d):
-    """An image of one row for each label: encoded, decoded and counted."""
-    p = pixels(spark, d).withColumn("image_id", expr.int_div(F.col("b"), F.lit(25)))
-    w = F.dense_rank().over(Window.partitionBy("image_id").orderBy("y")) - 1
-    return files.to_pixels(files.decode_images(files.encode_images(p.withColumn("y", w.cast("bigint"))))).groupBy("image_id").agg(F.count("*").alias("n"))
+    """A picture for each label, encoded and decoded again."""
+    p = pixels(spark, d).withColumns({"line": F.col("y") * IMAGES + F.col("image_id"), "image_id": expr.int_div(F.col("b"), F.lit(25))})
+    rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("line")) - 1
+    return files.to_pixels(files.decode_images(files.encode_images(p.withColumn("y", rank.cast("bigint")).drop("line"))))
 
 
 # Sampling -------------------------------------------------------------------------------------------------------------
@@ -287,7 +292,7 @@ def nearest_ring(spark, d):
 
 @query(OWN_OUT)
 def voronoi_grid(spark, d):
-    return nearest.voronoi_grid(pixels(spark, d), seeds(spark, d), size(spark, d))
+    return nearest.voronoi_grid(pixels(spark, d), seeds(spark, d))
 
 
 @query()
@@ -335,7 +340,7 @@ SIDE_SQL = POLY_SQL + ", side AS (SELECT u.poly_id, u.pos, u.n, u.x AS ux, u.y A
 
 
 def _owner(spark, d):
-    return nearest.voronoi_grid(pixels(spark, d), corner_seeds(spark, d), size(spark, d))
+    return nearest.voronoi_grid(pixels(spark, d), corner_seeds(spark, d))
 
 
 def _polys(spark, d):
@@ -384,7 +389,7 @@ def overlap_groups(spark, d):
     return mesh.overlap_groups(overlap_pairs(spark, d))
 
 
-GROUP_SQL = SEED_SQL + ", grp AS (SELECT x // 16 * 1000 + y // 32 AS group_id, seed_id, x, y FROM seed), few AS (SELECT * FROM grp WHERE group_id IN (SELECT group_id FROM grp GROUP BY group_id HAVING count(*) BETWEEN 3 AND 12))"
+GROUP_SQL = SEED_SQL + ", few AS (SELECT x // 3 * 100000 + y // 3 AS group_id, seed_id, x, y FROM seed)"
 
 
 @query(with_(GROUP_SQL + """, tri AS (SELECT a.group_id, a.seed_id AS a, b.seed_id AS b, c.seed_id AS c, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, c.x AS cx, c.y AS cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS o
@@ -392,11 +397,12 @@ GROUP_SQL = SEED_SQL + ", grp AS (SELECT x // 16 * 1000 + y // 32 AS group_id, s
     f"""SELECT {I0}, group_id, a, b, c FROM tri WHERE o <> 0 AND NOT EXISTS (SELECT 1 FROM few AS d WHERE d.group_id = tri.group_id AND sign(o) * (((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((bx - d.x) * (cy - d.y) - (cx - d.x) * (by_ - d.y))
   - ((bx - d.x) * (bx - d.x) + (by_ - d.y) * (by_ - d.y)) * ((ax - d.x) * (cy - d.y) - (cx - d.x) * (ay - d.y)) + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (by_ - d.y) - (bx - d.x) * (ay - d.y))) > 0)"""))
 def empty_circle(spark, d):
-    s = seeds(spark, d).withColumn("group_id", expr.int_div(F.col("x"), F.lit(16)) * 1000 + expr.int_div(F.col("y"), F.lit(32)))
+    s = seeds(spark, d).withColumn("group_id", expr.int_div(F.col("x"), F.lit(3)) * 100000 + expr.int_div(F.col("y"), F.lit(3)))
     return mesh.empty_circles(s)
 
 
-HULL_SQL = SEED_SQL + """, ext AS (SELECT DISTINCT p.x, p.y FROM seed AS p JOIN seed AS q ON p.seed_id <> q.seed_id WHERE NOT EXISTS (SELECT 1 FROM seed AS r WHERE
+HULL_SQL = SEED_SQL + """, tip AS (SELECT x, min(y) AS y FROM seed GROUP BY x UNION SELECT x, max(y) FROM seed GROUP BY x),
+ext AS (SELECT DISTINCT p.x, p.y FROM tip AS p JOIN tip AS q ON p.x <> q.x OR p.y <> q.y WHERE NOT EXISTS (SELECT 1 FROM tip AS r WHERE
   (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x) AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))),
 low AS (SELECT x AS fx, y AS fy FROM ext ORDER BY x, y LIMIT 1)"""
 HULL_OUT = with_(HULL_SQL, f"SELECT {I0}, CASE WHEN p.x = fx AND p.y = fy THEN 0 ELSE 1 + (SELECT count(*) FROM ext AS r WHERE (r.x - fx) * (p.y - fy) - (r.y - fy) * (p.x - fx) > 0) END AS pos, p.x, p.y FROM ext AS p, low")
@@ -419,7 +425,7 @@ def border_keys(spark, d):
 
 def _whole(spark, d, exact=True):
     s = cut(nearest.side_seeds(corner_seeds(spark, d), size(spark, d)))
-    return mesh.polygons_of_owner(nearest.voronoi_grid(pixels(spark, d), s, size(spark, d)), s, exact)
+    return mesh.polygons_of_owner(nearest.voronoi_grid(pixels(spark, d), s), s, exact)
 
 
 @query()

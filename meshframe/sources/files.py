@@ -194,7 +194,7 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
 
     flat = image.select("image_id", "height", "width", "nChannels", "data").mapInPandas(run, "image_id long, w long, h long, data binary")
     tagged = flat.select("image_id", "w", "h").join(raw.select("image_id", tag("content").alias("exif")), "image_id")
-    return stencil.orient(to_pixels(flat).join(F.broadcast(tagged), "image_id"), F.col("exif"), F.col("w"), F.col("h"))
+    return stencil.orient(to_pixels(flat).join(tagged, "image_id"), F.col("exif"), F.col("w"), F.col("h"))
 
 
 def svg_document(paths: list[str], w: int, h: int, W: int, H: int) -> str:
