@@ -86,6 +86,11 @@ def sse(s2: Column, sr: Column, sg: Column, sb: Column, n: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(d(s2) - (d(sr) * d(sr) + d(sg) * d(sg) + d(sb) * d(sb)) / d(n))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once: the optimiser writes a column out wherever it is used, but not a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hull(v: Column) -> Column:
     """Strict convex hull of at most four distinct points, counter-clockwise from the smallest (x, y).
 
@@ -94,15 +99,19 @@ def hull(v: Column) -> Column:
     """
     between = lambda p, a, b: (cross(a, b, p) == 0) & ((a["x"] - p["x"]) * (b["x"] - p["x"]) + (a["y"] - p["y"]) * (b["y"] - p["y"]) < 0)
 
-    def corner(p: Column) -> Column:
-        o = F.filter(v, lambda q: (q["x"] != p["x"]) | (q["y"] != p["y"]))
+    def corner(p: Column, o: Column) -> Column:
         on = F.exists(o, lambda a: F.exists(o, lambda b: between(p, a, b)))
         a, b, c = F.get(o, F.lit(0)), F.get(o, F.lit(1)), F.get(o, F.lit(2))
         turn = F.array(*(F.signum(s.cast("double")) for s in (cross(a, b, p), cross(b, c, p), cross(c, a, p))))
         within = (F.size(o) == 3) & F.coalesce(F.abs(F.aggregate(turn, F.lit(0.0), lambda s, t: s + t)) == 3, F.lit(False))
         return ~(on | within)
 
-    kept = F.array_sort(F.filter(v, corner))
-    first, rest = F.get(kept, F.lit(0)), F.slice(kept, 2, 3)
-    ranked = F.transform(rest, lambda p: F.struct(F.size(F.filter(rest, lambda q: cross(first, q, p) > 0)).alias("rank"), p.alias("p")))
-    return F.concat(F.slice(kept, 1, 1), F.transform(F.array_sort(ranked), lambda r: r["p"]))
+    def corners(v: Column) -> Column:
+        others = lambda p: F.filter(v, lambda q: (q["x"] != p["x"]) | (q["y"] != p["y"]))
+        return F.array_sort(F.filter(v, lambda p: let(others(p), lambda o: corner(p, o))))
+
+    def ordered(kept: Column, first: Column, rest: Column) -> Column:
+        ranked = F.transform(rest, lambda p: F.struct(F.size(F.filter(rest, lambda q: cross(first, q, p) > 0)).alias("rank"), p.alias("p")))
+        return F.concat(F.slice(kept, 1, 1), F.transform(F.array_sort(ranked), lambda r: r["p"]))
+
+    return let(v, lambda v: let(corners(v), lambda kept: let(F.get(kept, F.lit(0)), lambda first: let(F.slice(kept, 2, 3), lambda rest: ordered(kept, first, rest)))))
