@@ -1,6 +1,6 @@
 """Copies among images by local descriptors: found when cropped, rescaled, turned or changed in brightness.
 
-1. A media column (PGM or PPM bytes) is decoded once; on a pyramid of scales, Harris corners are kept where they are the
+1. A media column (PGM, PPM or 8-bit PNG bytes) is decoded once; on a pyramid of scales, Harris corners are kept where they are the
    largest of their surroundings, and all of them describe it. A corner's direction is that of its
    patch's centre of mass; its descriptor is 128 comparisons of smoothed pixels at places turned by that direction.
 2. Hamming-table join: a descriptor is cut into six pieces; each pair of pieces is the key of one of fifteen tables, so
@@ -20,6 +20,8 @@ scale, then to the smaller y, x; repeated ids are one image whose contents all c
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from meshframe.llm import repeats
 from meshframe.llm.common import NULL_ID, cut, pack, prime_at_least, unpack
 from meshframe.llm.graph import components, least_of
+from meshframe.sources.files import decode_png
 
 LEVELS, STEP = 3, 1.5
 RADIUS = 9
@@ -54,7 +57,13 @@ _HEADER = re.compile(rb"P([56])\s+(\d+)\s+(\d+)\s+255\s")
 
 
 def decode(raw: bytes | None) -> np.ndarray | None:
-    """Grey levels of a pixmap; None if it cannot be read."""
+    """Grey levels of a pixmap or an 8-bit PNG; None if it cannot be read."""
+    if (raw or b"")[:4] == b"\x89PNG":
+        try:
+            rgb = decode_png(raw)
+        except (ValueError, zlib.error, struct.error):
+            return None
+        return None if rgb is None else rgb.mean(2).astype(np.float32)
     head = _HEADER.match(raw or b"")
     if not head:
         return None

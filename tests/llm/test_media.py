@@ -109,3 +109,12 @@ def test_a_copy_of_a_weakly_textured_area_is_found():
     part = M.features(M.decode(M.encode(weak[40:160, 40:160])))
     assert M.links(part, [whole]) == [0] and M.links(whole, [part]) == [0]
     assert M.links(part, [M.features(strong), M.features(texture(33, 200, 200))]) == []
+
+
+def test_png_contents_are_read():
+    from meshframe.sources.files import encode_png
+
+    grey = np.arange(30 * 40, dtype=np.uint8).reshape(30, 40)
+    raw = encode_png(np.repeat(grey[..., None], 3, 2))
+    assert (media.decode(raw) == grey).all()
+    assert media.decode(raw[:60]) is None and media.decode(raw[:8]) is None and media.decode(raw[:40] + b"x" * 40) is None
