@@ -4,12 +4,13 @@
    largest of their surroundings, and all of them describe it. A corner's direction is that of its
    patch's centre of mass; its descriptor is 128 comparisons of smoothed pixels at places turned by that direction.
 2. Hamming-table join: a descriptor is cut into six pieces; each pair of pieces is the key of one of fifteen tables, so
-   descriptors that differ in at most four bits share a key. All images that share a key are compared, or joined by other
-   links already: images of a key are tied to its smallest image (a star); up to FEW of them are paired with one another
-   too, more of them make a cluster.
+   descriptors that differ in at most four bits share a key. Images of a key are tied to its smallest image (a star); up
+   to FEW of them are paired with one another too. What two images share is summed over all keys and hubs: with TIED
+   corners or more they are compared, or joined by other links already. Images so tied by keys of more than FEW images
+   make clusters. Pairs that share fewer corners are no candidates; README has the recall against all pairs.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
-   that agree with one transform link the images, if many corners would not agree as often by chance. Each image is first compared with the hub that it shares most corners
-   with, if by TIED corners or more. Pairs that are in different groups after that are compared. Where the images of a
+   that agree with one transform link the images, if many corners would not agree as often by chance. Each image is first
+   compared with the hub that it shares most corners with. Pairs that are in different groups after that are compared. Where the images of a
    cluster are not one group, they meet in blocks of bounded size, and images of different groups are compared.
 
 Equal contents are one class with one representative; the result has each row's group. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
@@ -42,10 +43,10 @@ INLIERS = 8
 TOLERANCE = 2.5
 #: Links expected of unrelated images, by the number of matches that agree by chance.
 CHANCE = 1e-6
-#: Corners by which an image must be tied to a hub to be compared with it first.
+#: Corners that two images must share, over all keys, to be compared.
 TIED = 2
 #: Images of a key that are paired with one another; more of them are compared in blocks.
-FEW = 8
+FEW = 32
 BLOCK = 256
 #: Corners, and cells of a table of corners by corners, that a step of a comparison holds.
 STEP_CORNERS, STEP_CELLS = 4096, 1 << 22
@@ -320,23 +321,29 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         rows = [np.stack([d[tied], hub[tied], c[tied].astype(np.int64), (images[at[tied]] > FEW).astype(np.int64)], 1)]
         start = np.cumsum(images) - images
         for n in range(3, FEW + 1):
-            of = d[once][start[images == n][:, None] + np.arange(n)]
+            place = once[start[images == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n - 1, 1)
-            u, v = of[:, 1 + j].reshape(-1), of[:, 1 + i].reshape(-1)
-            rows.append(np.stack([u, v, np.zeros_like(u), np.full_like(u, 2)], 1))
+            u, v = place[:, 1 + j].reshape(-1), place[:, 1 + i].reshape(-1)
+            rows.append(np.stack([d[u], d[v], c[u].astype(np.int64), np.full(len(u), 2)], 1))
         rows = np.unique(np.concatenate(rows), axis=0)
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[:, 0] % buckets, *rows.T))])
 
     def count(got: pa.Table) -> pa.Table:
-        """For each image the hub that it shares most corners with (1), one star for each component of clusters (2), other pairs (3)."""
+        """For each image the hub that it shares most corners with (1), one star for each component of clusters (2), other pairs (3).
+
+        What an image shares with another is summed over all keys and hubs; TIED corners make a pair worth comparing.
+        """
         rows = np.unique(np.concatenate([np.stack(unpack(x.as_py()), 1) for x in got.column("blob")]), axis=0)
-        star = np.unique(rows[rows[:, 3] < 2, :3], axis=0)
-        pair, n = np.unique(star[:, :2], axis=0, return_counts=True)
-        pair, n = pair[n >= TIED], n[n >= TIED]
-        order = np.lexsort((pair[:, 1], -n, pair[:, 0]))
-        best = pair[order][np.concatenate(([True], np.diff(pair[order][:, 0]) != 0))] if len(pair) else pair
-        many = np.stack(least_of(*rows[rows[:, 3] == 1, :2].T), 1)
-        few = np.unique(rows[rows[:, 3] != 1, :2], axis=0)
+        pair, n = np.unique(np.unique(rows[:, :3], axis=0)[:, :2], axis=0, return_counts=True)
+        tied = lambda some: np.unique(some[:, :2], axis=0)
+        held = {(u, v): k for u, v, k in zip(*pair[n >= TIED].T.tolist(), n[n >= TIED].tolist(), strict=True)}
+        strong = np.fromiter(((u, v) in held for u, v in rows[:, :2].tolist()), bool, len(rows))
+        star = tied(rows[strong & (rows[:, 3] < 2)])
+        share = np.array([held[u, v] for u, v in star.tolist()], np.int64)
+        order = np.lexsort((star[:, 1], -share, star[:, 0]))
+        best = star[order][np.concatenate(([True], np.diff(star[order][:, 0]) != 0))] if len(star) else star
+        many = np.stack(least_of(*tied(rows[strong & (rows[:, 3] == 1)]).T), 1)
+        few = tied(rows[strong])
         kind = np.repeat([1, 2, 3], [len(best), len(many), len(few)])
         u, v = np.concatenate((best, many, few)).T
         return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])

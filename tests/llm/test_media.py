@@ -116,5 +116,5 @@ def test_png_contents_are_read():
 
     grey = np.arange(30 * 40, dtype=np.uint8).reshape(30, 40)
     raw = encode_png(np.repeat(grey[..., None], 3, 2))
-    assert (media.decode(raw) == grey).all()
-    assert media.decode(raw[:60]) is None and media.decode(raw[:8]) is None and media.decode(raw[:40] + b"x" * 40) is None
+    assert (M.decode(raw) == grey).all()
+    assert M.decode(raw[:60]) is None and M.decode(raw[:8]) is None and M.decode(raw[:40] + b"x" * 40) is None
