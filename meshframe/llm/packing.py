@@ -115,13 +115,19 @@ def arrays(column: pa.Array, kind: str) -> Iterator[np.ndarray]:
         yield flat[a:b]
 
 
+#: Ids that are sorted faster than all flags of a vocabulary are looked through.
+SHORT = 2048
+
+
 class Present:
-    """Distinct ids of one document after another, without sorting."""
+    """Distinct ids of one document after another; those of long ones without sorting."""
 
     def __init__(self) -> None:
         self.seen = np.zeros(1 << 16, bool)
 
     def __call__(self, ids: np.ndarray) -> np.ndarray:
+        if len(ids) < SHORT:
+            return np.unique(ids)
         if len(ids) and int(ids.max()) >= len(self.seen):
             self.seen = np.zeros(int(ids.max()) * 2, bool)
         self.seen[ids] = True
@@ -153,16 +159,19 @@ def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
 
 def topics(tokens: DataFrame, df: np.ndarray, kind: str) -> DataFrame:
     """tokens with the rarest id that another document has too."""
-    rank = np.where(df > 1, df, np.iinfo(np.int64).max)
+    # ids from the rarest on, those of one document last; equal ones by number
+    order = np.lexsort((np.arange(len(df)), np.where(df > 1, df, np.iinfo(np.int64).max)))
+    place = np.empty(len(df), np.int32)
+    place[order] = np.arange(len(df), dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = Present()
         for b in batches:
-            out = []
-            for ids in arrays(b.column("ids"), kind):
-                some = present(ids)
-                out.append(int(some[np.argmin(rank[some])]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=["doc_id", "n", "ids", "row", "topic"])
+            if not b.num_rows:
+                continue
+            buf, off = T.buffer(b.column("ids"))
+            # each document has its end id at least
+            first = np.minimum.reduceat(place[buf.view(kind)], off[:-1] // np.dtype(kind).itemsize)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order[first].astype(np.int64))], names=["doc_id", "n", "ids", "row", "topic"])
 
     return tokens.mapInArrow(run, "doc_id long, n long, ids binary, row long, topic long")
 
