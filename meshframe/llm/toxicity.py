@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Inputs of a word are embeddings of the word and of its first three, four and five characters (bytes), each by hash; the
-first number of an embedding starts as the smoothed log-odds of its bucket among the training documents. Both passes
-run over windows of WINDOW words, attention pools their states, and a document's score is its highest window: every
+Inputs of a word are embeddings of the word and of its first three, four and five bytes, each by hash, and the mean of
+embeddings of its character n-grams: every character with the two behind it, as far as the word goes, whatever its
+length. The first number of a word's or beginning's embedding starts as the smoothed log-odds of its bucket among the
+training documents; those of character n-grams start at random. Both passes run over windows of WINDOW words, attention pools their states, and a document's score is its highest window: every
 document is scored over all its overlapping windows, whole. Training knows labels of documents only, so each round
 takes the highest window of each toxic document and the highest and some other windows of each clean one.
 
@@ -29,6 +30,8 @@ WINDOW, STRIDE = 32, 16
 HIDDEN = 8
 BUCKETS = 1 << 17
 PREFIXES = (3, 4, 5)
+#: Characters of an n-gram, buckets of n-grams, numbers in their embedding.
+CHARS, CHAR_BUCKETS, CHAR_SIZE = 3, 1 << 16, 4
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 2500, 6000, 1 << 15
 #: Weight of the prior in the log-odds of a bucket.
 PRIOR = 6.0
@@ -40,15 +43,54 @@ ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 3, 150, 256, 0.02
 REPEATED = 0.1
 
 
-def word_ids(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Embedding rows (word, then prefixes, one table after another) and row number of each word."""
+class Words:
+    """Distinct words of some rows: `ids` (word, beginnings), n-grams end to end in `grams`, `per` of them a word; `at`
+    is the distinct word and `row` the row of each word in turn."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, grams: np.ndarray, per: np.ndarray, at: np.ndarray, row: np.ndarray) -> None:
+        self.key, self.ids, self.grams, self.per, self.at, self.row = key, ids, grams, per, at, row
+        self.edge = np.concatenate(([0], np.cumsum(per)))
+
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams of the chosen distinct words, and the place of each one's word in the choice."""
+        per = self.per[words]
+        owner = np.repeat(np.arange(len(words)), per)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        return self.grams[self.edge[words][owner] + within], owner
+
+
+def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
+    """Words of rows, lower-cased; rows without any share one empty word that no row refers to."""
     low = T.LOWER[buf]
     start, end, row = T.words(low, off, T.ALNUM)
-    if not len(start):
-        return np.zeros((0, 1 + len(PREFIXES)), np.int32), row
-    pre = T.prefix(T.byte_values()[low])
-    ends = [end, *(np.minimum(start + k, end) for k in PREFIXES)]
-    return np.stack([(T.spans_hash(pre, start, e) % np.uint64(BUCKETS)).astype(np.int32) + i * BUCKETS for i, e in enumerate(ends)], 1), row
+    key, one, at = np.unique(T.word_hashes(low, start, end), return_index=True, return_inverse=True)
+    if not len(key):
+        return Words(key, np.zeros((1, 1 + len(PREFIXES)), np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int32), row)
+    size = (end - start)[one]
+    first = np.cumsum(size) - size
+    text = low[np.repeat(start[one] - first, size) + np.arange(size.sum())]
+    last = first + size
+    pre = T.prefix(T.byte_values()[text])
+    ids = [(key % np.uint64(BUCKETS)).astype(np.int32)]
+    ids += [(T.spans_hash(pre, first, np.minimum(first + k, last)) % np.uint64(BUCKETS)).astype(np.int32) + i * BUCKETS for i, k in enumerate(PREFIXES, 1)]
+    begin = np.flatnonzero((text & 0xC0) != 0x80)
+    owner = np.searchsorted(first, begin, "right") - 1
+    until = np.minimum(np.concatenate((begin[CHARS:], np.full(min(CHARS, len(begin)), len(text)))), last[owner])
+    grams = (T.spans_hash(pre, begin, until) % np.uint64(CHAR_BUCKETS)).astype(np.int32)
+    return Words(key, np.stack(ids, 1), grams, np.bincount(owner, minlength=len(key)), at.reshape(-1).astype(np.int32), row)
+
+
+def joined(parts: list[Words], rows: list[int]) -> Words:
+    """Words of all parts as one; rows of a part begin at its number in `rows`."""
+    key, one, same = np.unique(np.concatenate([p.key for p in parts]), return_index=True, return_inverse=True)
+    if not len(key):
+        return parts[0]
+    parts, rows = zip(*((p, r) for p, r in zip(parts, rows) if len(p.key)))
+    every = Words(key, np.concatenate([p.ids for p in parts]), np.concatenate([p.grams for p in parts]), np.concatenate([p.per for p in parts]), same, same)
+    grams, _ = every.grams_of(one)
+    base = np.cumsum([0] + [len(p.key) for p in parts])
+    at = np.concatenate([same[b:][p.at] for b, p in zip(base, parts)]).astype(np.int32)
+    return Words(key, every.ids[one], grams, every.per[one], at, np.concatenate([(p.row + r).astype(np.int32) for p, r in zip(parts, rows)]))
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +102,35 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first[row] + at, np.clip(counts[row] - at, 0, WINDOW)
 
 
-def gather(ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of windows (window, word, table) and their mask."""
+def gather(at: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of windows (window, word) and their mask."""
     step = np.arange(WINDOW)
     mask = step < length[:, None]
-    at = np.minimum(first[:, None] + step, max(len(ids) - 1, 0))
-    got = ids[at] if len(ids) else np.zeros((len(first), WINDOW, 1 + len(PREFIXES)), np.int32)
+    got = at[np.minimum(first[:, None] + step, len(at) - 1)] if len(at) else np.zeros((len(first), WINDOW), np.int32)
     return got, mask.astype(np.float32)
 
 
+def means(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the values of each of n owners; zero where there is none."""
+    per = np.maximum(np.bincount(owner, minlength=n), 1)
+    return np.stack([np.bincount(owner, values[:, k], n) / per for k in range(values.shape[1])], 1).astype(values.dtype)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Network:
-    """Weights: embeddings, gates of both directions (update, reset, candidate), attention, output."""
+    """Weights: embeddings (also of character n-grams, if `chars` gives them), gates of both directions (update, reset,
+    candidate), attention, output."""
 
-    def __init__(self, table: np.ndarray, seed: int = 7, dtype: type = np.float32) -> None:
+    def __init__(self, table: np.ndarray, seed: int = 7, dtype: type = np.float32, chars: np.ndarray | None = None) -> None:
         r = np.random.default_rng(seed)
-        d, h = table.shape[1] * (1 + len(PREFIXES)), HIDDEN
+        d, h = table.shape[1] * (1 + len(PREFIXES)) + (0 if chars is None else chars.shape[1]), HIDDEN
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2] if len(s) > 1 else s[0])).astype(dtype)
         self.w = {"E": table.astype(dtype), "Wf": init(d, 3 * h), "Uf": init(h, 3 * h), "bf": np.zeros(3 * h, dtype), "Wb": init(d, 3 * h), "Ub": init(h, 3 * h), "bb": np.zeros(3 * h, dtype), "A": init(2 * h, h), "v": init(h), "o": init(2 * h), "c": np.zeros(1, dtype)}
+        if chars is not None:
+            self.w["C"] = chars.astype(dtype)
 
     def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None) -> np.ndarray:
         """States of one direction (step first), zero at masked steps."""
@@ -100,9 +150,10 @@ class Network:
             state = out[t] = new
         return out
 
-    def forward(self, ids: np.ndarray, mask: np.ndarray, cache: dict | None = None) -> np.ndarray:
-        """Logits of windows."""
-        x = self.w["E"][ids].reshape(*ids.shape[:2], -1).transpose(1, 0, 2)
+    def forward(self, ids: np.ndarray, mask: np.ndarray, cache: dict | None = None, chars: np.ndarray | None = None) -> np.ndarray:
+        """Logits of windows; `chars` are the means over the n-grams of their words."""
+        x = self.w["E"][ids].reshape(*ids.shape[:2], -1)
+        x = (x if chars is None else np.concatenate((x, chars), 2)).transpose(1, 0, 2)
         m = mask.T
         kf, kb = ([], []) if cache is not None else (None, None)
         s = np.concatenate((self.run(x, m, "f", kf), self.run(x, m, "b", kb)), 2)
@@ -115,7 +166,8 @@ class Network:
             cache.update(x=x, m=m, kf=kf, kb=kb, s=s, u=u, a=a, pooled=pooled, ids=ids)
         return pooled @ self.w["o"] + self.w["c"][0]
 
-    def backward(self, k: dict, dlogit: np.ndarray) -> dict:
+    def backward(self, k: dict, dlogit: np.ndarray, grams: tuple | None = None) -> dict:
+        """Slopes of all weights; `grams`: distinct word of each input, then n-grams and their words as in `grams_of`."""
         g = {"o": k["pooled"].T @ dlogit, "c": np.array([dlogit.sum()], dlogit.dtype)}
         dp = dlogit[:, None] * self.w["o"]
         da = (k["s"] * dp).sum(2)
@@ -144,25 +196,40 @@ class Network:
                 dx[t] += dg @ W.T
                 carry = dh * z + du_ @ U.T
             g["W" + side], g["U" + side], g["b" + side] = gW, gU, gb
-        flat = k["ids"].transpose(1, 0, 2).reshape(-1)
-        rows, where = np.unique(flat, return_inverse=True)
-        gE = np.zeros((len(rows), self.w["E"].shape[1]), self.w["E"].dtype)
-        np.add.at(gE, where.reshape(-1), dx.reshape(-1, self.w["E"].shape[1]))
-        g["E"] = (rows, gE)
+        wide = k["ids"].shape[2] * self.w["E"].shape[1]
+        g["E"] = summed(k["ids"].transpose(1, 0, 2).reshape(-1), dx[:, :, :wide].reshape(-1, self.w["E"].shape[1]))
+        if grams is not None:
+            word, gram, owner = grams
+            _, per_word = summed(word.T.reshape(-1), dx[:, :, wide:].reshape(-1, self.w["C"].shape[1]))
+            g["C"] = summed(gram, (per_word / np.maximum(np.bincount(owner, minlength=len(per_word)), 1)[:, None].astype(per_word.dtype))[owner])
         return g
 
-    def scores(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-        """Highest probability of each row, and the number of its window; ids are of all rows' words."""
+    def characters(self, words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means over the n-grams of distinct words, then these n-grams and their words."""
+        gram, owner = words.grams_of(chosen)
+        return means(self.w["C"][gram], owner, len(chosen)), gram, owner
+
+    def scores(self, words: Words, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Highest probability of each row, and the number of its window."""
         row, first, length = windows_of(counts)
+        chars = self.characters(words, np.arange(len(words.ids)))[0]
         p = np.empty(len(row))
         for i in range(0, len(row), 2048):
-            p[i : i + 2048] = sigmoid(self.forward(*gather(ids, first[i : i + 2048], length[i : i + 2048])).astype(np.float64))
+            k, mask = gather(words.at, first[i : i + 2048], length[i : i + 2048])
+            p[i : i + 2048] = sigmoid(self.forward(words.ids[k], mask, None, chars[k]).astype(np.float64))
         edge = np.searchsorted(row, np.arange(len(counts)))
         best = np.maximum.reduceat(p, edge) if len(counts) else p
         order = np.lexsort((np.arange(len(row)), -p, row))
         return best, order[edge], (row, first, length)
 
 
+def summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their values."""
+    one, where = np.unique(rows, return_inverse=True)
+    where = where.reshape(-1)
+    return one, np.stack([np.bincount(where, values[:, k], len(one)) for k in range(values.shape[1])], 1).astype(values.dtype)
+
+
 class Adam:
     def __init__(self, w: dict) -> None:
         self.w, self.t = w, 0
@@ -180,12 +247,14 @@ class Adam:
             self.w[k][at] -= rate * fix * m / (np.sqrt(v) + 1e-7)
 
 
-def log_odds(ids: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+def log_odds(words: Words, y: np.ndarray) -> np.ndarray:
     """Embedding tables: smoothed log-odds of each bucket over documents, and a small random number."""
     size = BUCKETS * (1 + len(PREFIXES))
     seen = np.zeros((2, size))
-    for col in range(ids.shape[1]):
-        pair = np.unique(row.astype(np.int64) * size + ids[:, col])
+    n = len(words.ids)
+    once = np.unique(words.row.astype(np.int64) * n + words.at)
+    for col in range(words.ids.shape[1]):
+        pair = np.unique(once // n * size + words.ids[once % n, col])
         seen += np.stack([np.bincount(pair % size, y[pair // size] == c, size) for c in (0, 1)])
     base = y.mean()
     share = (seen[1] + PRIOR * base) / (seen.sum(0) + PRIOR)
@@ -200,27 +269,23 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
     if len(set(y.tolist())) < 2:
         return None
     off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
-    ids_, counts = [], np.zeros(len(y), np.int64)
-    for i, j in T.slices(off):
-        part, row = word_ids(np.frombuffer("".join(texts[i:j]).encode(), np.uint8), off[i : j + 1] - off[i])
-        ids_.append(part)
-        counts[i:j] = np.bincount(row, minlength=j - i)
-    ids = np.concatenate(ids_)
-    del ids_
-    net = Network(log_odds(ids, np.repeat(np.arange(len(y), dtype=np.int32), counts), y))
+    cut = list(T.slices(off))
+    words = joined([words_of(np.frombuffer("".join(texts[i:j]).encode(), np.uint8), off[i : j + 1] - off[i]) for i, j in cut], [i for i, _ in cut])
+    counts = np.bincount(words.row, minlength=len(y))
+    start = np.random.default_rng(13).standard_normal((CHAR_BUCKETS, CHAR_SIZE)) * 0.1
+    net = Network(log_odds(words, y), chars=start)
     adam, r = Adam(net.w), np.random.default_rng(5)
     wrow, first, length = windows_of(counts)
     edge = np.searchsorted(wrow, np.arange(len(y)))
     per = np.bincount(wrow, minlength=len(y))
     # the first choice of windows: the highest sum of positive log-odds
-    first_number = np.ascontiguousarray(net.w["E"][:, 0])
-    odds = np.maximum(sum(first_number[ids[:, k]] for k in range(ids.shape[1])), 0)
+    odds = np.maximum(net.w["E"][words.ids, 0].sum(1), 0)[words.at]
     total = np.concatenate(([0], np.cumsum(odds)))
     rank = total[np.minimum(first + length, len(odds))] - total[np.minimum(first, len(odds))]
     top = np.lexsort((np.arange(len(wrow)), -rank, wrow))[edge]
     for turn in range(ROUNDS):
         if turn:
-            top = net.scores(ids, counts)[1]
+            top = net.scores(words, counts)[1]
         clean = np.flatnonzero(y == 0)
         some = edge[clean] + (r.random(len(clean)) * per[clean]).astype(np.int64)
         pick = np.concatenate((top, some))
@@ -231,13 +296,15 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
         for step in range(steps):
             x = order[step * BATCH : (step + 1) * BATCH]
             cache: dict = {}
-            g, m = gather(ids, first[pick[x]], length[pick[x]])
+            k, m = gather(words.at, first[pick[x]], length[pick[x]])
             # some clean windows become one of their words over and over: repetition alone is no sign
             same = np.flatnonzero((label[x] == 0) & (length[pick[x]] > 0) & (r.random(len(x)) < REPEATED))
-            g[same], m[same] = g[same][:, :1], 1
-            p = sigmoid(net.forward(g, m, cache))
+            k[same], m[same] = k[same][:, :1], 1
+            chosen, place = np.unique(k, return_inverse=True)
+            chars, gram, owner = net.characters(words, chosen)
+            p = sigmoid(net.forward(words.ids[k], m, cache, chars[place.reshape(k.shape)]))
             slope = ((p - label[x]) * weight[x] / weight[x].sum()).astype(np.float32)
-            adam.step(net.backward(cache, slope), RATE * (1 - 0.9 * (turn * steps + step) / (ROUNDS * steps)))
+            adam.step(net.backward(cache, slope, (k, gram, owner)), RATE * (1 - 0.9 * (turn * steps + step) / (ROUNDS * steps)))
     return net
 
 
@@ -268,8 +335,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         buf, off = T.buffer(pa.array(column, pa.string(), from_pandas=True))
         out = np.zeros(len(off) - 1)
         for i, j in T.slices(off):
-            ids, row = word_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            out[i:j] = model.scores(ids, np.bincount(row, minlength=j - i))[0]
+            words = words_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            out[i:j] = model.scores(words, np.bincount(words.row, minlength=j - i))[0]
         release()
         return pd.Series(out)
 

@@ -82,3 +82,51 @@ def test_without_labels_or_rows(docs_of, spark):
     assert X.score(docs_of([]), none).count() == 0
     clash = docs_of([(1, "a", "x")], "doc_id long, text string, score string")
     assert isinstance(X.score(clash, none).select(F.col("score")).first()[0], float)
+
+
+def test_words_and_their_characters():
+    texts = ["Ab déjà ab", "", "привет x"]
+    off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    w = X.words_of(buf, off)
+    assert w.row.tolist() == [0, 0, 0, 2, 2] and w.at[0] == w.at[2] and len(w.key) == 4
+    assert w.per[w.at].tolist() == [2, 4, 2, 6, 1] and len(w.grams) == w.per.sum()
+    halves = X.joined([X.words_of(buf[: off[1]], off[:2]), X.words_of(buf[off[1] :], off[1:] - off[1])], [0, 1])
+    assert all((getattr(halves, f) == getattr(w, f)).all() for f in ("key", "ids", "grams", "per", "at", "row"))
+    got, owner = w.grams_of(w.at[[3, 1]])
+    assert np.bincount(owner).tolist() == [6, 4] and got[:6].tolist() == w.grams[w.edge[w.at[3]] : w.edge[w.at[3]] + 6].tolist()
+    assert len(X.joined([X.words_of(buf[:0], np.zeros(1, np.int64))], [0]).ids) == 1
+
+
+def test_character_gradients_equal_finite_differences():
+    r = np.random.default_rng(3)
+    w = X.words_of(np.frombuffer(b"alpha beta alphabet xy", np.uint8), np.array([0, 22]))
+    w.ids, w.grams = w.ids % 40, w.grams % 30
+    net = X.Network(r.standard_normal((40, 2)), dtype=np.float64, chars=r.standard_normal((30, X.CHAR_SIZE)))
+    k = r.integers(0, len(w.key), (3, X.WINDOW))
+    mask = (np.arange(X.WINDOW) < np.array([7, 32, 2])[:, None]).astype(np.float64)
+    y = np.array([1.0, 0.0, 1.0])
+
+    def run(cache=None):
+        chosen, place = np.unique(k, return_inverse=True)
+        chars, gram, owner = net.characters(w, chosen)
+        return X.sigmoid(net.forward(w.ids[k], mask, cache, chars[place.reshape(k.shape)])), (k, gram, owner)
+
+    def loss():
+        p = run()[0]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
+
+    cache = {}
+    p, grams = run(cache)
+    grads = net.backward(cache, p - y, grams)
+    for name in "EC":
+        full = np.zeros_like(net.w[name])
+        full[grads[name][0]] = grads[name][1]
+        for row in grads[name][0][:8]:
+            old = net.w[name][row, 1]
+            net.w[name][row, 1] = old + 1e-5
+            up = loss()
+            net.w[name][row, 1] = old - 1e-5
+            down = loss()
+            net.w[name][row, 1] = old
+            assert (up - down) / 2e-5 == pytest.approx(full[row, 1], rel=1e-3, abs=1e-6), name
