@@ -42,6 +42,8 @@ BLOCK = 256
 #: Parts of the domain whose counts are a set's sketch.
 PARTS = 256
 _FLUSH = 1 << 21
+#: Elements of a block that are sorted at once.
+_SORTED = 1 << 20
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -80,7 +82,7 @@ def sliced_shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarra
     parts = []
     for i, j in T.slices(off):
         row, h = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], n)
-        parts.append((row + i, h))
+        parts.append(((row + i).astype(np.int32), h))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -215,19 +217,22 @@ def links(row: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int)
     """Matrix of links between a few sets, with exact intersections."""
     m = len(size)
     both = np.zeros((m, m))
-    order = np.argsort(h, kind="stable")
-    h, row = h[order], row[order]
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    keep = shared[column]
-    row, column = row[keep], (np.cumsum(shared) - 1)[column[keep]]
     width = max(1, (1 << 22) // m)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        x = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + width))
-        part = np.zeros((m, min(width, int(column[-1]) + 1 - lo)), np.float32)
-        part[row[x], column[x] - lo] = 1
-        both += part @ part.T
+    # parts of the domain in turn: what is sorted at once does not grow with the texts
+    turns = -(-len(h) // _SORTED)
+    for turn in range(turns):
+        mine = h % np.uint64(turns) == turn
+        order = np.argsort(h[mine], kind="stable")
+        x, holder = h[mine][order], row[mine][order]
+        column = np.cumsum(np.concatenate(([True], x[1:] != x[:-1]))[: len(x)]) - 1
+        shared = np.bincount(column, minlength=1) > 1
+        keep = shared[column]
+        holder, column = holder[keep], (np.cumsum(shared) - 1)[column[keep]]
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            y = slice(np.searchsorted(column, lo), np.searchsorted(column, lo + width))
+            part = np.zeros((m, min(width, int(column[-1]) + 1 - lo)), np.float32)
+            part[holder[y], column[y] - lo] = 1
+            both += part @ part.T
     return den * both >= num * (size[:, None] + size[None, :] - both)
 
 
@@ -365,18 +370,22 @@ def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def judge(got: pa.Table) -> pa.Table:
         """A star for each component of near holders in a bucket (5: document, hub), to the documents' buckets."""
         own = got.column("bucket")[0].as_py()
-        out, members = [], []
+        out, members, raws = [], [], []
         for raw in (x.as_py() for x in got.column("blob")):
             if raw[0] == 4:
-                cols = unpack(raw[1:])
-                members.append((*cols[:4], cols[4].reshape(-1, PARTS)))
+                raws.append(raw)
+                members.append(tuple(x.copy() for x in unpack(raw[1:])[:4]))
             else:
                 out.append((own, raw))
         if members:
             base = np.cumsum([0] + [len(m[2]) for m in members])
             at = np.concatenate([m[1].astype(np.int64) + b for m, b in zip(members, base[:-1], strict=True)])
-            g, d, size, sketch = (np.concatenate([m[k] for m in members]) for k in (0, 2, 3, 4))
-            del members
+            g, d, size = (np.concatenate([m[k] for m in members]) for k in (0, 2, 3))
+            # the sketches of the bucket are held once, and beside them those of one blob
+            sketch = np.empty((base[-1], PARTS), np.uint8)
+            for raw, lo, hi in zip(raws, base[:-1], base[1:], strict=True):
+                sketch[lo:hi] = unpack(raw[1:])[4].reshape(-1, PARTS)
+            del members, raws
             order = np.lexsort((d[at], g))
             u, v = least_of(*ties(g[order], at[order], d, size.astype(np.int64), sketch, num, den))
             out += [(b, b"\5" + x) for b, x in repeats.by_bucket(u % buckets, u, v)]
@@ -417,12 +426,12 @@ def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         root = got.column("root").to_numpy()
         ids = got.column("node").to_numpy()
         order = np.lexsort((ids, root))
-        got, root, ids = got.take(pa.array(order)), root[order], ids[order]
-        buf, off = T.buffer(got.column("text"))
+        root, ids, texts = root[order], ids[order], got.column("text")
         edge = np.concatenate((np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))), [len(root)]))
         us, vs = [], []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            row, h = sliced_shingles(buf[off[a] : off[b]], off[a : b + 1] - off[a], n)
+            # only one cluster's texts are copied at a time
+            row, h = sliced_shingles(*T.buffer(texts.take(pa.array(order[a:b]))), n)
             size = np.bincount(row, minlength=b - a)
             top = roots(links(row, h, size, num, den) & (size > 0)[:, None] & (size > 0)[None, :])
             us.append(ids[a:b])

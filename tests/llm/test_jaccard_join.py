@@ -128,3 +128,20 @@ def test_extra_columns_of_clashing_names_and_a_long_text(docs_of):
     rows = [(1, "a b c d", 5, "x"), (2, "a b c d", 6, "y"), (3, " ".join(f"w{i}" for i in range(300_000)), 7, "z")]
     got = J.jaccard_join(docs_of(rows, "doc_id long, text string, node long, root string"), n=3, num=90, den=100).collect()
     assert sorted(tuple(x) for x in got) == [(1, 2, 1), (2, 2, 1), (3, 299_998, 3)]
+
+
+def test_links_in_turns_equal_plain_intersections(monkeypatch):
+    import numpy as np
+
+    from meshframe.llm import jaccard_join as J
+
+    r = np.random.default_rng(4)
+    sets = [set(r.integers(0, 60, k).tolist()) for k in (0, 1, 20, 40, 40, 60, 200, 200)]
+    sets += [set(sets[-1]), set(sets[2])]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets]).astype(np.int32)
+    h = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    size = np.bincount(row, minlength=len(sets))
+    plain = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    for at_once in (1 << 20, 50, 7):
+        monkeypatch.setattr(J, "_SORTED", at_once)
+        assert J.links(row, h, size, 4, 5).tolist() == plain
