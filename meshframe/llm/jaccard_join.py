@@ -417,7 +417,7 @@ def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     hubs = blocks.where("n > 1").select(F.col("root").alias("node"), "root", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("own"))
     small = F.col("n") == 1
     met = members.where("n = 1 OR node <> root").unionByName(hubs).select(
-        "node", "root",
+        "node", "root", ((F.col("node") != F.col("root")) | small | (F.col("own") == 0)).alias("once"),
         # small clusters share tasks
         F.when(small, F.pmod(F.xxhash64("root"), F.lit(buckets))).otherwise(F.col("root")).alias("place"), F.when(small, F.lit(-1)).otherwise(F.col("own")).alias("lo"), F.lit(0).cast("bigint").alias("hi"),
     )
@@ -440,8 +440,11 @@ def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         release()
         return pa.Table.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
-    compared = lambda met: rows.join(met, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
-    found = cut(compared(met))
+    compared = lambda placed: placed.select("place", "lo", "hi", "root", "node", "text").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    # all texts are exchanged once, to find those of clusters
+    placed = cut(rows.join(met, "node"))
+    texts = placed.where("once").select("node", "text")
+    found = cut(compared(placed))
     if not blocks.where("n > 1").isEmpty():
         # what is not in the largest group of its cluster yet meets all other members
         large = members.where("n > 1").select("node", "root", "n", "own")
@@ -455,7 +458,7 @@ def node_components(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         odd = split.where("label <> main").select("node", "root", F.pmod(F.xxhash64("node", "root"), F.col("parts")).alias("lo"), each("n").alias("hi"))
         rest = split.select("node", "root", each("parts").alias("lo"), F.col("own").alias("hi"))
         again = odd.unionByName(rest).distinct().withColumn("place", F.col("root"))
-        found = found.unionByName(compared(again))
+        found = found.unionByName(compared(texts.join(again, "node")))
     final = components(found.unionByName(facts.where("kind = 2").select("u", "v")))
     sizes = facts.where("kind = 1").select(F.col("u").alias("node"), F.col("v").alias("n_shingles"))
     return sizes.join(final, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
