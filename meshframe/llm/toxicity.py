@@ -270,7 +270,13 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
         return None
     off = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
     cut = list(T.slices(off))
-    words = joined([words_of(np.frombuffer("".join(texts[i:j]).encode(), np.uint8), off[i : j + 1] - off[i]) for i, j in cut], [i for i, _ in cut])
+    parts = []
+    for i, j in cut:
+        parts.append(words_of(np.frombuffer("".join(texts[i:j]).encode(), np.uint8), off[i : j + 1] - off[i]))
+        release()
+    words = joined(parts, [i for i, _ in cut])
+    del parts
+    release()
     counts = np.bincount(words.row, minlength=len(y))
     start = np.random.default_rng(13).standard_normal((CHAR_BUCKETS, CHAR_SIZE)) * 0.1
     net = Network(log_odds(words, y), chars=start)
