@@ -1,4 +1,4 @@
-"""Image files: portable pixmaps and PNG in and out, orientation tags, and writers of the text forms."""
+"""Image files: portable pixmaps, PNG, BMP and TGA in and out, orientation tags, and writers of the text forms."""
 
 from __future__ import annotations
 
@@ -87,6 +87,54 @@ def decode_png(raw: bytes) -> np.ndarray | None:
     return np.repeat(got[..., :1], 3, 2) if c < 3 else got[..., :3].copy()
 
 
+def encode_bmp(rgb: np.ndarray) -> bytes:
+    """24 bits a pixel, uncompressed; lines from the bottom up, filled to four bytes."""
+    if not rgb.size:
+        raise ValueError("empty image")
+    h, w = rgb.shape[:2]
+    lines = np.zeros((h, -(-w * 3 // 4) * 4), np.uint8)
+    lines[:, : w * 3] = rgb[::-1, :, ::-1].reshape(h, w * 3)
+    return struct.pack("<2sIHHI", b"BM", 54 + lines.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, lines.size, 2835, 2835, 0, 0) + lines.tobytes()
+
+
+def decode_bmp(raw: bytes) -> np.ndarray | None:
+    """An uncompressed bitmap of 24 or 32 bits a pixel; alpha is dropped. None for another format."""
+    if raw[:2] != b"BM":
+        return None
+    if len(raw) < 54:
+        raise ValueError("truncated bitmap")
+    start, size, w, h, _, depth, packing = struct.unpack_from("<10xIIiiHHI", raw)
+    if size < 40 or w <= 0 or not h or depth not in (24, 32) or packing:
+        raise ValueError("unsupported bitmap")
+    n, line = depth // 8, -(-w * depth // 32) * 4
+    if len(raw) < start + line * abs(h):
+        raise ValueError("truncated bitmap")
+    rows = np.frombuffer(raw, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : w * n].reshape(abs(h), w, n)
+    return np.ascontiguousarray((rows[::-1] if h > 0 else rows)[:, :, 2::-1])
+
+
+def encode_tga(rgb: np.ndarray) -> bytes:
+    """24 bits a pixel, uncompressed; lines from the top down."""
+    if not rgb.size or max(rgb.shape[:2]) > 65535:
+        raise ValueError("size not possible in this format")
+    return struct.pack("<BBB5xHHHHBB", 0, 0, 2, 0, 0, rgb.shape[1], rgb.shape[0], 24, 0x20) + rgb[:, :, ::-1].tobytes()
+
+
+def decode_tga(raw: bytes) -> np.ndarray | None:
+    """Uncompressed grey or colour of 8, 24 or 32 bits a pixel; alpha is dropped. The format has no mark of its own: None for an implausible head."""
+    if len(raw) < 18:
+        return None
+    skip, palette, kind, w, h, depth, order = struct.unpack_from("<BBB9xHHBB", raw)
+    if palette or (kind, depth) not in ((2, 24), (2, 32), (3, 8)) or not w * h or order & 0xC0:
+        return None
+    n = depth // 8
+    if len(raw) < 18 + skip + w * h * n:
+        raise ValueError("truncated TGA")
+    rows = np.frombuffer(raw, np.uint8, w * h * n, 18 + skip).reshape(h, w, n)
+    rows = rows[:: 1 if order & 0x20 else -1, :: -1 if order & 0x10 else 1]
+    return np.repeat(rows, 3, 2) if n == 1 else np.ascontiguousarray(rows[:, :, 2::-1])
+
+
 def jpeg_orientation(raw: bytes) -> int:
     """The orientation tag of a JPEG's first Exif directory, 1 where there is none or anything is odd."""
     if raw[:2] != b"\xff\xd8":
@@ -122,7 +170,7 @@ def jpeg_orientation(raw: bytes) -> int:
 
 def decode(raw: bytes) -> np.ndarray:
     """An image by its first bytes."""
-    for one in (decode_ppm, decode_png):
+    for one in (decode_ppm, decode_png, decode_bmp, decode_tga):
         rgb = one(raw)
         if rgb is not None:
             if max(rgb.shape[:2]) > LONGEST_SIDE:
@@ -168,7 +216,7 @@ def encode_images(pixels: DataFrame, kind: str = "png") -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, image_id (hash of the path), w, h, data of all PPM and PNG files of a folder."""
+    """path, image_id (hash of the path), w, h, data of all PPM, PNG, BMP and TGA files of a folder."""
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("image_id"), "content")
     return decode_images(files).join(files.select("path", "image_id"), "image_id")
 
@@ -210,7 +258,7 @@ def text_document(shapes: list[str], w: int, h: int) -> str:
 
 # Sinks ----------------------------------------------------------------------------------------------------------------
 
-WRITERS = {"png": encode_png, "ppm": encode_ppm}
+WRITERS = {"png": encode_png, "ppm": encode_ppm, "bmp": encode_bmp, "tga": encode_tga}
 
 
 def kind_of(path: str) -> str:

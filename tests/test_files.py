@@ -24,6 +24,29 @@ def test_round_trips():
         files.encode_png(np.zeros((0, 0, 3), np.uint8))
 
 
+def test_bitmaps_and_targas():
+    r = np.random.default_rng(2)
+    for h, w in ((1, 1), (5, 7), (4, 6), (33, 64)):
+        a = r.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        for encode in (files.encode_bmp, files.encode_tga):
+            raw = encode(a)
+            assert (files.decode(raw) == a).all()
+            with pytest.raises(ValueError):
+                files.decode(raw[:-1])
+    a = r.integers(0, 256, (2, 3, 4)).astype(np.uint8)
+    turned = struct.pack("<2sIHHI", b"BM", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, -2, 1, 32, 0, 0, 0, 0, 0, 0) + a.tobytes()
+    assert (files.decode(turned) == a[:, :, 2::-1]).all()
+    low = struct.pack("<BBB5xHHHHBB", 2, 0, 2, 0, 0, 3, 2, 32, 8) + b"id" + a.tobytes()
+    assert (files.decode(low) == a[::-1, :, 2::-1]).all()
+    grey = struct.pack("<BBB5xHHHHBB", 0, 0, 3, 0, 0, 3, 2, 8, 0x30) + bytes(range(6))
+    assert files.decode(grey)[:, :, 0].tolist() == [[2, 1, 0], [5, 4, 3]]
+    for encode in (files.encode_bmp, files.encode_tga):
+        with pytest.raises(ValueError):
+            encode(np.zeros((0, 0, 3), np.uint8))
+    with pytest.raises(ValueError):
+        files.decode(b"BM" + b"\0" * 60)
+
+
 def test_pixmap_headers():
     assert (files.decode_ppm(b"P5\n# note\n2 1\n255\n\x07\x09") == [[[7] * 3, [9] * 3]]).all()
     assert files.decode_ppm(b"GIF89a") is None
