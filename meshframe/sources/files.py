@@ -207,7 +207,7 @@ def encode_images(pixels: DataFrame, kind: str = "png") -> DataFrame:
     """image_id, content: each image as a file of its own."""
     from meshframe.functions import kernels
 
-    write = {"png": encode_png, "ppm": encode_ppm}[kind]
+    write = WRITERS[kind]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "content": [write(kernels.image(pdf))]})

@@ -111,6 +111,8 @@ def test_photos_through_the_image_source(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     names = files.save_images(frame(spark, tiny(), 3), f"{tmp_path}/ö-{{}}.png")
     assert names == [f"{tmp_path}/ö-3.png"] and (files.decode_png(open(names[0], "rb").read()) == tiny()).all()
+    for kind in ("bmp", "tga"):
+        assert (files.decode(open(files.save_images(frame(spark, tiny(), 3), f"{tmp_path}/{{}}.{kind}")[0], "rb").read()) == tiny()).all()
     sizes = spark.createDataFrame([(3, 7, 5)], "image_id long, w long, h long")
     shapes = spark.createDataFrame([(3, 1, "<path b/>", "Qua\n"), (3, 0, "<path a/>", "Tri\n")], "image_id long, poly_id long, path string, shape string")
     assert open(files.save_shapes(shapes, sizes, f"{tmp_path}/{{}}.svg", 2.0)[0]).read().splitlines()[2:4] == ["<path a/>", "<path b/>"]
