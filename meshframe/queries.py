@@ -678,8 +678,7 @@ big AS (SELECT i AS y, k AS x FROM frame, unnest(range(0, h)) AS u(i), unnest(ra
 @query(with_(REN_SQL, f"SELECT {I0}, cast(b.y // 2 AS bigint) AS y, cast(b.x // 2 AS bigint) AS x, cast((sum(coalesce(c.r, 0)) + 2) // 4 AS bigint) AS r, cast((sum(coalesce(c.g, 0)) + 2) // 4 AS bigint) AS g, cast((sum(coalesce(c.b, 0)) + 2) // 4 AS bigint) AS b FROM big AS b LEFT JOIN tops AS t ON t.y = b.y AND t.x = b.x LEFT JOIN col AS c ON c.poly_id = t.poly_id GROUP BY b.y // 2, b.x // 2"))
 def render_scaled(spark, d):
     p = _polys(spark, d)
-    h = size(spark, d).first()["h"]
-    return raster.render_scaled(p, cut(_colours(spark, d, p)), size(spark, d), 96, h * 3 // 2, 2)
+    return raster.render_scaled(p, cut(_colours(spark, d, p)), size(spark, d), 96, expr.int_div(F.col("h") * 3, F.lit(2)), 2)
 
 
 HV = "CASE WHEN {v} <= 0 THEN 0 WHEN {v} >= {n} - 1 THEN 2 * {n} ELSE 2 * {v} + 1 END"
