@@ -8,7 +8,7 @@ document is scored over all its overlapping windows, whole. Training knows label
 takes the highest window of each toxic document and the highest and some other windows of each clean one.
 
 Training rows: at most TRAIN_TOXIC and TRAIN_CLEAN labelled documents of at most TRAIN_BYTES (all are parameters), the
-first by hash of doc_id. Only they reach the driver.
+first by hash of doc_id. They meet in one task, which trains; the driver gets the weights alone.
 
 Defined cases: a null or text without words has one empty window and its score; repeated rows get equal scores; without
 labelled rows the score is one half; an empty table gives no rows; columns named like results are replaced.
@@ -16,6 +16,7 @@ labelled rows the score is one half; an empty table gives no rows; columns named
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -314,21 +315,33 @@ def train(texts: list[str], y: np.ndarray) -> Network | None:
     return net
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str) -> tuple[list[str], np.ndarray]:
-    """The bounded training sample: labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str) -> DataFrame:
+    """id, text, y: the bounded training sample, labelled rows outside the held-out fold."""
     may = labels.where((F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1) & F.col(toxic).isNotNull())
     one = may.groupBy(F.col(doc_id).alias("__mf_id")).agg(F.max(toxic).alias("__mf_y"))
     order = F.xxhash64("__mf_id")
     ids = one.where("__mf_y = 1").orderBy(order, "__mf_id").limit(TRAIN_TOXIC).unionByName(one.where("__mf_y = 0").orderBy(order, "__mf_id").limit(TRAIN_CLEAN))
     # at most TRAIN_TOXIC + TRAIN_CLEAN ids: a proven bound for the broadcast
     picked = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("__mf_id")).where(F.octet_length(text) <= TRAIN_BYTES)
-    rows = sorted((r[0], r[2], r[1]) for r in picked.select(doc_id, text, "__mf_y").collect())
-    return [r[2] for r in rows], np.array([r[1] for r in rows], np.float64)
+    return picked.select(F.col("__mf_id").alias("id"), F.col(text).alias("text"), F.col("__mf_y").cast("double").alias("y"))
+
+
+def trained(rows: DataFrame) -> Network | None:
+    """The network of training rows, made in one task; its weights, of a fixed size, are all that reaches the driver."""
+
+    def run(got: pa.Table) -> pa.Table:
+        each = sorted(zip(*(got.column(c).to_pylist() for c in ("id", "y", "text"))))
+        net = train([r[2] for r in each], np.array([r[1] for r in each], np.float64))
+        release()
+        return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    made = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "net binary").collect()
+    return pickle.loads(made[0]["net"]) if made else None
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
     """Rows with held_out, score and predicted."""
-    net = train(*training_rows(docs, labels, doc_id, text, toxic))
+    net = trained(training_rows(docs, labels, doc_id, text, toxic))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of a fixed size
 
     @F.pandas_udf("double")

@@ -130,3 +130,18 @@ def test_character_gradients_equal_finite_differences():
             down = loss()
             net.w[name][row, 1] = old
             assert (up - down) / 2e-5 == pytest.approx(full[row, 1], rel=1e-3, abs=1e-6), name
+
+
+def test_the_driver_does_not_train(docs_of, spark, monkeypatch):
+    import os
+
+    driver, train = os.getpid(), X.train
+
+    def elsewhere(texts, y):
+        assert os.getpid() != driver, "training rows reached the driver"
+        return train(texts, y)
+
+    monkeypatch.setattr(X, "train", elsewhere)
+    rows, labels = sample(120, 5)
+    got = X.score(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got}) > 10
