@@ -16,7 +16,10 @@ labelled rows the score is one half; an empty table gives no rows; columns named
 
 from __future__ import annotations
 
+import os
 import pickle
+import subprocess
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -326,14 +329,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, to
     return picked.select(F.col("__mf_id").alias("id"), F.col(text).alias("text"), F.col("__mf_y").cast("double").alias("y"))
 
 
+def train_apart() -> None:
+    """Texts and labels by standard input, the network by standard output."""
+    sys.stdout.buffer.write(pickle.dumps(train(*pickle.load(sys.stdin.buffer))))
+
+
 def trained(rows: DataFrame) -> Network | None:
-    """The network of training rows, made in one task; its weights, of a fixed size, are all that reaches the driver."""
+    """The network of training rows, made in one task; its weights, of a fixed size, are all that reaches the driver.
+
+    The task trains in a process of its own, for a Python worker lives on and would keep what training took.
+    """
 
     def run(got: pa.Table) -> pa.Table:
         each = sorted(zip(*(got.column(c).to_pylist() for c in ("id", "y", "text"))))
-        net = train([r[2] for r in each], np.array([r[1] for r in each], np.float64))
+        given = pickle.dumps(([r[2] for r in each], np.array([r[1] for r in each], np.float64)))
+        del each
+        env = os.environ | {"PYTHONPATH": os.pathsep.join(x for x in sys.path if x)}
+        made = subprocess.run([sys.executable, "-c", "from meshframe.llm import toxicity; toxicity.train_apart()"], input=given, stdout=subprocess.PIPE, env=env, check=True).stdout
+        del given
         release()
-        return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
+        return pa.table({"net": pa.array([made], pa.binary())})
 
     made = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "net binary").collect()
     return pickle.loads(made[0]["net"]) if made else None
