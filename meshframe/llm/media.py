@@ -10,8 +10,9 @@
    make clusters. Pairs that share fewer corners are no candidates; README has the recall against all pairs.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
    that agree with one transform link the images, if many corners would not agree as often by chance. Each image is first
-   compared with the hub that it shares most corners with. Pairs that are in different groups after that are compared. Where the images of a
-   cluster are not one group, they meet in blocks of bounded size, and images of different groups are compared.
+   compared with the hub that it shares most corners with. Pairs that are in different groups after that are compared; an
+   image goes once to each cell of the pairs' grid that has a pair of it. Where the images of a cluster are not one group,
+   they meet in blocks of bounded size, and two images of different groups are compared once, in both directions.
 
 Equal contents are one class with one representative; the result has each row's group. Defined cases: null, broken and flat images have no corner and no link (null and empty contents are no
 copies of one another; other equal contents are one class, also without a corner); ties of strength go to the larger
@@ -48,8 +49,12 @@ TIED = 2
 #: Images of a key that are paired with one another; more of them are compared in blocks.
 FEW = 32
 BLOCK = 256
+#: Corners that an image block of the grid of pairs should hold, and blocks of it at least.
+CELL_CORNERS, LEAST_BLOCKS = 1 << 20, 4
 #: Corners, and cells of a table of corners by corners, that a step of a comparison holds.
 STEP_CORNERS, STEP_CELLS = 4096, 1 << 22
+#: Cells of such a table that stay in a processor's cache.
+CACHED_CELLS = 1 << 17
 #: Keys that a map task gathers before it sends them out, and keys that a bucket should hold.
 FLUSH_KEYS, BUCKET_KEYS = 1 << 20, 1 << 21
 #: Descriptions that a task remembers to reuse them for equal contents.
@@ -202,17 +207,22 @@ def agree(pa_: np.ndarray, pb: np.ndarray, enough: int | None = None) -> int:
 
 def close(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of corners within MATCH_BITS of one another."""
-    step = max(1, STEP_CELLS // max(1, len(e)))
+    n = max(1, len(e))
+    step = max(1, CACHED_CELLS // n)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right = (np.ascontiguousarray(e[:, k]) for k in (0, 1))
     for at in range(0, len(d), step):
-        i, j = np.nonzero(sum(np.bitwise_count(d[at : at + step, None, k] ^ e[None, :, k]).astype(np.int16) for k in (0, 1)) <= MATCH_BITS)
-        a.append(i + at)
-        b.append(j)
+        part = d[at : at + step]
+        # what is close in all bits is so in the first half
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(part[:, :1] ^ left) <= MATCH_BITS), n)
+        near = np.bitwise_count(part[i, 0] ^ left[j]) + np.bitwise_count(part[i, 1] ^ right[j]) <= MATCH_BITS
+        a.append(i[near] + at)
+        b.append(j[near])
     return np.concatenate(a), np.concatenate(b)
 
 
-def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-    """Which of the other images link with one."""
+def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], both: bool = False) -> list[int]:
+    """Which of the other images link with one, or if both, one with them."""
     d, p = one
     if len(d) < INLIERS or not others:
         return []
@@ -226,34 +236,47 @@ def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.
         count = np.bincount(np.searchsorted(base, np.unique(b), "right") - 1, minlength=end)
         for j in np.flatnonzero(count >= INLIERS).tolist():
             mine = owner == j
-            if agree(p[a[mine]], others[j][1][b[mine] - base[j]], INLIERS) >= INLIERS:
+            x, y = p[a[mine]], others[j][1][b[mine] - base[j]]
+            if agree(x, y, INLIERS) >= INLIERS or (both and agree(y, x, INLIERS) >= INLIERS):
                 out.append(j)
         at = end
     return out
 
 
-def join_groups(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join images of different labels; images already joined are not compared again."""
-    top = {int(x): int(x) for x in label}
+class Joined:
+    """Labels that links have joined."""
 
-    def find(x: int) -> int:
+    def __init__(self, labels) -> None:
+        self.top = {int(x): int(x) for x in labels}
+
+    def find(self, x: int) -> int:
+        top = self.top
         while top[x] != x:
             top[x] = top[top[x]]
             x = top[x]
         return x
 
-    names, size = np.unique(label, return_counts=True)
-    most = names[np.argmax(size)] if len(names) else None
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.top[y] = x
+        return x != y
+
+
+def join_groups(parts: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join images of different labels, and of different sides if these are given; images already joined are not compared again."""
+    joined = Joined(label)
+    names, number, size = np.unique(label, return_inverse=True, return_counts=True)
+    most = number == np.argmax(size) if len(names) else np.zeros(0, bool)
     out = []
-    # every pair of labels has a side that is not the largest
-    for i in np.flatnonzero(label != most).tolist():
-        mine = find(int(label[i]))
-        rest = [j for j in range(len(parts)) if find(int(label[j])) != mine]
-        for k in links(parts[i], [parts[j] for j in rest]):
-            j = rest[k]
-            if find(int(label[j])) != find(int(label[i])):
-                top[find(int(label[j]))] = find(int(label[i]))
-                out.append((i, j))
+    # every pair of labels has a side that is not the largest; two such images are compared at the first of them
+    for i in np.flatnonzero(~most).tolist():
+        top = np.array([joined.find(int(x)) for x in names])
+        apart = (top != top[number[i]])[number] & (most | (np.arange(len(parts)) > i))
+        if side is not None:
+            apart &= side != side[i]
+        rest = np.flatnonzero(apart).tolist()
+        out += [(i, rest[k]) for k in links(parts[i], [parts[j] for j in rest], True) if joined.join(int(label[i]), int(label[rest[k]]))]
     return out
 
 
@@ -278,12 +301,14 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
     readable = F.col(content).cast("binary")
     # null and empty contents are no copies of one another
     digest = F.when(F.octet_length(readable) > 0, F.sha2(readable, 256)).otherwise(F.concat(F.lit("-"), key.cast("string")))
-    facts = cut(media.select(key.alias("id"), digest.alias("digest"), readable.alias("content")).mapInArrow(describe, "id long, digest string, n long, features binary"))
-    corners = facts.dropDuplicates(["digest"]).agg(F.sum("n")).first()[0] or 0
+    named = media.select(key.alias("id"), digest.alias("digest"), readable.alias("content"))
+    described = named.where("left(digest, 1) <> '-'").mapInArrow(describe, "id long, digest string, n long, features binary")
+    # one description for each content; the rows' names are read again at the end
+    classes = cut(described.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "features"), "id").alias("own")).select("digest", "rep", "own.n", "own.features"), tidy=True)
+    corners = classes.agg(F.sum("n")).first()[0] or 0
     tables = PIECES * (PIECES - 1) // 2
     buckets = prime_at_least(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-corners * tables // BUCKET_KEYS)))
-    classes = facts.where("left(digest, 1) <> '-'").groupBy("digest").agg(F.min("id").alias("rep"))
-    own = facts.join(classes.withColumnRenamed("digest", "d2"), (F.col("digest") == F.col("d2")) & (F.col("id") == F.col("rep"))).where("n > 0").select("id", "digest", "features").dropDuplicates(["digest"])
+    own = classes.where("n > 0").select(F.col("rep").alias("id"), "features")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -349,7 +374,7 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])
 
     found = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "kind long, u long, v long")
-    found = cut(found)
+    found = cut(found, tidy=True)
     ties = found.where("kind = 1")
     shapes = own.select(F.col("id").alias("node"), "features")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
@@ -372,44 +397,55 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
                     v.append(hub[h])
         return pairs(u, v)
 
-    starred = cut(shapes.join(routed, "node").withColumn("place", place("hub")).groupBy("place").applyInArrow(with_hub, "u long, v long"))
+    starred = cut(shapes.join(routed, "node").withColumn("place", place("hub")).groupBy("place").applyInArrow(with_hub, "u long, v long"), tidy=True)
     groups = components(starred)
 
-    def with_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = (pa.Table.from_batches([b]).select([c]).rename_columns(["features"]) for c in ("fu", "fv"))
-            keep = [k for k, (x, y) in enumerate(zip(*(parted(x) for x in sides), strict=True)) if links(x, [y])]
-            yield b.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-    # pairs that are not in one group yet
-    label = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
-    side = lambda c: shapes.select(F.col("node").alias(c), F.col("features").alias("f" + c))
-    open_ = found.where("kind = 3").select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left").where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v")
-    starred = cut(starred.unionByName(open_.join(side("u"), "u").join(side("v"), "v").select("u", "v", "fu", "fv").mapInArrow(with_other, "u long, v long")))
+    def with_other(asked: pa.Table, images: pa.Table) -> pa.Table:
+        part = dict(zip(images.column("node").to_pylist(), parted(images), strict=True))
+        u, v, a, b = (asked.column(c).to_numpy() for c in ("u", "v", "a", "b"))
+        joined, out = Joined(np.concatenate((a, b))), []
+        order = np.lexsort((v, u))
+        for g in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(order) else []:
+            rest = [k for k in g.tolist() if joined.find(int(a[k])) != joined.find(int(b[k]))]
+            out += [rest[k] for k in links(part[int(u[g[0]])], [part[int(v[k])] for k in rest]) if joined.join(int(a[rest[k]]), int(b[rest[k]]))]
+        return pairs(u[out], v[out])
+
+    # pairs that are not in one group yet, dealt to the cells of a grid of image blocks by image blocks
+    label = lambda c, to: groups.select(F.col("node").alias(c), F.col("root").alias(to))
+    open_ = found.where("kind = 3").select("u", "v").join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left")
+    open_ = open_.select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
+    grid = max(LEAST_BLOCKS, -(-corners // CELL_CORNERS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+    open_ = cut(open_.withColumns({"lo": F.least(block("u"), block("v")), "hi": F.greatest(block("u"), block("v"))}), tidy=True)
+    asked = open_.select(F.explode(F.array("u", "v")).alias("node"), F.col("lo").alias("row"), F.col("hi").alias("column")).distinct()
+    shipped = shapes.join(asked, "node").groupBy("row", "column")
+    starred = cut(starred.unionByName(open_.groupBy("lo", "hi").cogroup(shipped).applyInArrow(with_other, "u long, v long")), tidy=True)
     groups = components(starred)
     # clusters of tied images that are not one group yet
     tied = components(found.where("kind = 2").select("u", "v")).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     blocks = tied.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster", "k")
     members = tied.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select(
-        "node", "cluster", "label",
+        "node", "cluster", "label", "own",
         F.when(F.col("k") == 1, place("cluster")).otherwise(F.col("cluster")).alias("place"),
         F.when(F.col("k") == 1, F.lit(-1)).otherwise(F.least("own", "other")).alias("lo"), F.greatest("own", "other").alias("hi"),
     )
 
     def compare(got: pa.Table) -> pa.Table:
-        cluster, ids, label, parts = got.column("cluster").to_numpy(), got.column("node").to_numpy(), got.column("label").to_numpy(), parted(got)
+        cluster, ids, label, own, parts = *(got.column(c).to_numpy() for c in ("cluster", "node", "label", "own")), parted(got)
+        # two images of one block meet in that block's own cell
+        crossed = 0 <= got.column("lo")[0].as_py() < got.column("hi")[0].as_py()
         u, v = [], []
         order = np.lexsort((ids, cluster))
         for g in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            for i, j in join_groups([parts[k] for k in g], label[g]):
+            for i, j in join_groups([parts[k] for k in g], label[g], own[g] if crossed else None):
                 u.append(ids[g[i]])
                 v.append(ids[g[j]])
         return pairs(u, v)
 
-    more = shapes.join(spread, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long")
+    more = cut(shapes.join(spread, "node").groupBy("place", "lo", "hi").applyInArrow(compare, "u long, v long"), tidy=True)
     final = components(starred.unionByName(more).where("u <> v"))
-    rows = facts.select("id", "digest", "n").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
+    rows = named.select("id", "digest").join(classes.select("digest", "rep", "n"), "digest", "left").withColumns({"rep": F.coalesce("rep", "id"), "n": F.coalesce("n", F.lit(0).cast("bigint"))})
     out = rows.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     given = lambda c: F.when(c != NULL_ID, c)
     return out.select(given(F.col("id")).alias("media_id"), F.col("n").alias("n_keypoints"), given(F.coalesce("root", "rep")).alias("group_id"))

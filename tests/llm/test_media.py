@@ -103,6 +103,47 @@ def test_copies_meet_though_smaller_images_head_each_of_their_keys(spark, monkey
     assert got == {**{i: i for i in range(10 * holders)}, 1000: 1000, 1001: 1000}
 
 
+def test_two_images_of_a_cluster_are_compared_once(monkeypatch):
+    compared = []
+    monkeypatch.setattr(M, "links", lambda one, others, *both: compared.extend((one, x) for x in others) or [])
+    assert M.join_groups(list("abcde"), np.array([0, 1, 2, 3, 3])) == []
+    assert sorted("".join(sorted(x)) for x in compared) == ["ab", "ac", "ad", "ae", "bc", "bd", "be", "cd", "ce"]
+
+
+def test_images_of_different_blocks_alone_meet_in_their_cell(monkeypatch):
+    compared = []
+    monkeypatch.setattr(M, "links", lambda one, others, *both: compared.extend((one, x) for x in others) or [])
+    assert M.join_groups(list("abcd"), np.arange(4), np.array([0, 0, 1, 1])) == []
+    assert sorted("".join(sorted(x)) for x in compared) == ["ac", "ad", "bc", "bd"]
+
+
+def test_close_corners_equal_counting_bits():
+    r = np.random.default_rng(5)
+    d = r.integers(0, 2**63, (300, 2), np.uint64)
+    e = np.concatenate([d[:100] ^ (np.uint64(1) << r.integers(0, 64, (100, 2), np.uint64)), r.integers(0, 2**63, (500, 2), np.uint64)])
+    e[:50, 1] ^= np.uint64(0x7FFF)  # one bit, and 14 to 16 others
+    far = np.bitwise_count(d[:, None] ^ e[None]).astype(int).sum(2)
+    assert [x.tolist() for x in M.close(d, e)] == [x.tolist() for x in np.nonzero(far <= M.MATCH_BITS)]
+    assert [len(x) for x in M.close(d, e[:0])] == [len(x) for x in M.close(d[:0], e)] == [0, 0]
+
+
+def test_an_image_of_many_pairs_is_not_sent_with_each_of_them(spark, monkeypatch):
+    def features(grey):
+        n = len(grey)
+        return np.ascontiguousarray(grey[:, :16].astype(np.uint8)).view(np.uint64), np.concatenate([grey[:, 16:18], np.ones((n, 1)), np.zeros((n, 1))], 1).astype(np.float32)
+
+    monkeypatch.setattr(M, "features", features)
+    r = np.random.default_rng(8)
+    shared = r.integers(0, 256, (3, 16))
+    rows = [(i, described(np.concatenate([shared, r.integers(0, 256, (200, 16))]))) for i in range(32)]
+    sent = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = M.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {x["media_id"]: x["group_id"] for x in got} == {i: i for i in range(32)}
+    # 465 pairs of 32 images of 4 KB
+    assert sent() - before < 2_500_000
+
+
 def test_a_copy_of_a_weakly_textured_area_is_found():
     strong, weak = texture(31, 200, 200), texture(32, 200, 200) * 0.3 + 80
     whole = M.features(M.decode(M.encode(np.concatenate([strong, weak], 1))))
