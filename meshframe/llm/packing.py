@@ -38,6 +38,8 @@ SHARD_TOKENS = 4 << 20
 K1, B = 1.2, 0.75
 #: Pieces of text that byte-level BPE never merges across (a fixed value of this kind of tokenizer).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same pieces, found without going back: runs are not given up in part, and white space at the end is one piece.
+PIECES_AT_ONCE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,7 +72,7 @@ def encoder(path: str):
 
     added = [x["content"] for x in spec.get("added_tokens", [])]
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in added}
-    bpe = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+    bpe = tiktoken.Encoding("file", pat_str=PIECES_AT_ONCE, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         # added tokens inside a text are ids of their own: those few texts are for the library
@@ -202,6 +204,10 @@ def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray,
     return first, parts
 
 
+#: A token that one class in so many has gets a row of weights over all classes instead of postings, if there are not more classes.
+COMMON, ROW_CLASSES = 4, 1 << 15
+
+
 class Index:
     """A BM25 inverted index over classes of equal tails; used tails leave it, and it shrinks with them."""
 
@@ -227,8 +233,18 @@ class Index:
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = (K1 * (1 - B + B * lens / mean)).astype(np.float32)
         weight = idf[tok] * tf * np.float32(K1 + 1) / (tf + norm[doc])
+        held = np.bincount(tok, minlength=len(df))
+        common = np.flatnonzero((held * COMMON >= max(len(one), COMMON)) & (len(one) <= ROW_CLASSES))
+        self.line = np.full(len(df), -1, np.int32)
+        self.line[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(one)))
+        at = np.flatnonzero(self.line[tok] >= 0)
+        self.rows[self.line[tok[at]], doc[at]] = weight[at]
+        few = np.flatnonzero(self.line[tok] < 0)
+        tok, doc, weight = tok[few], doc[few], weight[few]
         order = np.argsort(tok, kind="stable").astype(np.int32)
-        self.doc, self.weight = doc[order], weight[order]
+        # in the types that sums are made in, so that no seed converts them again
+        self.doc, self.weight = doc[order].astype(np.intp), weight[order].astype(np.float64)
         self.edge = np.searchsorted(tok[order], np.arange(len(df) + 1))
         self.df = df
         self.open, self.shut = len(one), 0
@@ -257,17 +273,21 @@ class Index:
         k = int(self.of[i])
         u = self.terms[k]
         u = u[np.argsort(self.df[u], kind="stable")]
+        lines = self.line[u]
+        rows, u = lines[lines >= 0].tolist(), u[lines < 0]
         spans = [(a, b) for a, b in zip(self.edge[u].tolist(), self.edge[u + 1].tolist(), strict=True) if b > a]
-        if not spans:
+        if not spans and not rows:
             return
-        doc = np.concatenate([self.doc[a:b] for a, b in spans])
-        weight = np.concatenate([self.weight[a:b] for a, b in spans])
-        if 8 * len(doc) < len(self.terms):
+        doc = np.concatenate([np.zeros(0, np.intp), *(self.doc[a:b] for a, b in spans)])
+        weight = np.concatenate([np.zeros(0), *(self.weight[a:b] for a, b in spans)])
+        if not rows and 8 * len(doc) < len(self.terms):
             found, where = np.unique(doc, return_inverse=True)
             score = np.bincount(where, weight)
         else:
-            score = np.bincount(doc, weight, len(self.terms))
-            found = np.flatnonzero(np.bincount(doc, minlength=len(self.terms)))
+            score = np.bincount(doc, weight, len(self.terms)).astype(np.float64, copy=False)
+            for k in rows:
+                score += self.rows[k]
+            found = np.flatnonzero(score)  # every weight is greater than 0
             score = score[found]
         alive = self.at[found] < self.end[found]
         found, score = found[alive], score[alive]

@@ -144,3 +144,32 @@ def test_a_seed_asks_with_all_of_its_tokens():
     df = np.zeros(200, np.int64)
     df[rare], df[50], df[[60, 70]] = 2, 3, 1
     assert [[p[0] for p in s] for s in packing.fill(tails, df, 4, 20.0, 60)] == [[0, 1, 3], [2]]
+
+
+def test_common_tokens_are_rows_and_give_the_same_sequences(monkeypatch):
+    from meshframe.llm import packing as P
+
+    r = np.random.default_rng(4)
+    tails = [np.append(np.minimum(r.zipf(1.3, r.integers(1, 90)) + 1, 900), P.END_ID).astype("<u2") for _ in range(300)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=1000)
+    got = list(P.fill(tails, df, len(tails), 40.0, 128))
+    # no posting of a token that a quarter of the classes have
+    index = P.Index(tails, df, len(tails), 40.0)
+    assert np.diff(index.edge).max() < len(index.terms) / 4
+    monkeypatch.setattr(P, "ROW_CLASSES", 0)
+    assert np.diff(P.Index(tails, df, len(tails), 40.0).edge).max() > len(index.terms) / 4
+    assert list(P.fill(tails, df, len(tails), 40.0, 128)) == got
+
+
+def test_pieces_found_at_once_are_those_of_the_usual_split():
+    import tiktoken
+
+    from meshframe.llm import packing as P
+
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {x: 256 + i for i, x in enumerate((b"  ", b"\n\n", b" \n", b"a ", b" a", b"'s", b"s ", b"1 ", b"  a"))}
+    old, new = (tiktoken.Encoding(n, pat_str=p, mergeable_ranks=ranks, special_tokens={}) for n, p in (("old", P.PIECES), ("new", P.PIECES_AT_ONCE)))
+    r = np.random.default_rng(6)
+    for _ in range(2000):
+        text = "".join(r.choice([*" \n\t 　ab1'sld.Ж١"], r.integers(0, 14)))
+        assert old.encode_ordinary(text) == new.encode_ordinary(text), repr(text)
