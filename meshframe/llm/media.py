@@ -10,7 +10,9 @@
    make clusters. Pairs that share fewer corners are no candidates; README has the recall against all pairs.
 3. Consensus: descriptors of two images within MATCH_BITS of one another vote for a similarity transform; INLIERS corners
    that agree with one transform link the images, if many corners would not agree as often by chance. Each image is first
-   compared with the hub that it shares most corners with. Pairs that are in different groups after that are compared; an
+   compared with the hub that it shares most corners with. Pairs are listed only of images that are in different groups
+   after that: near copies that their hub has joined make none. Where more than LISTED an image are left, each image is
+   compared with one of another group again, as long as that halves them. Listed pairs are compared in both directions; an
    image goes once to each cell of the pairs' grid that has a pair of it. Where the images of a cluster are not one group,
    they meet in blocks of bounded size, and two images of different groups are compared once, in both directions.
 
@@ -49,6 +51,8 @@ TIED = 2
 #: Images of a key that are paired with one another; more of them are compared in blocks.
 FEW = 32
 BLOCK = 256
+#: Pairs an image, on average, that are listed without comparing each image with one other first.
+LISTED = 16
 #: Corners that an image block of the grid of pairs should hold, and blocks of it at least.
 CELL_CORNERS, LEAST_BLOCKS = 1 << 20, 4
 #: Corners, and cells of a table of corners by corners, that a step of a comparison holds.
@@ -331,60 +335,103 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         if held:
             yield flush()
 
-    def meet(got: pa.Table) -> pa.Table:
-        """Corners with the smallest image of a key (from few, 0, or many images, 1) and pairs of the others (2), by bucket of the image."""
-        low, more, d, c = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in got.column("blob")), strict=True))
-        k = more.astype(np.uint64) << np.uint64(32) | low
+    def columns(got: pa.Table) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in got.column("blob")), strict=True)]
+
+    def ordered(k: np.ndarray, d: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Corners by key and image, and before them the first corner of each key and the key's number of each corner."""
         order = np.lexsort((d, k))
-        k, d, c = k[order], d[order], c[order]
-        first = np.concatenate(([True], k[1:] != k[:-1]))
-        at = np.cumsum(first) - 1  # key of each row
-        once = np.flatnonzero(first | np.concatenate(([True], d[1:] != d[:-1])))  # images of each key
+        first = np.concatenate(([True], np.diff(k[order]) != 0))
+        return np.flatnonzero(first), np.cumsum(first) - 1, *(x[order] for x in (k, d, *more))
+
+    def meet(got: pa.Table) -> pa.Table:
+        """Corners whose key another image has too, with the key's smallest image, by bucket of the image."""
+        low, more, d, c = columns(got)
+        k = np.uint64(got.column("bucket")[0].as_py()) << np.uint64(40) | more.astype(np.uint64) << np.uint64(32) | low
+        first, at, k, d, c = ordered(k, d, c)
+        hub = d[first]
+        shared = (d[np.append(first[1:], len(d)) - 1] != hub)[at]
+        rows = [x[shared] for x in (d, hub[at], c, k)]
+        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[0] % buckets, *rows))])
+
+    def best(got: pa.Table) -> pa.Table:
+        """For each image the hub that it shares most corners with, summed over all keys, if these are TIED."""
+        d, hub, c, _ = columns(got)
+        star = np.unique(np.stack((d, hub, c), 1)[d != hub], axis=0)
+        star, n = np.unique(star[:, :2], axis=0, return_counts=True)
+        star, n = star[n >= TIED], n[n >= TIED]
+        star = star[np.lexsort((star[:, 1], -n, star[:, 0]))]
+        return pairs(*star[np.flatnonzero(np.diff(star[:, 0], prepend=star[:1, 0] - 1))].T)
+
+    def labelled(got: pa.Table, named: pa.Table) -> pa.Table:
+        """Corners with their image's group, by bucket of the key."""
+        d, _, c, k = columns(got)
+        images, number = np.unique(d, return_inverse=True)
+        _, i, j = np.intersect1d(images, named.column("node").to_numpy(), return_indices=True)
+        label = images.copy()
+        label[i] = named.column("root").to_numpy()[j]
+        return pa.Table.from_batches([repeats.blobs(repeats.by_bucket((k >> np.uint64(40)).astype(np.int64), k, d, c, label[number]))])
+
+    def apart(got: pa.Table) -> pa.Table:
+        """Corners that images of different groups share with the smallest image of a key (from few, 0, or many images, 1) or with one another (2), by bucket of the image.
+
+        Those of its own group are told for keys of many images only (3).
+        """
+        first, at, _, d, c, label = ordered(*columns(got))
+        once = np.flatnonzero(np.concatenate(([True], (np.diff(d) != 0) | (np.diff(at) != 0))))  # images of each key
         images = np.bincount(at[once])
-        hub = d[np.flatnonzero(first)[at]]
-        tied = hub != d
-        rows = [np.stack([d[tied], hub[tied], c[tied].astype(np.int64), (images[at[tied]] > FEW).astype(np.int64)], 1)]
+        few, hub = (images <= FEW)[at], first[at]
+        same = label == label[hub]
+        told = lambda u, v, kind: np.stack([d[u], d[v], c[u].astype(np.int64), kind, label[u], label[v]], 1)
+        star = np.flatnonzero((d != d[hub]) & ~(few & same))
+        rows = [told(star, hub[star], np.where(same, 3, ~few)[star])]
         start = np.cumsum(images) - images
+        mixed = np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first)
         for n in range(3, FEW + 1):
-            place = once[start[images == n][:, None] + np.arange(n)]
+            place = once[start[mixed & (images == n)][:, None] + np.arange(n)]
             i, j = np.triu_indices(n - 1, 1)
-            u, v = place[:, 1 + j].reshape(-1), place[:, 1 + i].reshape(-1)
-            rows.append(np.stack([d[u], d[v], c[u].astype(np.int64), np.full(len(u), 2)], 1))
+            u, v = place[:, 1 + j], place[:, 1 + i]
+            other = label[u] != label[v]
+            rows.append(told(u[other], v[other], np.full(other.sum(), 2)))
         rows = np.unique(np.concatenate(rows), axis=0)
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[:, 0] % buckets, *rows.T))])
 
     def count(got: pa.Table) -> pa.Table:
-        """For each image the hub that it shares most corners with (1), one star for each component of clusters (2), other pairs (3).
+        """One star for each component of clusters (1), and for each image with pairs of different groups (2) the image that it shares most corners with, how many pairs it has and these.
 
         What an image shares with another is summed over all keys and hubs; TIED corners make a pair worth comparing.
         """
-        rows = np.unique(np.concatenate([np.stack(unpack(x.as_py()), 1) for x in got.column("blob")]), axis=0)
-        pair, n = np.unique(np.unique(rows[:, :3], axis=0)[:, :2], axis=0, return_counts=True)
-        tied = lambda some: np.unique(some[:, :2], axis=0)
-        held = {(u, v): k for u, v, k in zip(*pair[n >= TIED].T.tolist(), n[n >= TIED].tolist(), strict=True)}
-        strong = np.fromiter(((u, v) in held for u, v in rows[:, :2].tolist()), bool, len(rows))
-        star = tied(rows[strong & (rows[:, 3] < 2)])
-        share = np.array([held[u, v] for u, v in star.tolist()], np.int64)
-        order = np.lexsort((star[:, 1], -share, star[:, 0]))
-        best = star[order][np.concatenate(([True], np.diff(star[order][:, 0]) != 0))] if len(star) else star
-        many = np.stack(least_of(*tied(rows[strong & (rows[:, 3] == 1)]).T), 1)
-        few = tied(rows[strong])
-        kind = np.repeat([1, 2, 3], [len(best), len(many), len(few)])
-        u, v = np.concatenate((best, many, few)).T
-        return pa.Table.from_arrays([pa.array(kind, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])
-
-    found = own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB).groupBy("bucket").applyInArrow(count, "kind long, u long, v long")
-    found = cut(found, tidy=True)
-    ties = found.where("kind = 1")
+        rows = np.unique(np.stack(columns(got), 1), axis=0)
+        pair, number = np.unique(rows[:, :2], axis=0, return_inverse=True)
+        number, kind = number.reshape(-1), rows[:, 3]
+        shared = np.bincount(np.unique(np.stack((number, rows[:, 2]), 1), axis=0)[:, 0], minlength=len(pair))
+        strong = (kind == 3) | (shared[number] >= TIED)
+        many = np.stack(least_of(*np.unique(rows[strong & (kind % 2 == 1)][:, :2], axis=0).T), 1)
+        u, v, a, b, n = np.unique(np.concatenate((rows[:, [0, 1, 4, 5]], shared[number][:, None]), 1)[strong & (kind < 3)], axis=0).T
+        at = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
+        most = np.lexsort((v, -n, u))[at]
+        packed = [pack(*x) for x in zip(np.split(v, at[1:]), np.split(b, at[1:]), strict=True)] if len(u) else []
+        out = np.concatenate((many.T, many.T)), np.stack((u, v, a, b))[:, most], np.concatenate((np.zeros(len(many), np.int64), np.diff(at, append=len(u))))
+        kinds = np.repeat([1, 2], [len(many), len(most)])
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (kinds, *np.concatenate(out[:2], 1), out[2])] + [pa.array([None] * len(many) + packed, pa.binary())], names=["kind", "u", "v", "a", "b", "n", "pairs"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in batches:
+            for u, a, raw in zip(g.column(0).to_pylist(), g.column(1).to_pylist(), g.column(2).to_pylist(), strict=True):
+                v, b = unpack(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(v), u), v, np.full(len(v), a), b)], names=["u", "v", "a", "b"])
+
+    def pairs(u: list, v: list) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    found = cut(own.select("id", "features").mapInArrow(send, repeats.BLOB).groupBy("bucket").applyInArrow(meet, repeats.BLOB), tidy=True)
+    ties = cut(found.groupBy("bucket").applyInArrow(best, "u long, v long"), tidy=True)
     shapes = own.select(F.col("id").alias("node"), "features")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
     # an image goes to the hub that it shares most with, and a hub to itself
     routed = ties.select(F.col("u").alias("node"), F.col("v").alias("hub")).unionByName(ties.select(F.col("v").alias("node"), F.col("v").alias("hub")).distinct())
     parted = lambda got: [tuple(x.reshape(-1, n) for x, n in zip(unpack(r.as_py()), (2, 4), strict=True)) for r in got.column("features")]
 
-    def pairs(u: list, v: list) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
     def with_hub(got: pa.Table) -> pa.Table:
         hub, ids, parts = got.column("hub").to_numpy(), got.column("node").to_numpy(), parted(got)
         u, v = [], []
@@ -407,22 +454,36 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
         order = np.lexsort((v, u))
         for g in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(order) else []:
             rest = [k for k in g.tolist() if joined.find(int(a[k])) != joined.find(int(b[k]))]
-            out += [rest[k] for k in links(part[int(u[g[0]])], [part[int(v[k])] for k in rest]) if joined.join(int(a[rest[k]]), int(b[rest[k]]))]
+            out += [rest[k] for k in links(part[int(u[g[0]])], [part[int(v[k])] for k in rest], True) if joined.join(int(a[rest[k]]), int(b[rest[k]]))]
         return pairs(u[out], v[out])
 
-    # pairs that are not in one group yet, dealt to the cells of a grid of image blocks by image blocks
-    label = lambda c, to: groups.select(F.col("node").alias(c), F.col("root").alias(to))
-    open_ = found.where("kind = 3").select("u", "v").join(label("u", "a"), "u", "left").join(label("v", "b"), "v", "left")
-    open_ = open_.select("u", "v", F.coalesce("a", "u").alias("a"), F.coalesce("b", "v").alias("b")).where("a <> b")
     grid = max(LEAST_BLOCKS, -(-corners // CELL_CORNERS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
-    open_ = cut(open_.withColumns({"lo": F.least(block("u"), block("v")), "hi": F.greatest(block("u"), block("v"))}), tidy=True)
-    asked = open_.select(F.explode(F.array("u", "v")).alias("node"), F.col("lo").alias("row"), F.col("hi").alias("column")).distinct()
-    shipped = shapes.join(asked, "node").groupBy("row", "column")
-    starred = cut(starred.unionByName(open_.groupBy("lo", "hi").cogroup(shipped).applyInArrow(with_other, "u long, v long")), tidy=True)
-    groups = components(starred)
+
+    def linked(open_: DataFrame) -> DataFrame:
+        """Links of pairs, dealt to the cells of a grid of image blocks by image blocks."""
+        open_ = cut(open_.withColumns({"lo": F.least(block("u"), block("v")), "hi": F.greatest(block("u"), block("v"))}), tidy=True)
+        asked = open_.select(F.explode(F.array("u", "v")).alias("node"), F.col("lo").alias("row"), F.col("hi").alias("column")).distinct()
+        shipped = shapes.join(asked, "node").groupBy("row", "column")
+        return open_.groupBy("lo", "hi").cogroup(shipped).applyInArrow(with_other, "u long, v long")
+
+    # pairs that are not in one group yet; where they are many, each image is first compared with one, as long as that halves them
+    before = None
+    while True:
+        roots = groups.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), "node", "root")
+        told = found.groupBy("bucket").cogroup(roots.groupBy("bucket")).applyInArrow(labelled, repeats.BLOB).groupBy("bucket").applyInArrow(apart, repeats.BLOB)
+        told = cut(told.groupBy("bucket").applyInArrow(count, "kind long, u long, v long, a long, b long, n long, pairs binary"), tidy=True)
+        open_ = told.where("kind = 2")
+        images, now = open_.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        whole = now <= LISTED * images or (before is not None and now > before / 2)
+        open_ = open_.select("u", "a", "pairs").mapInArrow(listed, "u long, v long, a long, b long") if whole else open_.select("u", "v", "a", "b")
+        starred = cut(starred.unionByName(linked(open_)), tidy=True)
+        groups = components(starred)
+        if whole:
+            break
+        before = now
     # clusters of tied images that are not one group yet
-    tied = components(found.where("kind = 2").select("u", "v")).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    tied = components(told.where("kind = 1").select("u", "v")).withColumnRenamed("root", "cluster").join(groups, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     blocks = tied.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cluster", "k")
     members = tied.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")))
     spread = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))).select(

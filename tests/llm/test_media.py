@@ -144,6 +144,47 @@ def test_an_image_of_many_pairs_is_not_sent_with_each_of_them(spark, monkeypatch
     assert sent() - before < 2_500_000
 
 
+def corners_of_rows(grey):
+    if grey is None:
+        return np.zeros((0, 2), np.uint64), np.zeros((0, 4), np.float32)
+    return np.ascontiguousarray(grey[:, :16].astype(np.uint8)).view(np.uint64), np.concatenate([grey[:, 16:18], np.ones((len(grey), 1)), np.zeros((len(grey), 1))], 1).astype(np.float32)
+
+
+def test_pairs_of_one_group_are_not_listed(spark, monkeypatch):
+    made = []
+
+    def counted(df, tidy=False):
+        df = cut(df, tidy)
+        made.append(df.count())
+        return df
+
+    cut = M.cut
+    monkeypatch.setattr(M, "features", corners_of_rows)
+    monkeypatch.setattr(M, "cut", counted)
+    r = np.random.default_rng(4)
+    shared, rows = r.integers(0, 256, (12, 16)), []
+    for i in range(200):  # near copies: keys of about 26 of them each, other ones in each key
+        mine = shared.copy()
+        for c in mine:
+            for bit in r.choice(128, 5, replace=False):
+                c[bit // 8] ^= 1 << bit % 8
+        rows.append((i, described(mine)))
+    got = M.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {x["media_id"]: x["group_id"] for x in got} == dict.fromkeys(range(200), 0)
+    # 19,900 pairs
+    assert max(made) <= 10 * len(rows)
+
+
+def test_pairs_of_different_groups_are_compared_in_both_directions(spark, monkeypatch):
+    monkeypatch.setattr(M, "features", corners_of_rows)
+    monkeypatch.setattr(M, "links", lambda one, others, both=False: list(range(len(others))) if both else [])
+    r = np.random.default_rng(6)
+    shared = r.integers(0, 256, (3, 16))
+    rows = [(i, described(np.concatenate([shared[: 3 if i < 3 else 1], r.integers(0, 256, (9, 16))]))) for i in range(1, 5)]
+    got = M.image_copies(spark.createDataFrame(rows, "media_id long, content binary")).collect()
+    assert {x["media_id"]: x["group_id"] for x in got} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_a_copy_of_a_weakly_textured_area_is_found():
     strong, weak = texture(31, 200, 200), texture(32, 200, 200) * 0.3 + 80
     whole = M.features(M.decode(M.encode(np.concatenate([strong, weak], 1))))
