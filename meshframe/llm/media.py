@@ -211,14 +211,19 @@ def agree(pa_: np.ndarray, pb: np.ndarray, enough: int | None = None) -> int:
 
 def close(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of corners within MATCH_BITS of one another."""
-    n = max(1, len(e))
-    step = max(1, CACHED_CELLS // n)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n, a, b = len(e), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step, wide = min(len(d), max(1, CACHED_CELLS // max(1, n))), -(-n // 8) * 8
     left, right = (np.ascontiguousarray(e[:, k]) for k in (0, 1))
-    for at in range(0, len(d), step):
+    differ, bits, hit = np.empty((step, n), np.uint64), np.empty((step, n), np.uint8), np.zeros((step, wide), bool)
+    for at in range(0, len(d) if n else 0, step or 1):
         part = d[at : at + step]
+        m = len(part)
         # what is close in all bits is so in the first half
-        i, j = np.divmod(np.flatnonzero(np.bitwise_count(part[:, :1] ^ left) <= MATCH_BITS), n)
+        np.less_equal(np.bitwise_count(np.bitwise_xor(part[:, :1], left, out=differ[:m]), out=bits[:m]), MATCH_BITS, out=hit[:m, :n])
+        # eight cells at once: few have a hit
+        some = np.flatnonzero(hit[:m].reshape(-1).view(np.uint64) != 0)
+        eight, cell = np.nonzero(hit[:m].reshape(-1, 8)[some])
+        i, j = np.divmod(some[eight] * 8 + cell, wide)
         near = np.bitwise_count(part[i, 0] ^ left[j]) + np.bitwise_count(part[i, 1] ^ right[j]) <= MATCH_BITS
         a.append(i[near] + at)
         b.append(j[near])
@@ -247,6 +252,17 @@ def links(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.
     return out
 
 
+def distinct(rows: np.ndarray, columns: int) -> np.ndarray:
+    """Rows in the order of the first columns, one of those that are equal there."""
+    rows = rows[np.lexsort(rows[:, :columns].T[::-1])]
+    return rows[begins(rows[:, :columns])]
+
+
+def begins(rows: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    return np.concatenate((np.ones(min(1, len(rows)), bool), (rows[1:] != rows[:-1]).any(1)))
+
+
 class Joined:
     """Labels that links have joined."""
 
@@ -357,9 +373,10 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
     def best(got: pa.Table) -> pa.Table:
         """For each image the hub that it shares most corners with, summed over all keys, if these are TIED."""
         d, hub, c, _ = columns(got)
-        star = np.unique(np.stack((d, hub, c), 1)[d != hub], axis=0)
-        star, n = np.unique(star[:, :2], axis=0, return_counts=True)
-        star, n = star[n >= TIED], n[n >= TIED]
+        star = distinct(np.stack((d, hub, c.astype(np.int64)), 1)[d != hub], 3)
+        at = np.flatnonzero(begins(star[:, :2]))
+        n = np.diff(at, append=len(star))
+        star, n = star[at][n >= TIED, :2], n[n >= TIED]
         star = star[np.lexsort((star[:, 1], -n, star[:, 0]))]
         return pairs(*star[np.flatnonzero(np.diff(star[:, 0], prepend=star[:1, 0] - 1))].T)
 
@@ -393,7 +410,7 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
             u, v = place[:, 1 + j], place[:, 1 + i]
             other = label[u] != label[v]
             rows.append(told(u[other], v[other], np.full(other.sum(), 2)))
-        rows = np.unique(np.concatenate(rows), axis=0)
+        rows = distinct(np.concatenate(rows), 4)
         return pa.Table.from_batches([repeats.blobs(repeats.by_bucket(rows[:, 0] % buckets, *rows.T))])
 
     def count(got: pa.Table) -> pa.Table:
@@ -401,13 +418,14 @@ def image_copies(media: DataFrame, media_id: str = "media_id", content: str = "c
 
         What an image shares with another is summed over all keys and hubs; TIED corners make a pair worth comparing.
         """
-        rows = np.unique(np.stack(columns(got), 1), axis=0)
-        pair, number = np.unique(rows[:, :2], axis=0, return_inverse=True)
-        number, kind = number.reshape(-1), rows[:, 3]
-        shared = np.bincount(np.unique(np.stack((number, rows[:, 2]), 1), axis=0)[:, 0], minlength=len(pair))
-        strong = (kind == 3) | (shared[number] >= TIED)
-        many = np.stack(least_of(*np.unique(rows[strong & (kind % 2 == 1)][:, :2], axis=0).T), 1)
-        u, v, a, b, n = np.unique(np.concatenate((rows[:, [0, 1, 4, 5]], shared[number][:, None]), 1)[strong & (kind < 3)], axis=0).T
+        rows = distinct(np.stack(columns(got), 1), 4)
+        first, kind = begins(rows[:, :2]), rows[:, 3]
+        number = np.cumsum(first) - 1  # pair of each row
+        shared = np.bincount(number[begins(rows[:, :3])])[number]
+        strong = (kind == 3) | (shared >= TIED)
+        many = np.stack(least_of(*rows[strong & (kind % 2 == 1), :2].T), 1)
+        open_ = first & strong & (kind < 3)
+        (u, v, a, b), n = rows[open_][:, [0, 1, 4, 5]].T, shared[open_]
         at = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
         most = np.lexsort((v, -n, u))[at]
         packed = [pack(*x) for x in zip(np.split(v, at[1:]), np.split(b, at[1:]), strict=True)] if len(u) else []
