@@ -49,12 +49,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-
-    @F.pandas_udf("string")
-    def decoded(raw):
-        return raw.map(lambda x: x.decode("utf-8", "ignore"))
-
-    out = _back(suffix_dedup.suffix_dedup(_apart(docs)).withColumn("text", decoded("kept")), docs)
+    # decoded where the texts are cut: a second Python step in a task would be two workers more that stay in an executor
+    out = _back(suffix_dedup.suffix_dedup(_apart(docs), as_text=True).withColumn("text", F.col("kept")), docs)
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 

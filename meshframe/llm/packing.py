@@ -159,28 +159,47 @@ def document_frequencies(tokens: DataFrame, kind: str) -> np.ndarray:
     return out
 
 
-def topics(tokens: DataFrame, df: np.ndarray, kind: str) -> DataFrame:
-    """tokens with the rarest id that another document has too."""
+def topics(df: np.ndarray, kind: str):
+    """A function from a column of ids to the topic of each: the rarest id that another document has too."""
     # ids from the rarest on, those of one document last; equal ones by number
     order = np.lexsort((np.arange(len(df)), np.where(df > 1, df, np.iinfo(np.int64).max)))
     place = np.empty(len(df), np.int32)
     place[order] = np.arange(len(df), dtype=np.int32)
 
+    def of(column: pa.Array) -> np.ndarray:
+        buf, off = T.buffer(column)
+        # each document has its end id at least
+        return order[np.minimum.reduceat(place[buf.view(kind)], off[:-1] // np.dtype(kind).itemsize)]
+
+    return of
+
+
+def topic_sizes(tokens: DataFrame, topic_of) -> dict[int, int]:
+    """Tokens of each topic, over all rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            buf, off = T.buffer(b.column("ids"))
-            # each document has its end id at least
-            first = np.minimum.reduceat(place[buf.view(kind)], off[:-1] // np.dtype(kind).itemsize)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order[first].astype(np.int64))], names=["doc_id", "n", "ids", "row", "topic"])
+            if b.num_rows:
+                topic, where = np.unique(topic_of(b.column("ids")), return_inverse=True)
+                total = np.bincount(where, b.column("n").to_numpy()).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(topic, pa.int64()), pa.array(total)], names=["topic", "n"])
 
-    return tokens.mapInArrow(run, "doc_id long, n long, ids binary, row long, topic long")
+    got = tokens.select("n", "ids").mapInArrow(run, "topic long, n long")
+    return {r["topic"]: r["n"] for r in got.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
 
 
-def topic_sizes(marked: DataFrame) -> dict[int, int]:
-    """Tokens of each topic, over all rows."""
-    return {r["topic"]: r["n"] for r in marked.groupBy("topic").agg(F.sum("n").alias("n")).collect()}  # one row for each id of the vocabulary
+def in_shards(tokens: DataFrame, topic_of, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """doc_id, ids and shard of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                t = topic_of(b.column("ids"))
+                shard = first[t] + np.mod(b.column("salt").to_numpy(), parts[t])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(shard, pa.int32())], names=["doc_id", "ids", "shard"])
+
+    salt = F.abs(F.xxhash64("row") % F.lit(1 << 30))  # repeated rows spread like all others
+    return tokens.select("doc_id", "ids", salt.alias("salt")).mapInArrow(run, "doc_id long, ids binary, shard int")
 
 
 def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,18 +366,10 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     kind = id_type(path)
     n_docs, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = document_frequencies(tokens, kind)
-    marked = topics(tokens, df, kind)
-    sizes = topic_sizes(marked)
-    first, parts = deal(sizes, SHARD_TOKENS, len(df))
+    topic_of = topics(df, kind)
+    first, parts = deal(topic_sizes(tokens, topic_of), SHARD_TOKENS, len(df))
     mean = total / n_docs if n_docs else 1.0
 
-    @F.pandas_udf("int")
-    def shard_of(topic, salt):
-        import pandas as pd
-
-        t = topic.to_numpy()
-        return pd.Series((first[t] + np.mod(salt.to_numpy(), parts[t])).astype(np.int32))
-
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
@@ -398,5 +409,4 @@ def pack_sequences(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         release()
         return pa.Table.from_arrays(out, names=names + ["ids"] * with_ids)
 
-    salt = F.abs(F.xxhash64("row") % F.lit(1 << 30))  # repeated rows spread like all others
-    return marked.select("doc_id", "ids", shard_of("topic", salt).alias("shard")).groupBy("shard").applyInArrow(run, schema)
+    return in_shards(tokens, topic_of, first, parts).groupBy("shard").applyInArrow(run, schema)

@@ -87,3 +87,23 @@ def test_empty_documents(spark, folder, tmp_path):
         docs = stage(spark, docs, path)
         assert docs.count() == 0
         docs = docs if "ids" in docs.columns else docs.limit(0)
+
+
+def test_no_task_has_two_python_steps(spark, folder):
+    """Each Python step of a task has a worker of its own, which stays in the executor."""
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for stage in (corpus_pipeline.cut_repeats, corpus_pipeline.pack):
+        plan = stage(spark, docs, path)._jdf.queryExecution().optimizedPlan().toString()
+        assert "InArrow" in plan and "EvalPython" not in plan
+
+
+def test_characters_cut_in_two_go(docs_of):
+    from meshframe.llm.suffix_dedup import suffix_dedup
+
+    r = random.Random(9)
+    shared = "".join(r.choices("äöüßéè", k=80))
+    # the first letters differ in their second byte only, so that the repeat starts within a character
+    docs = docs_of([(1, "one ä" + shared), (2, "two Ť" + shared + " end"), (3, None)])
+    raw, text = ({x["doc_id"]: x["kept"] for x in suffix_dedup(docs, as_text=t).collect()} for t in (False, True))
+    assert text == {d: bytes(x).decode("utf-8", "ignore") for d, x in raw.items()} and shared not in text[2]
