@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,13 @@ K1, B = 1.2, 0.75
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pieces, found without going back: runs are not given up in part, and white space at the end is one piece.
 PIECES_AT_ONCE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Characters whose classes stand in a table; texts with higher ones are split by the pattern.
+CHARACTERS = 0x20000
+#: Characters that are split at once.
+BLOCK = 1 << 20
+#: Distinct pieces whose ids a worker remembers from block to block; when there are more, it starts anew.
+KNOWN = 1 << 17
+LETTER, NUMBER, SPACE = 1, 2, 3
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +61,67 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """Class of each character, as the engine that runs the pattern sees it."""
+    import tiktoken
+
+    ranks = {bytes([b]): b for b in range(256)}
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, CHARACTERS)]))
+    out = np.zeros(CHARACTERS, np.uint8)
+    for k, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        # what a pattern does not match is left out
+        found = bytes(tiktoken.Encoding(f"class{k}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(every))
+        out[np.frombuffer(found.decode().encode("utf-32-le"), np.uint32)] = k
+    return out
+
+
+def piece_starts(u: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Characters at which pieces start, in texts end to end that begin at `begin`; none of them is empty.
+
+    White space before a piece goes whole up to its last character; that one belongs to the piece if it is a blank, else
+    stands alone. At the end of a text white space is one piece.
+    """
+    first = np.zeros(len(u) + 3, bool)
+    first[begin] = first[len(u) :] = True
+    kind = character_classes()[u]
+    white, blank = kind == SPACE, u == 0x20
+    start = np.ones(len(u), bool)
+    follows = np.append(~white[1:], False) & ~first[1 : len(u) + 1]  # another piece comes behind this character
+    start[1:] = np.where(white[1:], ~white[:-1] | follows[1:], np.where(white[:-1], ~blank[:-1], kind[1:] != kind[:-1]))
+    start[begin] = True
+    # contractions, where a piece starts with an apostrophe
+    at = np.flatnonzero((u == 0x27) & start)
+    at = at[~first[at + 1]]
+    if len(at):
+        one, two = u[at + 1], np.where(first[at + 2], 0, u[np.minimum(at + 2, len(u) - 1)])
+        short = np.isin(one, [ord(c) for c in "sdmt"])
+        long = ((one == ord("l")) & (two == ord("l"))) | (((one == ord("v")) | (one == ord("r"))) & (two == ord("e")))
+        at, size = at[short | long], np.where(short, 2, 3)[short | long]
+        start[at + 1] = False
+        start[(at + size)[at + size < len(u)]] = True
+    return np.flatnonzero(start)
+
+
+def blocks(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """Texts that are not empty with their numbers, in blocks of about BLOCK characters; long ones cut before white space."""
+    now, size = [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            to = at + BLOCK
+            while (to := t.find(" ", to)) >= 0 and t[to - 1].isspace():
+                to += 1
+            part = t[at:to] if to >= 0 else t[at:] if at else t
+            now.append((i, part))
+            at, size = at + len(part), size + len(part)
+            if size >= BLOCK:
+                yield now
+                now, size = [], 0
+    if now:
+        yield now
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from texts to arrays of ids."""
@@ -62,10 +132,14 @@ def encoder(path: str):
     vocab = model["vocab"]
     pre = spec.get("pre_tokenizer") or {}
     byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False) and not spec.get("normalizer")
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    slow = lambda texts: [np.array(x.ids, np.uint32) for x in own.encode_batch(texts, add_special_tokens=False)]
+    @lru_cache(maxsize=1)
+    def own():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    slow = lambda texts: [np.array(x.ids, np.uint32) for x in own().encode_batch(texts, add_special_tokens=False)]
     if not byte_level or any(vocab.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return slow
     import tiktoken
@@ -73,11 +147,56 @@ def encoder(path: str):
     added = [x["content"] for x in spec.get("added_tokens", [])]
     ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in added}
     bpe = tiktoken.Encoding("file", pat_str=PIECES_AT_ONCE, mergeable_ranks=ranks, special_tokens={})
+    del spec, model, merges, vocab, ranks
+    single = bpe._core_bpe.encode_single_piece
+    # pieces met before: their number, and the end of the ids of each in `flat`
+    place: dict[bytes, int] = {}
+    flat, ends = array("I"), array("q", [0])
+
+    def block(texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are not empty: each distinct piece is merged once."""
+        whole = "".join(texts)
+        u = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        if int(u.max()) >= CHARACTERS:
+            return [np.array(bpe.encode_ordinary(t), np.uint32) for t in texts]
+        begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        start = piece_starts(u, begin[:-1])
+        edge = np.append(start, len(u)).astype(np.int32)
+        raw = whole.encode()
+        if len(raw) > len(u):
+            # bytes at which characters start
+            lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            edge = np.append(lead[start], len(raw)).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(raw)]).dictionary_encode()
+        _, cuts, held = pieces.dictionary.buffers()
+        cuts, held = np.frombuffer(cuts, np.int32, len(pieces.dictionary) + 1).tolist(), held.to_pybytes()
+        if len(place) > KNOWN:
+            place.clear()
+            del flat[:], ends[1:]
+        where = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = held[i:j]
+            k = place.get(piece)
+            if k is None:
+                k = place[piece] = len(place)
+                flat.extend(single(piece))
+                ends.append(len(flat))
+            where.append(k)
+        at = np.array(ends, np.int64)
+        where = np.array(where, np.int64)[pieces.indices.to_numpy()]
+        n = (at[1:] - at[:-1])[where]
+        end = np.cumsum(n)
+        out = np.array(flat, np.uint32)[np.repeat(at[where] - (end - n), n) + np.arange(int(end[-1]))]
+        return np.split(out, (end - n)[np.searchsorted(start, begin[1:-1])])
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         # added tokens inside a text are ids of their own: those few texts are for the library
-        # encode_ordinary is faster than the encoder's own arrays, for which it looks for special tokens
-        return [slow([t])[0] if any(x in t for x in added) else np.array(bpe.encode_ordinary(t), np.uint32) for t in texts]
+        plain = ["" if any(x in t for x in added) else t for t in texts]
+        got: list[list[np.ndarray]] = [[] for _ in texts]
+        for some in blocks(plain):
+            for (i, _), x in zip(some, block([t for _, t in some]), strict=True):
+                got[i].append(x)
+        return [slow([t])[0] if t and not p else np.concatenate(x) if len(x) != 1 else x[0] for t, p, x in zip(texts, plain, [x or [np.zeros(0, np.uint32)] for x in got], strict=True)]
 
     return encode
 
@@ -225,6 +344,8 @@ def deal(sizes: dict[int, int], most: int, vocabulary: int) -> tuple[np.ndarray,
 
 #: A token that one class in so many has gets a row of weights over all classes instead of postings, if there are not more classes.
 COMMON, ROW_CLASSES = 4, 1 << 15
+#: Neighbours that are put in order first.
+FEW = 64
 
 
 class Index:
@@ -265,8 +386,11 @@ class Index:
         # in the types that sums are made in, so that no seed converts them again
         self.doc, self.weight = doc[order].astype(np.intp), weight[order].astype(np.float64)
         self.edge = np.searchsorted(tok[order], np.arange(len(df) + 1))
+        self.room = np.empty_like(self.doc), np.empty_like(self.weight)  # for the postings of one seed
         self.df = df
-        self.open, self.shut = len(one), 0
+        # the class of each column of rows; postings hold columns
+        self.column = np.arange(len(one))
+        self.shut = 0
 
     def left(self, k: int) -> bool:
         """Whether class k has an unused tail; its pointer then stands on it."""
@@ -280,12 +404,14 @@ class Index:
         self.used[i] = True
         if not self.left(int(self.of[i])):
             self.shut += 1
-            if 2 * self.shut >= self.open:
-                # postings of classes without unused tails go: over all, each posting moves a bounded number of times
-                keep = (self.at < self.end)[self.doc]
-                self.edge = np.concatenate(([0], np.cumsum(keep)))[self.edge]
-                self.doc, self.weight = self.doc[keep], self.weight[keep]
-                self.open, self.shut = self.open - self.shut, 0
+            if 4 * self.shut >= len(self.column):
+                # columns of classes without unused tails go: over all, each weight moves a bounded number of times
+                keep = self.at[self.column] < self.end[self.column]
+                some = keep[self.doc]
+                self.edge = np.concatenate(([0], np.cumsum(some)))[self.edge]
+                self.doc, self.weight = (np.cumsum(keep) - 1)[self.doc[some]], self.weight[some]
+                self.rows, self.column = np.take(self.rows, np.flatnonzero(keep), 1), self.column[keep]
+                self.shut = 0
 
     def neighbours(self, i: int, most: int) -> Iterator[int]:
         """Unused tails that share tokens with tail i, best first; the first `most` of them at least."""
@@ -297,27 +423,30 @@ class Index:
         spans = [(a, b) for a, b in zip(self.edge[u].tolist(), self.edge[u + 1].tolist(), strict=True) if b > a]
         if not spans and not rows:
             return
-        doc = np.concatenate([np.zeros(0, np.intp), *(self.doc[a:b] for a, b in spans)])
-        weight = np.concatenate([np.zeros(0), *(self.weight[a:b] for a, b in spans)])
-        if not rows and 8 * len(doc) < len(self.terms):
+        n = sum(b - a for a, b in spans)
+        doc = np.concatenate([self.doc[:0], *(self.doc[a:b] for a, b in spans)], out=self.room[0][:n])
+        weight = np.concatenate([self.weight[:0], *(self.weight[a:b] for a, b in spans)], out=self.room[1][:n])
+        if not rows and 8 * len(doc) < len(self.column):
             found, where = np.unique(doc, return_inverse=True)
             score = np.bincount(where, weight)
         else:
-            score = np.bincount(doc, weight, len(self.terms)).astype(np.float64, copy=False)
+            score = np.bincount(doc, weight, len(self.column)).astype(np.float64, copy=False)
             for k in rows:
                 score += self.rows[k]
             found = np.flatnonzero(score)  # every weight is greater than 0
             score = score[found]
+        found = self.column[found]
         alive = self.at[found] < self.end[found]
         found, score = found[alive], score[alive]
-        if len(found) > most:
-            # each class gives a tail at least, so the best `most` classes are enough
-            least = -np.partition(-score, most - 1)[most - 1]
+        # each class gives a tail at least, so the best `most` classes are enough, and the first few nearly always
+        for size in (FEW, most):
+            least = np.partition(score, len(score) - size)[len(score) - size] if len(score) > size else -np.inf
             above = score >= least
-            found, score = found[above], score[above]
-        for c in found[np.argsort(-score, kind="stable")].tolist():
-            while self.left(c):
-                yield int(self.members[self.at[c]])
+            best, by = found[above], score[above]
+            for c in best[np.argsort(-by, kind="stable")].tolist():
+                while self.left(c):
+                    yield int(self.members[self.at[c]])
+            found, score = found[~above], score[~above]
 
 
 def fill(tails: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:

@@ -173,3 +173,32 @@ def test_pieces_found_at_once_are_those_of_the_usual_split():
     for _ in range(2000):
         text = "".join(r.choice([*" \n\t 　ab1'sld.Ж١"], r.integers(0, 14)))
         assert old.encode_ordinary(text) == new.encode_ordinary(text), repr(text)
+
+
+def test_pieces_found_by_classes_give_the_ids_of_the_library(monkeypatch):
+    r = np.random.default_rng(6)
+    alphabet = [*" \n\t 　ab1'sld.Ж١rve🙂́\x1c", "'s", "'ll", "'re"]
+    values = ["".join(r.choice(alphabet, r.integers(0, 300 if i % 9 == 0 else 14))) for i in range(3000)] + ["x" * 500, " " * 500, "𠀀 a  b", " 'll''s 've'", ""]
+    want = own_ids(values)
+    assert [x.tolist() for x in packing.encoder(PATH)(values)] == want
+    # long texts are cut, and what is known of pieces is given up
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    monkeypatch.setattr(packing, "KNOWN", 50)
+    assert [x.tolist() for x in packing.encoder(PATH)(values)] == want
+
+
+def test_index_shrinks_with_used_classes():
+    r = np.random.default_rng(5)
+    tails = [np.append(np.minimum(r.zipf(1.3, 40) + 1, 900), packing.END_ID).astype("<u2") for _ in range(400)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in tails]), minlength=1000)
+    index = packing.Index(tails, df, len(tails), 40.0)
+    wide = index.rows.shape
+    for i in range(300):
+        index.take(i)
+    assert wide[0] and index.rows.shape[0] == wide[0] and index.rows.shape[1] <= wide[1] // 2 and index.rows.flags.c_contiguous
+    index.take(399)
+    got = []
+    for i in index.neighbours(399, 5):
+        index.take(i)
+        got.append(i)
+    assert len(got) >= 5 and len(set(got)) == len(got) and set(got) <= set(range(300, 399))
